@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows of a few fixed-width columns that is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 500_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +27,12 @@ def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends, and lost executors lose nothing."""
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this job go with it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._lexweave_path = path
     return out
@@ -44,6 +51,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of ``rows`` texts at most, unless the session has set a number itself."""
+    if spark.conf.get(_BATCH, None) in (None, "10000"):
+        spark.conf.set(_BATCH, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm._graph import components
 from lexweave.llm._text import Powers, mix, pieces, shingle_sets, texts
-from lexweave.llm._work import dropped, small, table, written
+from lexweave.llm._work import dropped, small, table, text_batches, written
 
 SYMBOLS, PER_CHUNK, BITS = 48, 4, 16
 CHUNKS = SYMBOLS // PER_CHUNK
@@ -139,6 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members first meet only the least member; the rest is compared where classes still differ.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     all_rows = written(sketches(base, "id", "text", shingle), spark)
     own = all_rows.filter("n > 0 and id is not null")

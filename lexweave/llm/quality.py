@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from lexweave.llm._features import WIDTH, fold, labelled_sample, shapes
 from lexweave.llm._text import Powers, pieces, texts
-from lexweave.llm._work import table
+from lexweave.llm._work import table, text_batches
 
 #: Labelled texts that vote, at most: those with the least hash of their id.
 NEIGHBOURS = 4_000
@@ -94,6 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, model: Voters, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` without the text, with a column ``name``: the probability of label 1, for null and empty texts too."""
+    text_batches(docs.sparkSession)
     fields = [f for f in docs.columns if f != text_col]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm._text import mix, pieces, texts
-from lexweave.llm._work import dropped, small, table, written
+from lexweave.llm._work import dropped, small, table, text_batches, written
 
 #: Bytes of a gram whose hash makes it an anchor; a power of two.
 GRAM = 32
@@ -297,6 +297,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not 2 * GRAM <= length <= 255:
         raise ValueError("length must be from 64 to 255 bytes")
     spark = docs.sparkSession
+    text_batches(spark)
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = base.mapInArrow(lambda it: _find(length, it), "h bigint, id bigint, p bigint")
     again = found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")

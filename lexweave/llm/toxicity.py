@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from lexweave.llm._boost import Boosted, Isotonic
 from lexweave.llm._features import NAMES, SECOND_PERSON, fold, labelled_sample, terms, tone, word_hash
 from lexweave.llm._text import Powers, pieces, texts
-from lexweave.llm._work import dropped, table, written
+from lexweave.llm._work import dropped, table, text_batches, written
 
 #: Labelled texts learned from, at most: those with the least hash of their id.
 SAMPLE = 20_000
@@ -113,6 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``: the probability of label 1, for null and empty texts too."""
+    text_batches(docs.sparkSession)
     fields = [f for f in docs.schema.fieldNames() if f != text_col]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
