@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm._graph import components
@@ -25,6 +25,9 @@ SYMBOLS, PER_CHUNK, BITS = 48, 4, 16
 CHUNKS = SYMBOLS // PER_CHUNK
 #: Signatures that differ in this many symbols or more aren't compared.
 DISTANCE = 2 * CHUNKS
+#: Bits of the long signature that is made where a key's classes aren't settled by its least one. At
+#: resemblance 0.75 it differs in 128 bits, give or take 10.6; pairs beyond LONG_DISTANCE aren't compared.
+LONG, LONG_DISTANCE = 1024, 181
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +76,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return rows.mapInArrow(lambda it: _rows(shingle, False, it), "id bigint, n bigint, k1 bigint, k2 bigint, sig array<bigint>")
 
 
-def _keys(sig: str) -> F.Column:
+def _keys(sig: str) -> Column:
     """One key for each chunk and left-out symbol; its own number takes the place of the symbol."""
     keys = []
     for j in range(CHUNKS):
@@ -85,17 +88,51 @@ def _keys(sig: str) -> F.Column:
     return F.array(*keys)
 
 
-def _distance(x: str, y: str) -> F.Column:
+def _differing(d: Column) -> Column:
+    """The number of symbols that aren't 0 in the exclusive or of two chunks."""
+    # folds each symbol onto its lowest bit, then counts those bits
+    for s in (8, 4, 2, 1):
+        keep = sum(((1 << s) - 1) << (BITS * r) for r in range(PER_CHUNK))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, s)).bitwiseAND(F.lit(keep))
+    return F.bit_count(d)
+
+
+def _distance(x: str, y: str) -> Column:
     """The number of symbols in which two signatures differ."""
-    parts = []
-    for j in range(CHUNKS):
-        d = F.col(x)[j].bitwiseXOR(F.col(y)[j])
-        # folds each symbol onto its lowest bit, then counts those bits
-        for s in (8, 4, 2, 1):
-            keep = sum(((1 << s) - 1) << (BITS * r) for r in range(PER_CHUNK))
-            d = d.bitwiseOR(F.shiftrightunsigned(d, s)).bitwiseAND(F.lit(keep))
-        parts.append(F.bit_count(d))
-    return reduce(lambda p, q: p + q, parts)
+    return reduce(lambda p, q: p + q, [_differing(F.col(x)[j].bitwiseXOR(F.col(y)[j])) for j in range(CHUNKS)])
+
+
+def _first_key(x: str, y: str, pos: Column) -> Column:
+    """Whether ``pos`` numbers the first key that two signatures share: no chunk before has one, and of the four that equal chunks share it is the first."""
+    j = F.floor(pos / PER_CHUNK).cast("int")
+    before = F.zip_with(F.slice(x, F.lit(1), j), F.slice(y, F.lit(1), j), lambda p, q: p.bitwiseXOR(q))
+    return ((pos % PER_CHUNK == 0) | (F.element_at(x, j + 1) != F.element_at(y, j + 1))) & ~F.exists(before, lambda d: _differing(d) <= 1)
+
+
+def _apart(x: str, y: str) -> Column:
+    """The number of bits in which two long signatures differ."""
+    return reduce(lambda p, q: p + q, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONG // 64)])
+
+
+def _long(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to LONG bits, one of the least value of each of as many permutations."""
+    powers = Powers()
+    k = np.arange(1, LONG + 1, dtype=np.uint64) + np.uint64(1 << 20)
+    mul, add = mix(k) | np.uint64(1), mix(k + np.uint64(1 << 21))
+    for batch in batches:
+        raw, off = texts(batch.column(1))
+        for lo, hi in pieces(off):
+            at = off[lo : hi + 1]
+            rows = []
+            with np.errstate(over="ignore"):
+                for h in shingle_sets(raw[at[0] : at[-1]], at - at[0], size, powers):
+                    h = mix(h)
+                    least = np.full(LONG, np.iinfo(np.uint64).max, dtype=np.uint64)
+                    for i in range(0, len(h), 256):
+                        least = np.minimum(least, (h[i : i + 256, None] * mul + add).min(axis=0))
+                    rows.append(np.packbits((mix(least) >> np.uint64(33) & np.uint64(1)).astype(np.uint8)).view("<i8"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, LONG // 64 * (hi - lo) + 1, LONG // 64), pa.int32()), pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["rep", "bits"])
 
 
 def _overlaps(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +153,16 @@ def _overlaps(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield pa.RecordBatch.from_arrays([a.take(take), b.take(take)], ["a", "b"])
 
 
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row for each of ``ids``, a written table."""
+    wanted = docs.join(small(ids, ids.count()), "id", "left_semi")
+    return wanted.dropDuplicates(["id"]) if docs._lexweave_repeats else wanted
+
+
 def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Those pairs of ids whose full shingle sets are alike enough."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), spark)
-    wanted = docs.join(small(ids, ids.count()), "id", "left_semi")
-    one = wanted.dropDuplicates(["id"]) if docs._lexweave_repeats else wanted
-    sets = written(one.mapInArrow(lambda it: _rows(shingle, True, it), "id bigint, shingles binary"), spark)
+    sets = written(_of(docs, ids).mapInArrow(lambda it: _rows(shingle, True, it), "id bigint, shingles binary"), spark)
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     found = written(joined.select("a", "b", "x", "y").mapInArrow(lambda it: _overlaps(num, den, it), "a bigint, b bigint"), spark)
     dropped(ids, sets)
@@ -148,22 +189,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base._lexweave_repeats = reps.select("rep").distinct().count() < reps.count() or all_rows.select("id").distinct().count() < all_rows.count()
     sig = reps.select("rep", "n", "sig")
 
-    keyed = sig.select("rep", F.explode(_keys("sig")).alias("key"))
-    leads = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
-    first = keyed.join(leads, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    # Keys with more than one class; each class first meets the least class of each of its keys.
+    keyed = sig.select("rep", F.posexplode(_keys("sig")).alias("pos", "key"))
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1")
+    shared = written(keyed.join(shared, "key"), spark)
+    first = shared.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     x, y = (sig.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    near = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (_distance("sig_a", "sig_b") < DISTANCE)
-    first = written(first.join(x, "a").join(y, "b").filter(near).select("a", "b"), spark)
+    sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    first = written(first.join(x, "a").join(y, "b").filter(sizes & (_distance("sig_a", "sig_b") < DISTANCE)).select("a", "b"), spark)
     links = _confirmed(spark, base, first, shingle, num, den)
     comp = written(components(spark, links), spark)
 
-    # A key with two members has been settled; of the others, those that still span two groups.
-    placed = sig.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("g"))
-    keyed = placed.select("rep", "n", "sig", "g", F.explode(_keys("sig")).alias("key"))
-    open_keys = placed.select("g", F.explode(_keys("sig")).alias("key")).groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).filter("c > 2 and lo < hi").select("key")
-    left = written(keyed.join(open_keys, "key"), spark)
-    x, y = (left.select("key", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"), F.col("g").alias(f"g_{k}")) for k in "ab")
-    second = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & near).select("a", "b").distinct()
+    # A key with two classes has been settled; of the others, those that still span two groups. There each
+    # pair is met at the first key that it shares, and only pairs whose long signatures are near are kept.
+    placed = shared.filter("c > 2").select("key", "pos", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "pos", "rep", F.coalesce("component", "rep").alias("g"))
+    open_keys = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("key")
+    left = written(placed.join(open_keys, "key"), spark)
+    ids = written(left.select(F.col("rep").alias("id")).distinct(), spark)
+    bits = _of(base, ids).mapInArrow(lambda it: _long(shingle, it), "rep bigint, bits array<bigint>")
+    left = written(left.join(sig, "rep").join(bits, "rep"), spark)
+    x, y = (left.select("key", "pos", *[F.col(c).alias(f"{c}_{k}") for c in ("n", "sig", "bits", "g")], F.col("rep").alias(k)) for k in "ab")
+    near = (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & sizes & (_apart("bits_a", "bits_b") <= LONG_DISTANCE) & _first_key("sig_a", "sig_b", F.col("pos"))
+    second = x.join(y.drop("pos"), "key").filter(near).select("a", "b")
     second = written(second.join(first, ["a", "b"], "left_anti"), spark)
     more = _confirmed(spark, base, second, shingle, num, den)
     if more.isEmpty():

@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontaminate, fingerprint, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
+import corpus_pipeline
+from lexweave.llm import decontaminate, fingerprint, licenses, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
     "op2_document_fingerprints": fingerprint.op2_document_fingerprints,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_suffix_array_dedup": substring_dedup.op10_suffix_array_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.SQL,
+}

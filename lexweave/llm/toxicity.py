@@ -111,10 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(entries, x, y[:, 0])
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name``: the probability of label 1, for null and empty texts too."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without the text, but with ``keep_text``) with a column ``name``: the probability of label 1, for null and empty texts too."""
     text_batches(docs.sparkSession)
-    fields = [f for f in docs.schema.fieldNames() if f != text_col]
+    fields = [f for f in docs.columns if f != text_col or keep_text]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def two(it):
