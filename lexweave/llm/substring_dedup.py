@@ -145,13 +145,13 @@ class RunIndex:
         inside[n] = False
         text[inside] = flat.astype(np.int64) + 1
         self.text, n = text, n + 1
-        # Ranks by the first 4, 8, ..., 256 symbols; the order by the first 512 is that of the suffixes.
+        # Ranks by the first 4, 8, ..., 512 symbols. The first 1024 hold a whole text, so their order is that of the suffixes.
         padded = np.concatenate([text, np.zeros(4, np.int64)])
         key = ((padded[:n] * 257 + padded[1 : n + 1]) * 257 + padded[2 : n + 2]) * 257 + padded[3 : n + 3]
         self.ranks, width = {}, 4
         while True:
-            order = np.argsort(key, kind="stable")
-            if width == 512:
+            order = np.argsort(key)
+            if width == 1024:
                 break
             s = key[order]
             rank = np.empty(n, np.int32)
@@ -170,7 +170,7 @@ class RunIndex:
         self.tails = np.concatenate([self.heads[1:] - 1, [n - 1]])
 
     def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Symbols that the suffixes at p and q share, up to 511."""
+        """Symbols that the suffixes at p and q share, up to 1023."""
         p, q = p.copy(), q.copy()
         n, total = len(self.text), np.zeros(len(p), np.int64)
         for width in sorted(self.ranks, reverse=True):
@@ -205,15 +205,16 @@ class RunIndex:
 
 
 def _indexed(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, k1, k2, content) in order of h, k1, k2 to (k1, k2, flags) of the segments with marks."""
+    """(h, k1, k2, content) in order of h, k1, k2 to (k1, k2, lo, hi): the first and the last marked start of each segment with any."""
     waiting: list[tuple[int, int, bytes]] = []
     group: list[tuple[int, int, bytes]] = []
     last, size = None, 0
 
     def done():
         flags = RunIndex([x[2] for x in waiting]).marked(length) if waiting else []
-        rows = [(x[0], x[1], f.astype(np.uint8).tobytes()) for x, f in zip(waiting, flags, strict=True) if f.any()]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["k1", "k2", "flags"])
+        rows = [(x[0], x[1], int(f.argmax()), len(f) - 1 - int(f[::-1].argmax())) for x, f in zip(waiting, flags, strict=True) if f.any()]
+        columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+        return pa.RecordBatch.from_arrays(columns, ["k1", "k2", "lo", "hi"])
 
     for batch in batches:
         hs, k1, k2 = (batch.column(i).to_numpy() for i in range(3))
@@ -250,38 +251,38 @@ def _strings(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _kept(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, marks) to (id, n_bytes, spans, kept_sha256). A mark: p and the flags of its starts, all set if null."""
+    """(id, text, marks) to (id, n_bytes, spans, kept_sha256). A mark: p, and the first and the last marked start of its segment.
+
+    Starts of one segment lie nearer than a string is long, so what they cover is one run.
+    """
     for batch in batches:
         raw, off = texts(batch.column(1))
         marks = batch.column(2)
         ends = marks.offsets.to_numpy()
-        ps, flags = marks.values.field("p"), marks.values.field("flags")
+        has = marks.is_valid().to_numpy(zero_copy_only=False)
+        ps, los, his = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in ("p", "lo", "hi"))
         spans, digests = [], []
         for i in range(len(batch)):
             own = raw[off[i] : off[i + 1]]
-            mark = -1
-            cover = None
-            if marks[i].is_valid:
-                mark = zlib.crc32(own) & 0x7FFFFF
-                for j in range(ends[i], ends[i + 1]):
-                    x = ps[j].as_py()
-                    if x >> 40 != mark:
-                        continue
-                    if cover is None:
-                        cover = np.zeros(len(own) + 1, np.int32)
-                    a, n = (x >> 8) & 0xFFFFFFFF, x & 0xFF
-                    f = flags[j]
-                    s = a + (np.flatnonzero(np.frombuffer(f.as_buffer(), np.uint8)) if f.is_valid else np.arange(n))
-                    np.add.at(cover, s, 1)
-                    np.add.at(cover, s + length, -1)
-            if cover is None:
+            at = slice(ends[i], ends[i + 1]) if has[i] else slice(0, 0)
+            p, lo, hi = ps[at], los[at], his[at]
+            if len(p):
+                mine = (p >> 40) == (zlib.crc32(own) & 0x7FFFFF)
+                first = ((p >> 8) & 0xFFFFFFFF)[mine]
+                lo, hi = first + lo[mine], first + hi[mine] + length
+            if not len(lo):
                 spans.append([])
                 digests.append(hashlib.sha256(own).hexdigest())
                 continue
-            hit = np.cumsum(cover[:-1]) > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-            spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
-            digests.append(hashlib.sha256(own[~hit].tobytes()).hexdigest())
+            order = np.argsort(lo)
+            lo, hi = lo[order], np.maximum.accumulate(hi[order])
+            fresh = np.concatenate([[True], lo[1:] > hi[:-1]])
+            starts, stops = lo[fresh].tolist(), hi[np.concatenate([fresh[1:], [True]])].tolist()
+            spans.append([{"start": x, "end": y} for x, y in zip(starts, stops, strict=True)])
+            rest = hashlib.sha256()
+            for x, y in zip([0, *stops], [*starts, len(own)], strict=True):
+                rest.update(own[x:y])
+            digests.append(rest.hexdigest())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(spans, kind), pa.array(digests)], ["id", "n_bytes", "spans", "kept_sha256"])
 
@@ -309,18 +310,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hot = written(distinct.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("h"), spark)
     n_hot = hot.count()
     cool = distinct.join(small(hot, n_hot), "h", "left_anti") if n_hot else distinct
-    marks = cool.repartition("h").sortWithinPartitions("h", "k1", "k2").mapInArrow(lambda it: _indexed(length, it), "k1 bigint, k2 bigint, flags binary")
+    marks = cool.repartition("h").sortWithinPartitions("h", "k1", "k2").mapInArrow(lambda it: _indexed(length, it), "k1 bigint, k2 bigint, lo bigint, hi bigint")
     if n_hot:
         strings = written(distinct.join(small(hot, n_hot), "h", "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "content").mapInArrow(lambda it: _strings(length, it), "k1 bigint, k2 bigint, j int, w1 bigint, w2 bigint"), spark)
         shared = strings.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-        starts = strings.join(shared, ["w1", "w2"]).groupBy("k1", "k2").agg(F.collect_set("j").alias("js"))
-        flags = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.array_max("js")), lambda j: F.when(F.array_contains("js", j), "01").otherwise("00")), ""))
-        marks = marks.union(starts.select("k1", "k2", flags.alias("flags")))
+        starts = strings.join(shared, ["w1", "w2"]).groupBy("k1", "k2").agg(F.min("j").cast("bigint").alias("lo"), F.max("j").cast("bigint").alias("hi"))
+        marks = marks.union(starts)
     marks = written(marks, spark)
     copies = cut.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").select("k1", "k2")
-    whole = cut.select("id", "p", "k1", "k2").join(copies, ["k1", "k2"]).select("id", "p", F.lit(None).cast("binary").alias("flags"))
-    parts = cut.select("id", "p", "k1", "k2").join(marks, ["k1", "k2"]).select("id", "p", "flags")
-    per = written(whole.union(parts).groupBy("id").agg(F.collect_list(F.struct("p", "flags")).alias("marks")), spark)
+    whole = cut.select("id", "p", "k1", "k2").join(copies, ["k1", "k2"]).select("id", "p", F.lit(0).cast("bigint").alias("lo"), (F.col("p").bitwiseAND(F.lit(255)) - 1).alias("hi"))
+    parts = cut.select("id", "p", "k1", "k2").join(marks, ["k1", "k2"]).select("id", "p", "lo", "hi")
+    per = written(whole.union(parts).groupBy("id").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("marks")), spark)
     dropped(cut, marks)
     met = base.join(per.withColumnRenamed("id", "id_"), F.col("id").eqNullSafe(F.col("id_")), "left").select("id", "text", "marks")
     return met.mapInArrow(lambda it: _kept(length, it), "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
