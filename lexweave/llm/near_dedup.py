@@ -27,7 +27,9 @@ CHUNKS = SYMBOLS // PER_CHUNK
 DISTANCE = 2 * CHUNKS
 #: Bits of the long signature that is made where a key's classes aren't settled by its least one. At
 #: resemblance 0.75 it differs in 128 bits, give or take 10.6; pairs beyond LONG_DISTANCE aren't compared.
-LONG, LONG_DISTANCE = 1024, 181
+LONG, LONG_DISTANCE = 1024, 176
+#: Classes of one key that are compared with each other in one task.
+BLOCK = 4096
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -102,16 +104,57 @@ def _distance(x: str, y: str) -> Column:
     return reduce(lambda p, q: p + q, [_differing(F.col(x)[j].bitwiseXOR(F.col(y)[j])) for j in range(CHUNKS)])
 
 
-def _first_key(x: str, y: str, pos: Column) -> Column:
-    """Whether ``pos`` numbers the first key that two signatures share: no chunk before has one, and of the four that equal chunks share it is the first."""
-    j = F.floor(pos / PER_CHUNK).cast("int")
-    before = F.zip_with(F.slice(x, F.lit(1), j), F.slice(y, F.lit(1), j), lambda p, q: p.bitwiseXOR(q))
-    return ((pos % PER_CHUNK == 0) | (F.element_at(x, j + 1) != F.element_at(y, j + 1))) & ~F.exists(before, lambda d: _differing(d) <= 1)
+def _near(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a key's block pairs, in order of (key, i, j), to the pairs (a, b) that may be links.
 
-
-def _apart(x: str, y: str) -> Column:
-    """The number of bits in which two long signatures differ."""
-    return reduce(lambda p, q: p + q, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONG // 64)])
+    Columns: key, i, j, block, pos, rep, g, n, sig, bits. A pair has its classes in two groups, sizes
+    that allow the resemblance, near long signatures, and no key in common before this one.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def met(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        i, j, block, pos, rep, g, n = (rows.column(c).to_numpy() for c in range(1, 8))
+        sig = rows.column(8).flatten().to_numpy().reshape(-1, CHUNKS)
+        bits = rows.column(9).flatten().to_numpy().view(np.uint64).reshape(-1, LONG // 64)
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        chunk, variant = divmod(int(pos[0]), PER_CHUNK)
+        out = [(np.zeros(0, np.int64),) * 2]
+        for lo in range(0, len(x), 256):
+            p = x[lo : lo + 256]
+            ok = (g[p][:, None] != g[y][None]) & (np.minimum(n[p][:, None], n[y][None]) * den >= np.maximum(n[p][:, None], n[y][None]) * num)
+            ok &= rep[p][:, None] < rep[y][None] if i[0] == j[0] else True
+            at, to = np.nonzero(ok)
+            at, to = p[at], y[to]
+            for k in range(0, len(at), 1 << 16):
+                u, v = at[k : k + (1 << 16)], to[k : k + (1 << 16)]
+                near = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1) <= LONG_DISTANCE
+                u, v = u[near], v[near]
+                symbols = (sig[u] ^ sig[v]).view("<u2").reshape(len(u), CHUNKS, PER_CHUNK) != 0
+                differ = symbols.sum(axis=2)
+                first = ~(differ[:, :chunk] <= 1).any(axis=1) & ((differ[:, chunk] == 1) | (variant == 0))
+                out.append((rep[u[first]], rep[v[first]]))
+        a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def done() -> pa.RecordBatch:
+        a, b = met(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    last = None
+    for batch in batches:
+        k, i, j = (batch.column(c).to_numpy() for c in range(3))
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            name = (int(k[lo]), int(i[lo]), int(j[lo]))
+            if held and name != last:
+                yield done()
+                held.clear()
+            last = name
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield done()
 
 
 def _long(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +246,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A key with two classes has been settled; of the others, those that still span two groups. There each
     # pair is met at the first key that it shares, and only pairs whose long signatures are near are kept.
     placed = shared.filter("c > 2").select("key", "pos", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "pos", "rep", F.coalesce("component", "rep").alias("g"))
-    open_keys = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("key")
+    open_keys = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("lo < hi").select("key", "blocks")
     left = written(placed.join(open_keys, "key"), spark)
     ids = written(left.select(F.col("rep").alias("id")).distinct(), spark)
     bits = _of(base, ids).mapInArrow(lambda it: _long(shingle, it), "rep bigint, bits array<bigint>")
     left = written(left.join(sig, "rep").join(bits, "rep"), spark)
-    x, y = (left.select("key", "pos", *[F.col(c).alias(f"{c}_{k}") for c in ("n", "sig", "bits", "g")], F.col("rep").alias(k)) for k in "ab")
-    near = (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & sizes & (_apart("bits_a", "bits_b") <= LONG_DISTANCE) & _first_key("sig_a", "sig_b", F.col("pos"))
-    second = x.join(y.drop("pos"), "key").filter(near).select("a", "b")
+    # The pairs of a key's blocks are dealt out, so that a key of any size takes bounded memory in a task.
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    dealt = left.withColumn("block", block).withColumn("o", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    dealt = dealt.select("key", "i", "j", "block", "pos", "rep", "g", "n", "sig", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    second = dealt.mapInArrow(lambda it: _near(num, den, it), "a bigint, b bigint")
     second = written(second.join(first, ["a", "b"], "left_anti"), spark)
     more = _confirmed(spark, base, second, shingle, num, den)
     if more.isEmpty():
