@@ -1 +1,7 @@
-"""Text analytics and retrieval over DataFrames."""
+"""Text analytics and retrieval over DataFrames. Worker functions are shipped by value, so executors need no copy of this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
