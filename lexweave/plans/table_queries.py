@@ -49,7 +49,7 @@ STATEMENTS = {
     "a8_share_of_total": "SELECT l_returnflag, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS share FROM {lineitem} GROUP BY l_returnflag",
     "a11_canonical_min": "SELECT n_regionkey, min(n_nationkey) AS canonical, count(*) AS n FROM {nation} GROUP BY n_regionkey",
     "a12_distributions": "SELECT 'status' AS field, o_orderstatus AS value, count(*) AS n FROM {orders} GROUP BY o_orderstatus UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM {orders} GROUP BY o_orderpriority",
-    "a14_five_issue_columns": "SELECT l_orderkey, max(CASE WHEN n = 1 THEN l_partkey END) AS issue1, max(CASE WHEN n = 2 THEN l_partkey END) AS issue2, max(CASE WHEN n = 3 THEN l_partkey END) AS issue3, max(CASE WHEN n = 4 THEN l_partkey END) AS issue4, max(CASE WHEN n = 5 THEN l_partkey END) AS issue5 FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM {lineitem}) t WHERE n <= 5 GROUP BY l_orderkey",
+    "a14_five_issue_columns": "SELECT l_orderkey, max(CASE WHEN n = 1 THEN l_partkey END) AS issue1, max(CASE WHEN n = 2 THEN l_partkey END) AS issue2, max(CASE WHEN n = 3 THEN l_partkey END) AS issue3, max(CASE WHEN n = 4 THEN l_partkey END) AS issue4, max(CASE WHEN n = 5 THEN l_partkey END) AS issue5 FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM {lineitem}) t WHERE n <= 5 GROUP BY l_orderkey",
     "a15_batch_statistics": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, CASE WHEN count(*) > 0 THEN round(100.0 * count(CASE WHEN value > 0 THEN 1 END) / count(*), 4) ELSE 0 END AS success_rate FROM {events} GROUP BY event_type",
     "a16_year_type_statistics": "SELECT CAST(extract(year FROM o_orderdate) AS INT) AS year, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY extract(year FROM o_orderdate), o_orderpriority",
     "a17_top_cited": "SELECT l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 20",

@@ -59,13 +59,12 @@ _DOC = "doc AS (SELECT doc_id AS id, text FROM documents)"
 _TOK = f"{_DOC}, {_tok('doc', 'id')}"
 
 
-def _grams(table: str, sizes: range, keys: str = "id") -> str:
-    """Unions of runs of words over a CTE with id, position and word."""
-    parts = []
-    for n in sizes:
-        joins = " ".join(f"JOIN {table} t{k} ON t{k}.id = t0.id AND t{k}.position = t0.position + {k}" for k in range(1, n))
-        parts.append(f"SELECT t0.id, {n} AS n, concat_ws(' ', {', '.join(f't{k}.word' for k in range(n))}) AS phrase FROM {table} t0 {joins}")
-    return " UNION ALL ".join(parts)
+def _grams(lists: str, sizes: range) -> str:
+    """Unions of runs of words over a CTE with id and the word list w."""
+    return " UNION ALL ".join(f"SELECT id, {n} AS n, array_to_string(w[i : i + {n - 1}], ' ') AS phrase FROM (SELECT id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {lists}) a{n}" for n in sizes)
+
+
+_LISTS = f"{_TOK}, l AS (SELECT id, list(word ORDER BY position) AS w FROM tok GROUP BY id)"
 
 
 @query("c4_collapse", r"SELECT doc_id AS id, regexp_replace(regexp_replace(text, '\n+', chr(10), 'g'), ' +', ' ', 'g') AS text FROM documents")
@@ -156,7 +155,7 @@ def _t17(spark, d):
     return text.word_stats(occurrences(spark, d))
 
 
-@query("t18_ngram_counts", f"WITH {_TOK}, g AS ({_grams('tok', range(2, 5))}) SELECT id, phrase, n, count(*) AS frequency FROM g GROUP BY ALL HAVING count(*) >= 2")
+@query("t18_ngram_counts", f"WITH {_LISTS}, g AS ({_grams('l', range(2, 5))}) SELECT id, phrase, n, count(*) AS frequency FROM g GROUP BY ALL HAVING count(*) >= 2")
 def _t18(spark, d):
     return text.phrases(docs(spark, d))
 
@@ -165,12 +164,12 @@ _LEGAL = "(list_has_any(string_split(phrase, ' '), ['the', 'und', 'des']) AND ph
 _VALUED = "(contains(phrase, 'tion the') OR contains(phrase, 'und der'))"
 
 
-@query("t22_case_phrases", f"WITH {_TOK}, g AS ({_grams('tok', range(2, 5))}) SELECT id, phrase, n, count(*) AS frequency FROM g WHERE {_LEGAL} GROUP BY ALL HAVING count(*) >= 2 OR {_VALUED}")
+@query("t22_case_phrases", f"WITH {_LISTS}, g AS ({_grams('l', range(2, 5))}) SELECT id, phrase, n, count(*) AS frequency FROM g WHERE {_LEGAL} GROUP BY ALL HAVING count(*) >= 2 OR {_VALUED}")
 def _t22(spark, d):
     return text.phrases(docs(spark, d), keep=text.is_legal(F.col("phrase"), KEYWORDS, (), STOPS), high_value=text.is_high_value(F.col("phrase"), VALUED))
 
 
-@query("t23_brief_phrases", rf"WITH {_DOC}, raw AS (SELECT id, unnest(range(len(w))) AS position, unnest(w) AS word FROM (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM doc) a), g AS ({_grams('raw', range(2, 6))}) SELECT id, phrase, n, count(*) AS frequency FROM g GROUP BY ALL HAVING count(*) >= 2")
+@query("t23_brief_phrases", rf"WITH {_DOC}, l AS (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM doc), g AS ({_grams('l', range(2, 6))}) SELECT id, phrase, n, count(*) AS frequency FROM g GROUP BY ALL HAVING count(*) >= 2")
 def _t23(spark, d):
     return text.phrases(docs(spark, d), (2, 3, 4, 5), words=F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
@@ -217,7 +216,7 @@ def _r7(spark, d):
     return names.select("p_partkey", F.round(search.trigram_similarity(F.col("p_name"), F.lit("large steel")), 6).alias("similarity"))
 
 
-@query("r8_top_phrases", f"WITH {_TOK}, g AS ({_grams('tok', range(2, 3))}), c AS (SELECT id, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 2) SELECT phrase, sum(f)::BIGINT AS frequency, count(DISTINCT id) AS cases FROM c GROUP BY phrase ORDER BY frequency DESC, phrase LIMIT 50")
+@query("r8_top_phrases", f"WITH {_LISTS}, g AS ({_grams('l', range(2, 3))}), c AS (SELECT id, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 2) SELECT phrase, sum(f)::BIGINT AS frequency, count(DISTINCT id) AS cases FROM c GROUP BY phrase ORDER BY frequency DESC, phrase LIMIT 50")
 def _r8(spark, d):
     rows = text.phrases(docs(spark, d), (2,)).groupBy("phrase").agg(F.sum("frequency").alias("frequency"), F.countDistinct("id").alias("cases"))
     return search.top(rows, 50, F.desc("frequency"), F.col("phrase"))
@@ -235,7 +234,7 @@ def _r16(spark, d):
     return search.nearest(rows, list(rows.filter("vec_id = 0").first().embedding), 20)
 
 
-@query("r18_find_with_context", f"WITH {_STOK}, hit AS (SELECT DISTINCT id, sentence_order FROM tok WHERE word = 'which'), num AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sentence_order) AS g FROM sent), at AS (SELECT n.id, n.g FROM num n JOIN hit h ON h.id = n.id AND h.sentence_order = n.sentence_order) SELECT at.id, at.g AS target, string_agg(n.text, ' | ' ORDER BY n.g) AS context FROM at JOIN num n ON n.id = at.id AND n.g BETWEEN at.g - 1 AND at.g + 1 GROUP BY at.id, at.g")
+@query("r18_find_with_context", f"WITH {_STOK}, hit AS (SELECT DISTINCT id, sentence_order FROM tok WHERE word = 'which'), num AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sentence_order) AS g FROM sent), spot AS (SELECT n.id, n.g FROM num n JOIN hit h ON h.id = n.id AND h.sentence_order = n.sentence_order) SELECT s.id, s.g AS target, string_agg(n.text, ' | ' ORDER BY n.g) AS context FROM spot s JOIN num n ON n.id = s.id AND n.g BETWEEN s.g - 1 AND s.g + 1 GROUP BY s.id, s.g")
 def find_with_context(spark: SparkSession, sf_dir: str, words: tuple[str, ...] = ("which",), reach: int = 1) -> DataFrame:
     """Sentences that hold all the words, each with its neighbours in order. The flagship query."""
     rows = text.numbered(sentences(spark, sf_dir), "sentence_order")
@@ -251,7 +250,7 @@ def _r19(spark, d):
     return search.top(rows, 20, F.desc("n"), F.col("word"))
 
 
-@query("a9_ordered_json", "SELECT l_orderkey, '[' || string_agg('{\"n\":' || l_linenumber || ',\"part\":' || l_partkey || '}', ',' ORDER BY l_linenumber) || ']' AS items FROM lineitem GROUP BY l_orderkey")
+@query("a9_ordered_json", "SELECT l_orderkey, '[' || string_agg('{\"n\":' || l_linenumber || ',\"part\":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS items FROM lineitem GROUP BY l_orderkey")
 def _a9(spark, d):
     item = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"))
     return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("items"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -53,9 +54,10 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("OFF")
     con, sql = connection(sys.argv[1]), entry.oracle_sql()
     for name in sys.argv[2:] or sql:
+        began = time.time()
         try:
             df = entry.queries()[name](spark, sys.argv[1])
             bad = differences(name, [tuple(r) for r in df.collect()], df.columns, con.execute(sql[name]))
         except Exception as e:
             bad = f"{type(e).__name__}: {str(e)[:300]}"
-        print(f"{name}: {bad or 'ok'}", flush=True)
+        print(f"{name}: {bad or 'ok'} ({time.time() - began:.1f} s)", flush=True)
