@@ -82,7 +82,7 @@ class Isotonic:
                 weight[-1] += w
                 left[-1][1] = hi
         self.x = np.array([v for pair in left for v in pair]) if left else np.zeros(1)
-        self.y = np.repeat(mean, 2) if mean else np.full(1, 0.5)
+        self.y = np.repeat(mean, 2) if mean else np.zeros(1)
         return self
 
     def __call__(self, x: np.ndarray) -> np.ndarray:

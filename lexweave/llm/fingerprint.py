@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm._work import partitions, small, table
 
-K = 128
+K = 256
 GAPS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -115,10 +115,13 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     next document in descending order of doc_id.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, "doc_id", "text", lambda d: with_sketch(d, "text", "a")).withColumn("n", F.length("text"))
+    # Sketches are made after the rows are dealt out, so that the shuffle carries texts alone.
+    rows = with_next(docs, "doc_id", "text", lambda d: d).withColumn("n", F.length("text"))
     half = F.floor(F.col("n") / 2).cast("int")
-    edited = rows.select("doc_id", "n", "a", F.col("next.a").alias("c"), F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next.text", F.lit(1), half)).alias("edited"))
-    both = with_sketch(edited, "edited", "b")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next.text", F.lit(1), half))
+    both = rows.select("doc_id", "n", "text", F.col("next.text").alias("following"), edited.alias("edited"))
+    for text, name in (("text", "a"), ("edited", "b"), ("following", "c")):
+        both = with_sketch(both, text, name)
     return both.select(
         "doc_id",
         F.col("n").cast("bigint").alias("n_chars"),

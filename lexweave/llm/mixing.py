@@ -3,7 +3,7 @@
 A softmax classifier fitted on the labelled table gives each document posteriors over domains.
 Nonnegative document rates x then minimise the squared distance between the expected tokens of each
 domain, sum(x * tokens * posterior), and the targets. Each step of the projected gradient is one
-aggregation of a few sums over all documents; the domains' Gram matrix scales the step. A
+aggregation of a few sums over all documents; the domains' Gram matrix over documents with a positive rate scales the step. A
 document's rate after m steps is a closed expression of its posteriors, so no step writes a table.
 """
 
@@ -139,22 +139,23 @@ def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: floa
     """
     k = len(targets)
     share = [F.col("p")[i] for i in range(k)]
-    have = members.agg(*[F.coalesce(F.sum(F.col("tokens") * share[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)], *[F.coalesce(F.sum(F.col("tokens") * share[i] * share[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-    total = max(sum(have[:k]), 1.0)
+    have = members.agg(*[F.coalesce(F.sum(F.col("tokens") * share[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()
+    total = max(sum(have), 1.0)
     budget = HEADROOM * have[0] / targets[0] if budget is None else budget
     want = np.array(targets) * budget / total
-    gram = np.array(have[k:]).reshape(k, k) / total
-    scale = np.linalg.pinv(gram + 1e-6 * np.eye(k))
     rate: Column = F.lit(1.0)
     best, least = rate, np.inf
     for _ in range(steps):
-        sums = members.select(rate.alias("x"), "tokens", *[share[i].alias(f"p{i}") for i in range(k)]).agg(*[F.coalesce(F.sum(F.col("x") * F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)) for i in range(k)]).first()
-        miss = np.array(sums) / total - want
+        # Sums of expected tokens, and the Gram matrix of the documents whose rate isn't held at 0.
+        rated = members.select(rate.alias("x"), "tokens", *[share[i].alias(f"p{i}") for i in range(k)]).withColumn("t", F.when(F.col("x") > 0, F.col("tokens")).otherwise(0))
+        cells = [F.sum(F.col("t") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
+        sums = rated.agg(*[F.coalesce(c, F.lit(0.0)) for c in [*[F.sum(F.col("x") * F.col("tokens") * F.col(f"p{i}")) for i in range(k)], *cells]]).first()
+        miss = np.array(sums[:k]) / total - want
         if np.abs(miss).max() < least:
             best, least = rate, np.abs(miss).max()
         if least < ENOUGH:
             break
-        u = scale @ miss
+        u = np.linalg.pinv(np.array(sums[k:]).reshape(k, k) / total + 1e-9 * np.eye(k)) @ miss
         move = sum((share[i] * F.lit(float(u[i])) for i in range(k)), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate - move)
     return members.withColumn("rate", best)
