@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lexweave.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from lexweave.llm._work import table, written
 
-#: Token shares of good, poor and toxic text after mixing. Good text is kept whole.
-SHARES = (0.95, 0.045, 0.005)
+#: Token shares of good text and of all other after mixing. Good text is kept whole.
+SHARES = (0.95, 0.05)
 
 
 def _with(docs: DataFrame, kept: DataFrame) -> DataFrame:

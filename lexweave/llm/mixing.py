@@ -144,20 +144,23 @@ def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: floa
     budget = HEADROOM * have[0] / targets[0] if budget is None else budget
     want = np.array(targets) * budget / total
     rate: Column = F.lit(1.0)
-    best, least = rate, np.inf
+    best, least, toward, stride = rate, np.inf, np.zeros(k), 1.0
     for _ in range(steps):
         # Sums of expected tokens, and the Gram matrix of the documents whose rate isn't held at 0.
         rated = members.select(rate.alias("x"), "tokens", *[share[i].alias(f"p{i}") for i in range(k)]).withColumn("t", F.when(F.col("x") > 0, F.col("tokens")).otherwise(0))
         cells = [F.sum(F.col("t") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
         sums = rated.agg(*[F.coalesce(c, F.lit(0.0)) for c in [*[F.sum(F.col("x") * F.col("tokens") * F.col(f"p{i}")) for i in range(k)], *cells]]).first()
         miss = np.array(sums[:k]) / total - want
-        if np.abs(miss).max() < least:
-            best, least = rate, np.abs(miss).max()
-        if least < ENOUGH:
+        if (miss**2).sum() < least:
+            gram = np.array(sums[k:]).reshape(k, k) / total
+            # A domain of hardly any tokens must not make the step as long as it is rare.
+            best, least, stride, toward = rate, (miss**2).sum(), 1.0, np.linalg.pinv(gram + 1e-6 * np.eye(k), rcond=1e-3, hermitian=True) @ miss
+        else:
+            stride /= 4  # too long a step: a shorter one from the best rates so far
+        if least < ENOUGH**2:
             break
-        u = np.linalg.pinv(np.array(sums[k:]).reshape(k, k) / total + 1e-9 * np.eye(k)) @ miss
-        move = sum((share[i] * F.lit(float(u[i])) for i in range(k)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        move = sum((share[i] * F.lit(float(stride * toward[i])) for i in range(k)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), best - move)
     return members.withColumn("rate", best)
 
 
@@ -168,7 +171,12 @@ def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     their features give; repeated rows get equal rows. Labels with nulls aren't learned from; with no
     labels at all every posterior is the same.
     """
-    members = written(posteriors(docs, labels, id_col, text_col), docs.sparkSession)
+    members = posteriors(docs, labels, id_col, text_col)
+    k = len(targets)
+    if k < len(DOMAINS):  # the last target is for the last domains together
+        last = F.aggregate(F.slice("p", k, len(DOMAINS)), F.lit(0.0), lambda t, x: t + x)
+        members = members.withColumn("p", F.concat(F.slice("p", 1, k - 1), F.array(last)))
+    members = written(members, docs.sparkSession)
     unit = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rates(members, targets).withColumn("copies", F.floor(F.col("rate") + unit).cast("bigint"))
 
