@@ -148,9 +148,10 @@ class RunIndex:
         # Ranks by the first 4, 8, ..., 512 symbols. The first 1024 hold a whole text, so their order is that of the suffixes.
         padded = np.concatenate([text, np.zeros(4, np.int64)])
         key = ((padded[:n] * 257 + padded[1 : n + 1]) * 257 + padded[2 : n + 2]) * 257 + padded[3 : n + 3]
-        self.ranks, width = {}, 4
+        self.ranks, width, order = {}, 4, np.argsort(key)
         while True:
-            order = np.argsort(key)
+            if width > 4:  # in the order so far only equal ranks are out of place, which a merging sort makes use of
+                order = order[np.argsort(key[order], kind="stable")]
             if width == 1024:
                 break
             s = key[order]
