@@ -284,6 +284,7 @@ golden("e2_division", [("DIVISION THREE", "Division III"), ("Division II", "Divi
 golden("e3_publication", [("Unpublished Opinion", "Unpublished"), ("opinion published in part", "Partially Published"), ("x", "Published")], ("status", extract.publication_status))
 golden("e4_case_number", [("No. 39019-5-III", "39019-5-III"), ("Case Number: 101,045-1", "101,045-1"), ("none", None)], ("number", extract.case_number))
 golden("e7_case_type", [("negligence of the city", "tort"), ("State of Washington, Respondent v. Doe", "criminal"), ("probate of a will", "estate"), ("dissolution", "divorce"), ("custody", "family"), ("x", "civil")], ("kind", extract.case_type))
+golden("e9_county", [("Appeal from Pierce County and from Grays Harbor County Superior Court", "Grays Harbor"), ("the county", None)], ("county", extract.county))
 golden("e10_citations", [("see 123 Wn. App. 2d 456 and 12 Wn.2d 7 and 123 Wn. App. 2d 456", "123 Wn. App. 2d 456;12 Wn.2d 7")], ("found", lambda t: F.array_join(F.transform(extract.citations(t), lambda c: F.concat_ws(" ", c["volume"], c["reporter"], c["page"])), ";")))
 golden("e11_statutes", [("RCW 26.09.170 and RCW 9.94A.525", "26.09.170,9.94")], ("found", lambda t: F.array_join(extract.statutes(t), ",")))
 golden("e12_outcome", [("We reverse and remand.", "reversed"), ("affirmed in part and reversed in part", "affirmed"), ("it is hereby dismissed", "dismissed"), ("x", None)], ("outcome", lambda t: extract.outcome(t)["outcome"]))
