@@ -23,8 +23,10 @@ from lexweave.llm._work import dropped, small, table, text_batches, written
 
 SYMBOLS, PER_CHUNK, BITS = 48, 4, 16
 CHUNKS = SYMBOLS // PER_CHUNK
-#: Signatures that differ in this many symbols or more aren't compared.
-DISTANCE = 2 * CHUNKS
+#: Two signatures that differ in fewer symbols always share a key; others may.
+ASSURED = 2 * CHUNKS
+#: Pairs that share a key but differ in this many symbols aren't compared: at resemblance 0.75 twelve differ, and thirty do with odds of some 1e-8.
+DISTANCE = 30
 #: Bits of the long signature that is made where a key's classes aren't settled by its least one. At
 #: resemblance 0.75 it differs in 128 bits, give or take 10.6; pairs beyond LONG_DISTANCE aren't compared.
 LONG, LONG_DISTANCE = 1024, 176
