@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexweave.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from lexweave.llm._work import table, written
 
-#: Token shares of good text and of all other after mixing. Good text is kept whole.
+#: Token shares of documents that are good text most likely, which are kept whole, and of all other after mixing.
 SHARES = (0.95, 0.05)
 
 
@@ -42,8 +42,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thins out documents to their rates; a rate of 1 or more keeps the document, once."""
-    rated = written(mixing.mixed(docs, table(spark, sf_dir, "labels"), targets=SHARES), spark)
+    """Keeps documents that are good text most likely, and thins out the others to their rates."""
+    rated = written(mixing.thinned(docs, table(spark, sf_dir, "labels"), shares=SHARES), spark)
     return _with(docs, rated.filter("copies >= 1"))
 
 

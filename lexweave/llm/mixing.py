@@ -131,12 +131,14 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return source.mapInArrow(call, schema)
 
 
-def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, steps: int = STEPS) -> DataFrame:
+def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, steps: int = STEPS, whole: str | None = None) -> DataFrame:
     """``members`` (tokens, p, which are read again in each step) with rate, the fitted nonnegative rate.
 
     Expected tokens of domain k are to be targets[k] * budget; the budget by default gives the first
     domain HEADROOM times its tokens. A domain that has no tokens can't be met and leaves a residual.
+    With ``whole``, a boolean column, its rows have a rate of 1 and no other row a higher one.
     """
+    free = F.lit(True) if whole is None else ~F.col(whole)
     k = len(targets)
     share = [F.col("p")[i] for i in range(k)]
     have = members.agg(*[F.coalesce(F.sum(F.col("tokens") * share[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()
@@ -146,8 +148,8 @@ def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: floa
     rate: Column = F.lit(1.0)
     best, least, toward, stride = rate, np.inf, np.zeros(k), 1.0
     for _ in range(steps):
-        # Sums of expected tokens, and the Gram matrix of the documents whose rate isn't held at 0.
-        rated = members.select(rate.alias("x"), "tokens", *[share[i].alias(f"p{i}") for i in range(k)]).withColumn("t", F.when(F.col("x") > 0, F.col("tokens")).otherwise(0))
+        # Sums of expected tokens, and the Gram matrix of the documents whose rate isn't held at 0 or kept at 1.
+        rated = members.select(rate.alias("x"), "tokens", free.alias("free"), *[share[i].alias(f"p{i}") for i in range(k)]).withColumn("t", F.when(F.col("free") & (F.col("x") > 0), F.col("tokens")).otherwise(0))
         cells = [F.sum(F.col("t") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
         sums = rated.agg(*[F.coalesce(c, F.lit(0.0)) for c in [*[F.sum(F.col("x") * F.col("tokens") * F.col(f"p{i}")) for i in range(k)], *cells]]).first()
         miss = np.array(sums[:k]) / total - want
@@ -161,9 +163,17 @@ def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: floa
             break
         move = sum((share[i] * F.lit(float(stride * toward[i])) for i in range(k)), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), best - move)
+        if whole is not None:
+            rate = F.when(free, F.least(F.lit(1.0), rate)).otherwise(F.lit(1.0))
     return members.withColumn("rate", best)
 
 
+def _copies(id_col: str = "id") -> Column:
+    """The rate rounded to a neighbouring whole number by the hash of the id."""
+    unit = F.pmod(F.xxhash64(id_col, F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.floor(F.col("rate") + unit).cast("bigint")
+
+
 def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """id, tokens, p, rate and copies (rate rounded to a neighbouring whole number by the hash of the id).
 
@@ -177,8 +187,27 @@ def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         last = F.aggregate(F.slice("p", k, len(DOMAINS)), F.lit(0.0), lambda t, x: t + x)
         members = members.withColumn("p", F.concat(F.slice("p", 1, k - 1), F.array(last)))
     members = written(members, docs.sparkSession)
-    unit = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rates(members, targets).withColumn("copies", F.floor(F.col("rate") + unit).cast("bigint"))
+    return rates(members, targets).withColumn("copies", _copies())
+
+
+def thinned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, float] = TARGETS[:2]) -> DataFrame:
+    """id, tokens, p, good (whether the first domain has the top posterior), rate (1 at most) and copies (0 or 1).
+
+    Good documents are kept whole. The others are thinned until their tokens are to those of the good
+    ones as shares[1] to shares[0], if they have more. The targets are the tokens of each domain that
+    the documents so kept can be expected to have, so that the doubt in the posteriors of good
+    documents isn't made up for by dropping some of them. One row per input row, as in ``mixed``.
+    """
+    p = posteriors(docs, labels, id_col, text_col)
+    members = written(p.withColumn("good", F.col("p")[0] >= F.array_max("p")), docs.sparkSession)
+    k = len(DOMAINS)
+    sums = members.groupBy("good").agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)]).collect()
+    have = {r[0]: np.array(r[1:], float) for r in sums}
+    good, rest = (have.get(x, np.zeros(k + 1)) for x in (True, False))
+    part = min(1.0, shares[1] / shares[0] * good[0] / max(rest[0], 1.0))
+    want = good[1:] + part * rest[1:]
+    budget = float(want.sum())
+    return rates(members, tuple((want / max(budget, 1.0)).tolist()), budget, whole="good").withColumn("copies", _copies())
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
