@@ -2,11 +2,13 @@
 
 Texts are cut into sentences, which are normalised and mapped to the identifiers of known licence
 sentences; a licence is found where the identifiers of one of its rules follow each other in order,
-at most ``GAP`` sentences apart.
+at most ``GAP`` sentences apart. Known sentences are cut as texts are; their pieces must be adjacent.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ SENTENCES = {
     "bsd-use": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -46,12 +49,14 @@ RULES = (
     ("Apache-2.0", ("apache-2-notice",)), ("Apache-2.0", ("apache-2-grant", "apache-2-use", "apache-2-copy")),
     ("GPL-3.0", ("gpl-3-notice",)), ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)), ("CC-BY-4.0", ("cc-by-4-notice",)), ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",)), ("CC0-1.0", ("cc0-notice",)),
-    ("BSD-2-Clause", ("bsd-use", "bsd-source", "bsd-binary")), ("Unlicense", ("unlicense",)),
+    ("BSD-2-Clause", ("bsd-use", "bsd-source", "bsd-binary")), ("BSD-3-Clause", ("bsd-use", "bsd-source", "bsd-binary", "bsd-endorse")), ("Unlicense", ("unlicense",)),
 )
 
 #: A sentence ends at a line's end that another sentence's sign precedes, at an empty line, or after such a sign before a blank.
 ENDS = r"(?<=[.!?:;])[ \t\r\n]+|\n[ \t\r]*\n"
-#: Runs of whatever is neither letter nor digit are one blank; comment signs at line starts vanish with them.
+#: Comment signs at a line's start, and at its end after a blank. Without them an empty comment line is an empty line.
+COMMENTS = r"(?md)^[ \t]*(?:#+|//+[/!]*|/\*+|\*+/?|--+>?|;+|%+|<!--+)+|[ \t]+(?:\*+/?|#+|--+>)[ \t\r]*$"
+#: Runs of whatever is neither letter nor digit are one blank.
 NOISE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -59,27 +64,41 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), NOISE, " "))
 
 
+def bare(text: Column) -> Column:
+    """The text without comment signs."""
+    return F.regexp_replace(text, COMMENTS, "")
+
+
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES, gap: int = GAP) -> DataFrame:
     """id, t (hash of the text), rule, licence: the rules that each text meets.
 
-    Sentences may run over lines; a line by itself also counts as a sentence for rules of one. Of
-    the places where a rule can begin for one end, the last is followed up.
+    Sentences may run over lines; a line by itself also counts as a sentence for rules of one piece. Of
+    the places where a rule can begin for one end, the last is followed up. A rule that begins where a
+    longer rule with the same first sentences is met isn't met by itself.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = base.select("id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", ENDS)).alias("pos", "s")).select("id", "t", "pos", normal(F.col("s")).alias("s"))
-    known = spark.createDataFrame([(k, v) for k, v in sentences.items()], "sid string, s string").select("sid", normal(F.col("s")).alias("s"))
-    steps = spark.createDataFrame([(r, name, i, sid, len(ids)) for r, (name, ids) in enumerate(rules) for i, sid in enumerate(ids)], "rule int, licence string, step int, sid string, of int")
-    lines = base.select("id", F.xxhash64("text").alias("t"), F.explode(F.split("text", "\n")).alias("s")).select("id", "t", F.lit(-1).alias("pos"), normal(F.col("s")).alias("s"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("t"), bare(F.col("text")).alias("text"))
+    cut = base.select("id", "t", F.posexplode(F.split("text", ENDS)).alias("pos", "s")).select("id", "t", "pos", normal(F.col("s")).alias("s"))
+    pieces = {k: [x for x in re.split(ENDS, v) if x.strip()] for k, v in sentences.items()}
+    known = spark.createDataFrame([(f"{k} {i}", x) for k, v in pieces.items() for i, x in enumerate(v)], "sid string, s string").select("sid", normal(F.col("s")).alias("s"))
+    # The pieces of each rule, each with its distance from the one before at most.
+    parts = [[(f"{k} {i}", 1 if i else gap) for k in ids for i in range(len(pieces[k]))] for _, ids in rules]
+    steps = spark.createDataFrame([(r, rules[r][0], i, sid, reach, len(own)) for r, own in enumerate(parts) for i, (sid, reach) in enumerate(own)], "rule int, licence string, step int, sid string, reach int, of int")
+    lines = base.select("id", "t", F.explode(F.split("text", "\n")).alias("s")).select("id", "t", F.lit(-1).alias("pos"), normal(F.col("s")).alias("s"))
     named = lambda rows: rows.join(F.broadcast(known), "s").select("id", "t", "pos", "sid").join(F.broadcast(steps), "sid")
     hits = written(named(cut).union(named(lines).filter("of = 1")), spark)
     now = hits.filter("step = 0").select("id", "t", "rule", "licence", "of", F.col("pos").alias("start"), F.col("pos").alias("end"))
     done = now.filter("of = 1")
-    for step in range(1, max(len(ids) for _, ids in rules)):
-        then = hits.filter(F.col("step") == step).select(F.col("id").alias("id_"), F.col("t").alias("t_"), F.col("rule").alias("rule_"), "pos")
-        on = F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")) & (F.col("rule") == F.col("rule_")) & (F.col("pos") > F.col("end")) & (F.col("pos") <= F.col("end") + gap)
+    for step in range(1, max(len(own) for own in parts)):
+        then = hits.filter(F.col("step") == step).select(F.col("id").alias("id_"), F.col("t").alias("t_"), F.col("rule").alias("rule_"), "pos", "reach")
+        on = F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")) & (F.col("rule") == F.col("rule_")) & (F.col("pos") > F.col("end")) & (F.col("pos") <= F.col("end") + F.col("reach"))
         now = now.join(then, on).groupBy("id", "t", "rule", "licence", "of", "pos").agg(F.max("start").alias("start")).select("id", "t", "rule", "licence", "of", "start", F.col("pos").alias("end"))
         done = done.union(now.filter(F.col("of") == step + 1))
+    longer = [(i, j) for i, (_, x) in enumerate(rules) for j, (_, y) in enumerate(rules) if len(x) < len(y) and y[: len(x)] == x]
+    if longer:
+        done = written(done, spark)
+        over = done.join(F.broadcast(spark.createDataFrame(longer, "less int, rule int")), "rule").select(F.col("id").alias("id_"), F.col("t").alias("t_"), F.col("less").alias("rule_"), F.col("start").alias("start_")).distinct()
+        done = done.join(over, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")) & (F.col("rule") == F.col("rule_")) & (F.col("start") == F.col("start_")), "left_anti")
     return done.select("id", "t", "rule", "licence").distinct()
 
 
@@ -92,7 +111,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **m
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = matches(docs, id_col, text_col, **more).groupBy("id", "t").agg(F.array_sort(F.collect_set("licence")).alias("licences"), F.count("*").alias("n"))
     found = written(found.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "licences", "n"), docs.sparkSession)
-    rows = base.select("id", F.xxhash64("text").alias("t"), F.coalesce(F.size(F.split("text", ENDS)), F.lit(0)).alias("n_sentences"))
+    rows = base.select("id", F.xxhash64("text").alias("t"), F.coalesce(F.size(F.split(bare(F.col("text")), ENDS)), F.lit(0)).alias("n_sentences"))
     rows = rows.withColumn("n_sentences", F.greatest("n_sentences", F.lit(0)).cast("bigint"))
     out = rows.join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")), "left")
     return out.select("id", "n_sentences", F.coalesce("licences", F.array().cast("array<string>")).alias("licences"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rules"))
