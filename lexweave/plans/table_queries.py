@@ -60,6 +60,7 @@ STATEMENTS = {
     "o1_top_k": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "o2_page": "SELECT c_custkey, c_name FROM {customer} ORDER BY c_name, c_custkey LIMIT 20 OFFSET 40",
     "o3_nulls_first": "SELECT conv_id, turn, nullif(role, 'user') AS role FROM {conversations} ORDER BY nullif(role, 'user') DESC NULLS FIRST, conv_id, turn LIMIT 50",
+    "o3_nulls_first_all": "SELECT conv_id, turn, nullif(role, 'user') AS role FROM {conversations} ORDER BY nullif(role, 'user') DESC NULLS FIRST, conv_id, turn",
     "o4_distinct": "SELECT DISTINCT p_brand, p_type FROM {part}",
     "o5_distinct_on": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}) t WHERE n = 1",
     "o6_union_all": "SELECT n_name AS name FROM {nation} UNION ALL SELECT r_name FROM {region}",
@@ -67,6 +68,7 @@ STATEMENTS = {
     "o9_exact_content_dedup": "SELECT h, doc_id FROM (SELECT md5(text) AS h, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY length(source), source, doc_id) AS n FROM {documents}) t WHERE n = 1",
     "o10_child_listing": "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} WHERE l_orderkey = (SELECT min(l_orderkey) FROM {lineitem}) ORDER BY l_shipdate, l_linenumber",
     "m1_upsert_latest": "SELECT k, v, was_inserted FROM (SELECT k, v, CASE WHEN min(src) OVER (PARTITION BY k) = 1 THEN 1 ELSE 0 END AS was_inserted, row_number() OVER (PARTITION BY k ORDER BY src DESC, v DESC) AS n FROM (SELECT c_custkey AS k, c_acctbal AS v, 0 AS src FROM {customer} WHERE c_custkey % 2 = 0 UNION ALL SELECT o_custkey, max(o_totalprice), 1 FROM {orders} GROUP BY o_custkey) u) t WHERE n = 1",
+    "m1_upsert_all": "SELECT k, v, was_inserted FROM (SELECT k, v, CASE WHEN min(src) OVER (PARTITION BY k) = 1 THEN 1 ELSE 0 END AS was_inserted, row_number() OVER (PARTITION BY k ORDER BY src DESC, v DESC) AS n FROM (SELECT c_custkey AS k, c_acctbal AS v, 0 AS src FROM {customer} UNION ALL SELECT o_custkey, max(o_totalprice), 1 FROM {orders} GROUP BY o_custkey) u) t WHERE n = 1",
     "m2_insert_ignore": "SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey = l.l_partkey AND p.p_size < 10)",
     "m3_get_or_create": "SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT lower(trim(p_type)) AS name FROM {part}) t",
     "m4_taxonomy_paths": "SELECT DISTINCT r_name AS case_type, concat(r_name, '/', n_name) AS category, concat(r_name, '/', n_name, '/', c_mktsegment) AS subcategory FROM {region} JOIN {nation} ON n_regionkey = r_regionkey JOIN {customer} ON c_nationkey = n_nationkey",
