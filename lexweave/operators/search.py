@@ -110,8 +110,9 @@ def rank(counts: Column, length: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of lower-case words with two blanks before and one after each."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+    # Letters as arrays: a substring is searched from the start of its word, so that long words took time in the square of their length.
+    letters = F.transform(words, lambda w: F.split(F.concat(F.lit("  "), w, F.lit(" ")), ""))
+    return F.array_distinct(F.flatten(F.transform(letters, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2])))))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

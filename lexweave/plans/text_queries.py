@@ -261,8 +261,16 @@ def _a10(spark, d):
     return occurrences(spark, d).filter("word = 'the'").groupBy("id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+#: Literal cases by query: rows of an input and what each column must give.
+GOLDEN: dict[str, tuple[list[tuple], list[str]]] = {}
+
+
 def golden(name: str, rows: list[tuple], *columns: tuple[str, Callable]) -> None:
-    """A query over literal inputs; the SQL states what each must give."""
+    """A query over literal inputs, whose SQL states what each must give, and ``name``_documents, which does the same to every document."""
+    GOLDEN[name] = rows, [c for c, _ in columns]
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return docs(spark, sf_dir).select("id", *[f(F.col("text")).cast("string").alias(c) for c, f in columns])
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, v string")
@@ -271,6 +279,7 @@ def golden(name: str, rows: list[tuple], *columns: tuple[str, Callable]) -> None
     say = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
     values = ", ".join(f"({i}, {', '.join(say(x) for x in r[1:])})" for i, r in enumerate(rows))
     casts = ", ".join(f"c{k}::VARCHAR AS {c}" for k, (c, _) in enumerate(columns))
+    query(f"{name}_documents")(whole)
     query(name, f"SELECT i, {casts} FROM (VALUES {values}) t(i, {', '.join(f'c{k}' for k in range(len(columns)))})")(run)
 
 
