@@ -22,9 +22,9 @@ NEAR = 5
 NAMES = ("hits", "hit_density", "word_hits", "word_density", "weight_density", "second_person", "near_second_person", "capitals", "all_caps_words", "exclamations", "questions", "punctuation", "digits", "obfuscated", "stretched", "log_words", "word_length")
 
 
-def word_hash(word: str, powers: Powers) -> int:
+def word_hash(word: str) -> int:
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(words(raw, np.array([0, len(raw)]), BREAK, powers)[0][0])
+    return int(words(raw, np.array([0, len(raw)]), BREAK)[0][0])
 
 
 def _stem_hashes(low: np.ndarray, s: np.ndarray, e: np.ndarray, powers: Powers, length: int) -> np.ndarray:
@@ -45,7 +45,7 @@ def terms(raw: np.ndarray, off: np.ndarray, powers: Powers):
     """Hashes of words and of their beginnings, one array each, and the first word of each text."""
     from lexweave.llm._text import LOWER
 
-    h, s, e, first = words(raw, off, BREAK, powers)
+    h, s, e, first = words(raw, off, BREAK)
     low = LOWER[raw]
     return [h, *(_stem_hashes(low, s, e, powers, n) for n in STEMS)], s, e, first
 
@@ -112,7 +112,7 @@ EXTRA = 6
 WIDTH = KINDS * KINDS + EXTRA
 
 
-def shapes(raw: np.ndarray, off: np.ndarray, powers: Powers) -> np.ndarray:
+def shapes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Rows of log-scaled rates of neighbouring byte classes, of repeated words and lines, of lengths."""
     n = len(off) - 1
     c = SHAPE[raw]
@@ -128,7 +128,7 @@ def shapes(raw: np.ndarray, off: np.ndarray, powers: Powers) -> np.ndarray:
     line[10] = True
     extra = np.zeros((n, EXTRA), np.float32)
     for k, breaks in ((0, BREAK), (2, line)):
-        h, _, _, first = words(raw, off, breaks, powers)
+        h, _, _, first = words(raw, off, breaks)
         owner = np.repeat(np.arange(n), np.diff(first))
         total = np.diff(first)
         order = np.lexsort((h, owner))

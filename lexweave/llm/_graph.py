@@ -27,7 +27,7 @@ def _star(spark: SparkSession, edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """``edges``: a, b of bigint. Returns id, component for every id that an edge names.
+    """``edges``: a, b of bigint. Returns id, component for every id that an edge names, as a written table.
 
     component is the smallest id reachable. Each step is a few aggregations over the edges, the
     number of steps grows with the logarithm of the longest path, and each is written out.
@@ -44,4 +44,6 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             break
         mark = new
     ids = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return ids.union(ids.select("component", "component").distinct()).groupBy("id").agg(F.min("component").alias("component"))
+    out = written(ids.union(ids.select("component", "component").distinct()).groupBy("id").agg(F.min("component").alias("component")), spark)
+    dropped(now)
+    return out

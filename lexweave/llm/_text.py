@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C55
 _U = np.uint64
+#: Words up to this many bytes are hashed as a sum over their bytes and places; longer ones by BLAKE2b.
+LONG_WORD = 128
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,10 +69,15 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
 
 
-def words(raw: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACE, powers: Powers | None = None):
+_PLACES = mix(np.arange(1, LONG_WORD + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
+
+
+def words(raw: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACE):
     """Words of consecutive texts: (hash, start, end, first word of each text and the total).
 
-    ``raw`` holds the texts back to back, ``off`` their offsets from 0. A-Z count as a-z.
+    ``raw`` holds the texts back to back, ``off`` their offsets from 0. A-Z count as a-z. A word's
+    hash is the sum of its bytes, each times a factor of its place that follows no pattern, so that
+    neither order nor repetition makes two words agree.
     """
     n = len(raw)
     if not n:
@@ -84,20 +92,27 @@ def words(raw: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACE, powers:
     end = inside.copy()
     end[:-1] &= ~inside[1:] | edge[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = (powers or Powers()).to(n + 1)
+    if not len(s):
+        return np.zeros(0, _U), s, e, np.zeros(len(off), np.int64)
+    size = e - s
+    own = low[inside]
+    begin = np.cumsum(size) - size
+    place = np.arange(len(own), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum((low.astype(_U) + _U(1)) * up[:n], out=total[1:])
-        h = mix((total[e] - total[s]) * down[s] + (e - s).astype(_U))
+        parts = _PLACES.take(place, mode="clip")
+        parts *= own.astype(_U) + _U(1)
+        h = mix(np.add.reduceat(parts, begin) + size.astype(_U))
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(low[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
     return h, s, e, np.searchsorted(s, off)
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int, powers: Powers | None = None) -> Iterator[np.ndarray]:
+def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``size`` words.
 
     A text of fewer words, but not none, has one shingle: the whole sequence.
     """
-    h, _, _, first = words(raw, off, powers=powers)
+    h, _, _, first = words(raw, off)
     with np.errstate(over="ignore"):
         runs = np.zeros(max(0, len(h) - size + 1), dtype=_U)
         places = mix(np.arange(1, size + 1, dtype=_U)) | _U(1)  # without a pattern, so that no two orders of the same words agree

@@ -15,9 +15,11 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one, but on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="lexweave-")
         shared_dir.own = found
     return found.rstrip("/")

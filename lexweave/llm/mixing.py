@@ -47,7 +47,7 @@ def _features(entries: tuple[np.ndarray, np.ndarray], batch: pa.RecordBatch, pow
         own, at = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         n, length = hi - lo, np.maximum(np.diff(at), 1)
         x = tone(own, at, *entries, powers, second)
-        h, _, _, first = words(own, at, SPACE, powers)
+        h, _, _, first = words(own, at, SPACE)
         signs = []
         for c in SIGNS:
             total = np.concatenate([[0], np.cumsum(own == c)])
@@ -102,7 +102,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     entries = toxicity.lexicon(rows)
 
     def second(powers: Powers) -> np.ndarray:
-        return np.array(sorted(toxicity.word_hash(w, powers) for w in toxicity.SECOND_PERSON), np.uint64)
+        return np.array(sorted(toxicity.word_hash(w) for w in toxicity.SECOND_PERSON), np.uint64)
 
     def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()

@@ -1,16 +1,16 @@
 """MinHash near-duplicate detection by a multi-index Hamming join over b-bit signatures.
 
-A text's signature is 48 symbols of 16 bits. It is split into 12 chunks of 4 symbols. If two
-signatures differ in fewer than 24 symbols, then by the pigeonhole principle some chunk differs in
-one symbol at most, so the index enumerates, for every chunk, the four ways of leaving one symbol
-out: two texts within that distance always share a key. A pair at resemblance 0.75 passes that
-bound but for odds of about 1e-7; each link is confirmed on the full shingle sets.
+A text's signature is 80 symbols of 16 bits, split into 20 chunks of 4 symbols. If two signatures
+differ in fewer than 40 symbols, then by the pigeonhole principle some chunk differs in one symbol
+at most, so the index enumerates, for every chunk, the four ways of leaving one symbol out: two
+texts within that distance always share a key. Texts that share keys, directly or through others,
+form clusters; within a cluster all pairs under the distance are compared on their full shingle
+sets. A pair at resemblance 0.75 exactly is beyond the distance with odds of 1.3e-6.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm._graph import components
-from lexweave.llm._text import Powers, mix, pieces, shingle_sets, texts
+from lexweave.llm._text import mix, pieces, shingle_sets, texts
 from lexweave.llm._work import dropped, small, table, text_batches, written
 
-SYMBOLS, PER_CHUNK, BITS = 48, 4, 16
+SYMBOLS, PER_CHUNK, BITS = 80, 4, 16
 CHUNKS = SYMBOLS // PER_CHUNK
-#: Two signatures that differ in fewer symbols always share a key; others may.
-ASSURED = 2 * CHUNKS
-#: Pairs that share a key but differ in this many symbols aren't compared: at resemblance 0.75 twelve differ, and thirty do with odds of some 1e-8.
-DISTANCE = 30
-#: Bits of the long signature that is made where a key's classes aren't settled by its least one. At
-#: resemblance 0.75 it differs in 128 bits, give or take 10.6; pairs beyond LONG_DISTANCE aren't compared.
-LONG, LONG_DISTANCE = 1024, 176
-#: Classes of one key that are compared with each other in one task.
-BLOCK = 4096
+#: Signatures that differ in fewer symbols always share a key; pairs that differ in as many or more aren't compared.
+DISTANCE = 2 * CHUNKS
+#: Bytes of shingle sets and signatures of one block; the blocks of a cluster are met in pairs, each pair in one task.
+BLOCK = 8 << 20
+#: A cluster of more blocks is compared key by key instead, which takes as many copies of a text as it has keys.
+BLOCKS = 64
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -50,28 +47,34 @@ def _signature(h: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def _rows(size: int, full: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to sketches, or with ``full`` to the whole shingle sets as sorted hashes."""
-    powers = Powers()
+    """(id, text) to id, n, k1, k2 and the signature.
+
+    With ``full``, (id, text, c1, c2, unit, blocks) to those rows whose k1 and k2 are c1 and c2, with
+    the whole shingle set as sorted hashes.
+    """
     mul, add = _seeds()
     for batch in batches:
         raw, off = texts(batch.column(1))
         for lo, hi in pieces(off):
             at = off[lo : hi + 1]
-            ids = batch.column(0).slice(lo, hi - lo)
-            sets = shingle_sets(raw[at[0] : at[-1]], at - at[0], size, powers)
-            if full:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([h.tobytes() for h in sets], pa.binary())], ["id", "shingles"])
-                continue
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, sig, sets = [], [], [], [], []
             with np.errstate(over="ignore"):
-                for h in sets:
+                for h in shingle_sets(raw[at[0] : at[-1]], at - at[0], size):
                     n.append(len(h))
                     k1.append(int(h.sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                     k2.append(int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                     sig.append(_signature(h, mul, add) if len(h) else np.zeros(CHUNKS, "<i8"))
-            flat = pa.array(np.concatenate(sig), pa.int64())
-            sigs = pa.ListArray.from_arrays(pa.array(np.arange(0, CHUNKS * (hi - lo) + 1, CHUNKS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), sigs], ["id", "n", "k1", "k2", "sig"])
+                    if full:
+                        sets.append(h.tobytes())
+            sigs = pa.ListArray.from_arrays(pa.array(np.arange(0, CHUNKS * (hi - lo) + 1, CHUNKS), pa.int32()), pa.array(np.concatenate(sig), pa.int64()))
+            columns = [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), sigs]
+            names = ["id", "n", "k1", "k2", "sig"]
+            if full:
+                own = pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary()), *[batch.column(k).slice(lo, hi - lo) for k in range(4, 6)]], [*names, "shingles", "unit", "blocks"])
+                c1, c2 = (batch.column(k).slice(lo, hi - lo).to_numpy() for k in (2, 3))
+                yield own.filter(pa.array((np.array(k1) == c1) & (np.array(k2) == c2)))
+            else:
+                yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -92,64 +95,70 @@ def _keys(sig: str) -> Column:
     return F.array(*keys)
 
 
-def _differing(d: Column) -> Column:
-    """The number of symbols that aren't 0 in the exclusive or of two chunks."""
-    # folds each symbol onto its lowest bit, then counts those bits
-    for s in (8, 4, 2, 1):
-        keep = sum(((1 << s) - 1) << (BITS * r) for r in range(PER_CHUNK))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, s)).bitwiseAND(F.lit(keep))
-    return F.bit_count(d)
+def _met(rows: pa.RecordBatch, num: int, den: int) -> tuple[list[int], list[int]]:
+    """The links between two blocks (or within one): columns unit, i, j, block, rep, n, sig, shingles.
 
-
-def _distance(x: str, y: str) -> Column:
-    """The number of symbols in which two signatures differ."""
-    return reduce(lambda p, q: p + q, [_differing(F.col(x)[j].bitwiseXOR(F.col(y)[j])) for j in range(CHUNKS)])
+    Pairs of like size under the distance are compared on their sets, unless links found here already
+    join them; so there are fewer links than texts, and what they join is what all links join.
+    """
+    i, j, block, rep, n = (rows.column(c).to_numpy() for c in range(1, 6))
+    sig = rows.column(6).flatten().to_numpy().view("<u2").reshape(-1, SYMBOLS)
+    sets = rows.column(7)
+    hashes = np.frombuffer(b"".join(x.as_buffer() for x in sets), np.uint64)
+    _, vocabulary = np.unique(hashes, return_inverse=True)
+    vocabulary = vocabulary.astype(np.int32)
+    ends = np.cumsum(n)
+    begins = ends - n
+    root = np.arange(len(rep))
+    flag = np.zeros(int(vocabulary.max()) + 1 if len(vocabulary) else 1, bool)
+    order = np.argsort(n, kind="stable")  # by size, so that the partners of like size are a range
+    sizes = n[order]
+    a, b = [], []
+    x_side, y_side = block[order] == i[0], block[order] == j[0]
+    same = i[0] == j[0]
+    for at in np.flatnonzero(x_side).tolist():
+        x = order[at]
+        lo = np.searchsorted(sizes, -(-num * n[x] // den)) if not same else at + 1
+        hi = np.searchsorted(sizes, den * n[x] // num, side="right")
+        y = order[lo:hi][y_side[lo:hi]]
+        y = y[root[y] != root[x]]
+        if not len(y):
+            continue
+        y = y[(sig[y] != sig[x]).sum(axis=1) < DISTANCE]
+        if not len(y):
+            continue
+        own = vocabulary[begins[x] : ends[x]]
+        flag[own] = True
+        for part in np.array_split(y, -(-int(n[y].sum()) // (1 << 20))):
+            count = n[part]
+            start = np.cumsum(count) - count
+            where = np.arange(int(count.sum())) - np.repeat(start - begins[part], count)
+            both = np.add.reduceat(flag[vocabulary[where]].astype(np.int64), start)
+            for z in part[den * both >= num * (n[x] + count - both)].tolist():
+                if root[z] != root[x]:
+                    root[root == root[z]] = root[x]
+                    a.append(int(rep[x]))
+                    b.append(int(rep[z]))
+        flag[own] = False
+    return a, b
 
 
 def _near(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a key's block pairs, in order of (key, i, j), to the pairs (a, b) that may be links.
-
-    Columns: key, i, j, block, pos, rep, g, n, sig, bits. A pair has its classes in two groups, sizes
-    that allow the resemblance, near long signatures, and no key in common before this one.
-    """
+    """Rows in order of (unit, i, j) to the links (a, b) of each pair of blocks."""
     held: list[pa.RecordBatch] = []
-
-    def met(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        i, j, block, pos, rep, g, n = (rows.column(c).to_numpy() for c in range(1, 8))
-        sig = rows.column(8).flatten().to_numpy().reshape(-1, CHUNKS)
-        bits = rows.column(9).flatten().to_numpy().view(np.uint64).reshape(-1, LONG // 64)
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        chunk, variant = divmod(int(pos[0]), PER_CHUNK)
-        out = [(np.zeros(0, np.int64),) * 2]
-        for lo in range(0, len(x), 256):
-            p = x[lo : lo + 256]
-            ok = (g[p][:, None] != g[y][None]) & (np.minimum(n[p][:, None], n[y][None]) * den >= np.maximum(n[p][:, None], n[y][None]) * num)
-            ok &= rep[p][:, None] < rep[y][None] if i[0] == j[0] else True
-            at, to = np.nonzero(ok)
-            at, to = p[at], y[to]
-            for k in range(0, len(at), 1 << 16):
-                u, v = at[k : k + (1 << 16)], to[k : k + (1 << 16)]
-                near = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1) <= LONG_DISTANCE
-                u, v = u[near], v[near]
-                symbols = (sig[u] ^ sig[v]).view("<u2").reshape(len(u), CHUNKS, PER_CHUNK) != 0
-                differ = symbols.sum(axis=2)
-                first = ~(differ[:, :chunk] <= 1).any(axis=1) & ((differ[:, chunk] == 1) | (variant == 0))
-                out.append((rep[u[first]], rep[v[first]]))
-        a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-        return np.minimum(a, b), np.maximum(a, b)
+    last = None
 
     def done() -> pa.RecordBatch:
-        a, b = met(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b = _met(pa.Table.from_batches(held).combine_chunks().to_batches()[0], num, den)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    last = None
     for batch in batches:
-        k, i, j = (batch.column(c).to_numpy() for c in range(3))
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(k)]
+        u, i, j = (batch.column(c).to_numpy() for c in range(3))
+        cuts = [0, *(np.flatnonzero((u[1:] != u[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(u)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if lo == hi:
                 continue
-            name = (int(k[lo]), int(i[lo]), int(j[lo]))
+            name = (int(u[lo]), int(i[lo]), int(j[lo]))
             if held and name != last:
                 yield done()
                 held.clear()
@@ -159,59 +168,19 @@ def _near(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield done()
 
 
-def _long(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to LONG bits, one of the least value of each of as many permutations."""
-    powers = Powers()
-    k = np.arange(1, LONG + 1, dtype=np.uint64) + np.uint64(1 << 20)
-    mul, add = mix(k) | np.uint64(1), mix(k + np.uint64(1 << 21))
-    for batch in batches:
-        raw, off = texts(batch.column(1))
-        for lo, hi in pieces(off):
-            at = off[lo : hi + 1]
-            rows = []
-            with np.errstate(over="ignore"):
-                for h in shingle_sets(raw[at[0] : at[-1]], at - at[0], size, powers):
-                    h = mix(h)
-                    least = np.full(LONG, np.iinfo(np.uint64).max, dtype=np.uint64)
-                    for i in range(0, len(h), 256):
-                        least = np.minimum(least, (h[i : i + 256, None] * mul + add).min(axis=0))
-                    rows.append(np.packbits((mix(least) >> np.uint64(33) & np.uint64(1)).astype(np.uint8)).view("<i8"))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, LONG // 64 * (hi - lo) + 1, LONG // 64), pa.int32()), pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["rep", "bits"])
-
-
-def _overlaps(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set of a, set of b) to the pairs with den * intersection >= num * union."""
-    for batch in batches:
-        a, b, x, y = (batch.column(i) for i in range(4))
-        keep = []
-        for i in range(len(batch)):
-            p, q = (np.frombuffer(c[i].as_buffer(), dtype=np.uint64) for c in (x, y))
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            both = int((q[at] == p).sum()) if len(p) else 0
-            if den * both >= num * (len(p) + len(q) - both) and both:
-                keep.append(i)
-        take = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([a.take(take), b.take(take)], ["a", "b"])
-
-
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row for each of ``ids``, a written table."""
-    wanted = docs.join(small(ids, ids.count()), "id", "left_semi")
-    return wanted.dropDuplicates(["id"]) if docs._lexweave_repeats else wanted
-
-
-def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Those pairs of ids whose full shingle sets are alike enough."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), spark)
-    sets = written(_of(docs, ids).mapInArrow(lambda it: _rows(shingle, True, it), "id bigint, shingles binary"), spark)
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    found = written(joined.select("a", "b", "x", "y").mapInArrow(lambda it: _overlaps(num, den, it), "a bigint, b bigint"), spark)
-    dropped(ids, sets)
-    return found
+def _shared(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """key, rep, a of the keys that several classes have; a is the least of them. Keys of many classes are joined by broadcast."""
+    keyed = classes.select("rep", F.explode(_keys("sig")).alias("key"))
+    groups = written(keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1"), spark)
+    total = groups.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot = F.col("c") >= max(256, total // 100_000)  # so at most 100,000 keys
+    often, others = groups.filter(hot).drop("c"), groups.filter(~hot).drop("c")
+    rows = keyed.join(others, "key")
+    if not often.isEmpty():
+        rows = keyed.join(F.broadcast(often), "key").unionByName(keyed.join(F.broadcast(often.select("key")), "key", "left_anti").join(others, "key"))
+    out = written(rows, spark)
+    dropped(groups)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -219,56 +188,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns one row per input row: id, n_shingles, component_id (the smallest id reachable),
     kept (id = component_id). Null and wordless texts have no shingles and are linked with nothing;
-    rows with a null id have a null component and stay. Repeated rows of an id get equal rows.
-    Rows of one id with unlike texts are read as one document that holds any of them.
-    Equal sets are one class before any comparison, so copies never meet pairwise. Within a key,
-    members first meet only the least member; the rest is compared where classes still differ.
+    rows with a null id have a null component and stay. Ids are read as whole numbers. Repeated rows
+    of an id get equal rows; rows of one id with unlike texts are one document that holds each of
+    them. An empty table gives no rows. Only the two columns named are read, so others can't clash.
+
+    Equal sets are one class before any comparison, so copies never meet pairwise. Links are written
+    only where they join groups, so their number stays below that of classes times their blocks.
     """
     spark = docs.sparkSession
     text_batches(spark)
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     all_rows = written(sketches(base, "id", "text", shingle), spark)
     own = all_rows.filter("n > 0 and id is not null")
-    classes = own.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    reps = written(own.join(classes.withColumnRenamed("k1", "c1").withColumnRenamed("k2", "c2"), (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("rep", "n", "k1", "k2", "sig").dropDuplicates(["rep", "k1", "k2"]), spark)
-    base._lexweave_repeats = reps.select("rep").distinct().count() < reps.count() or all_rows.select("id").distinct().count() < all_rows.count()
-    sig = reps.select("rep", "n", "sig")
-
-    # Keys with more than one class; each class first meets the least class of each of its keys.
-    keyed = sig.select("rep", F.posexplode(_keys("sig")).alias("pos", "key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    shared = written(keyed.join(shared, "key"), spark)
-    first = shared.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    x, y = (sig.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    first = written(first.join(x, "a").join(y, "b").filter(sizes & (_distance("sig_a", "sig_b") < DISTANCE)).select("a", "b"), spark)
-    links = _confirmed(spark, base, first, shingle, num, den)
-    comp = written(components(spark, links), spark)
-
-    # A key with two classes has been settled; of the others, those that still span two groups. There each
-    # pair is met at the first key that it shares, and only pairs whose long signatures are near are kept.
-    placed = shared.filter("c > 2").select("key", "pos", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "pos", "rep", F.coalesce("component", "rep").alias("g"))
-    open_keys = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("lo < hi").select("key", "blocks")
-    left = written(placed.join(open_keys, "key"), spark)
-    ids = written(left.select(F.col("rep").alias("id")).distinct(), spark)
-    bits = _of(base, ids).mapInArrow(lambda it: _long(shingle, it), "rep bigint, bits array<bigint>")
-    left = written(left.join(sig, "rep").join(bits, "rep"), spark)
-    # The pairs of a key's blocks are dealt out, so that a key of any size takes bounded memory in a task.
+    classes = written(own.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), spark)
+
+    # Classes that share keys, directly or through others, are a cluster; a text of a cluster meets all others of it.
+    shared = _shared(spark, classes)
+    clusters = components(spark, shared.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    info = classes.join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("unit")), "rep").select("rep", "n", "k1", "k2", "unit")
+    weight = F.sum(F.greatest(8 * F.col("n") + 2 * SYMBOLS, F.lit(2048)))
+    blocks = F.ceil(weight / BLOCK).cast("int").alias("blocks")
+    info = written(info.join(info.groupBy("unit").agg(blocks), "unit"), spark)
+    n_info = info.count()
+    wanted = info.select(F.col("rep").alias("id"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), "unit", "blocks")
+    full = base.join(small(wanted, n_info), "id").select("id", "text", "c1", "c2", "unit", "blocks")
+    members = full.mapInArrow(lambda it: _rows(shingle, True, it), "id bigint, n bigint, k1 bigint, k2 bigint, sig array<bigint>, shingles binary, unit bigint, blocks int")
+    again = own.join(small(wanted.select("id", F.col("c1").alias("k1"), F.col("c2").alias("k2")), n_info), ["id", "k1", "k2"], "left_semi").groupBy("id", "k1", "k2").agg(F.count("*").alias("c")).filter("c > 1")
+    if not again.isEmpty():
+        members = members.dropDuplicates(["id", "k1", "k2"])
+    units = members.filter(F.col("blocks") <= BLOCKS).select("unit", "blocks", F.col("id").alias("rep"), "n", "sig", "shingles")
+    huge = info.filter(F.col("blocks") > BLOCKS).select("rep", "n")
+    if not huge.isEmpty():
+        keys = shared.join(huge, "rep").select(F.col("key").alias("unit"), "rep", "n")
+        keys = keys.join(keys.groupBy("unit").agg(blocks), "unit").drop("n")
+        sets = members.filter(F.col("blocks") > BLOCKS).select(F.col("id").alias("rep"), "n", "sig", "shingles")
+        units = units.unionByName(sets.join(keys, "rep").select(*units.columns))
+    # The pairs of a unit's blocks are dealt out, so that one of any size takes bounded memory in a task.
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    dealt = left.withColumn("block", block).withColumn("o", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    dealt = dealt.select("key", "i", "j", "block", "pos", "rep", "g", "n", "sig", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = dealt.mapInArrow(lambda it: _near(num, den, it), "a bigint, b bigint")
-    second = written(second.join(first, ["a", "b"], "left_anti"), spark)
-    more = _confirmed(spark, base, second, shingle, num, den)
-    if more.isEmpty():
-        groups = comp
-    else:
-        groups = written(components(spark, links.union(more)), spark)
-    named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "rep").alias("g"))
-    out = all_rows.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    component = F.coalesce(F.col("g"), F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = units.withColumn("block", block).withColumn("o", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    dealt = dealt.select("unit", "i", "j", "block", "rep", "n", "sig", "shingles").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    links = written(dealt.mapInArrow(lambda it: _near(num, den, it), "a bigint, b bigint"), spark)
+
+    # Each row's class, and the ids that are in several classes.
+    named = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
+    placed = written(all_rows.select("id", "n", "k1", "k2").join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left").select("id", "n", "rep"), spark)
+    several = placed.filter("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")
+    within = placed.join(several, "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    groups = components(spark, links.union(within)).select(F.col("id").alias("rep"), F.col("component").alias("g"))
+    dropped(all_rows, classes, shared, clusters, info, links)
+    component = F.coalesce("g", "rep", "id")
+    return placed.join(groups, "rep", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

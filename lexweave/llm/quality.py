@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.llm._features import WIDTH, fold, labelled_sample, shapes
-from lexweave.llm._text import Powers, pieces, texts
+from lexweave.llm._text import pieces, texts
 from lexweave.llm._work import table, text_batches
 
 #: Labelled texts that vote, at most: those with the least hash of their id.
@@ -32,12 +32,12 @@ THRESHOLD = 0.3
 PIECE = 1 << 19
 
 
-def _rows(column: pa.Array, powers: Powers) -> Iterator[np.ndarray]:
+def _rows(column: pa.Array) -> Iterator[np.ndarray]:
     raw, off = texts(column)
     for lo, hi in pieces(off, PIECE):
         for a in range(lo, hi, 1024):
             b = min(hi, a + 1024)
-            yield shapes(raw[off[a] : off[b]], off[a : b + 1] - off[a], powers)
+            yield shapes(raw[off[a] : off[b]], off[a : b + 1] - off[a])
 
 
 class Latent:
@@ -82,9 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = labelled_sample(docs, labels, id_col, text_col, [label_col], sample)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in it:
-            x = np.vstack([np.zeros((0, WIDTH), np.float32), *_rows(batch.column(1), powers)])
+            x = np.vstack([np.zeros((0, WIDTH), np.float32), *_rows(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["id", "y0", "x"])
 
     got = rows.select("id", "text", "y0").mapInArrow(run, "id bigint, y0 int, x binary").toPandas().sort_values("id", kind="stable")
@@ -98,9 +97,8 @@ def scored(docs: DataFrame, model: Voters, text_col: str = "text", name: str = "
     fields = [f for f in docs.columns if f != text_col]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in it:
-            calls = np.concatenate([np.zeros(0), *[model.calls(x.astype(np.float16).astype(np.float32)) for x in _rows(batch.column(1), powers)]])
+            calls = np.concatenate([np.zeros(0), *[model.calls(x.astype(np.float16).astype(np.float32)) for x in _rows(batch.column(1))]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(calls)], ["rest", name])
 
     rest = docs.select(F.struct(*fields).alias("rest"), F.col(text_col).cast("string").alias("text"))

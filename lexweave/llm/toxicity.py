@@ -67,7 +67,7 @@ def lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def tones(entries: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Features of the texts in column 1 of each batch."""
     powers = Powers()
-    second = np.array(sorted(word_hash(w, powers) for w in SECOND_PERSON), np.uint64)
+    second = np.array(sorted(word_hash(w) for w in SECOND_PERSON), np.uint64)
     for batch in batches:
         raw, off = texts(batch.column(1))
         rows = [tone(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], *entries, powers, second) for lo, hi in pieces(off)]
