@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm._work import dropped, written
+from lexweave.llm._work import BROADCAST_ROWS, dropped, spread_join, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -13,16 +13,21 @@ def _mark(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _star(spark: SparkSession, edges: DataFrame, large: bool) -> DataFrame:
+def _star(spark: SparkSession, edges: DataFrame, large: bool, n: int) -> DataFrame:
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    joined = both.join(least, both.a == least.k)
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("c"))
+    # A node may have most edges: the least neighbours are sent to all executors, or the node's edges are dealt out.
+    if 2 * n <= BROADCAST_ROWS:
+        joined = both.join(F.broadcast(least.drop("c")), "a")
+    else:
+        least = written(least, spark)
+        joined = spread_join(both, least, "a")
     moved = joined.filter((F.col("b") > F.col("a")) if large else (F.col("b") != F.col("m"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
-        moved = moved.union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
+        moved = moved.union(least.select("a", F.col("m").alias("b")))
     return written(moved.filter("a <> b").distinct(), spark)
 
 
@@ -35,8 +40,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     now = written(edges.select("a", "b").filter("a <> b").distinct(), spark)
     mark = _mark(now)
     while mark[0]:
-        wide = _star(spark, now, True)
-        then = _star(spark, wide, False)
+        wide = _star(spark, now, True, mark[0])
+        then = _star(spark, wide, False, mark[0])
         new = _mark(then)
         dropped(now, wide)
         now = then

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm._graph import components
 from lexweave.llm._text import mix, pieces, shingle_sets, texts
-from lexweave.llm._work import dropped, small, table, text_batches, written
+from lexweave.llm._work import dropped, small, spread_join, table, text_batches, written
 
 SYMBOLS, PER_CHUNK, BITS = 80, 4, 16
 CHUNKS = SYMBOLS // PER_CHUNK
@@ -169,16 +169,10 @@ def _near(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def _shared(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """key, rep, a of the keys that several classes have; a is the least of them. Keys of many classes are joined by broadcast."""
+    """key, rep, a of the keys that several classes have; a is the least of them."""
     keyed = classes.select("rep", F.explode(_keys("sig")).alias("key"))
     groups = written(keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1"), spark)
-    total = groups.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    hot = F.col("c") >= max(256, total // 100_000)  # so at most 100,000 keys
-    often, others = groups.filter(hot).drop("c"), groups.filter(~hot).drop("c")
-    rows = keyed.join(others, "key")
-    if not often.isEmpty():
-        rows = keyed.join(F.broadcast(often), "key").unionByName(keyed.join(F.broadcast(often.select("key")), "key", "left_anti").join(others, "key"))
-    out = written(rows, spark)
+    out = written(spread_join(keyed, groups, "key"), spark)
     dropped(groups)
     return out
 
