@@ -1,7 +1,7 @@
 """Cross-site boilerplate lines: distinct sites of each line by HyperLogLog sketches, merged by aggregation.
 
-Only lines that occur as often as the threshold can be on that many sites, so only those are
-sketched. A sketch's estimate decides where it is clear of the threshold; lines nearer to it than
+Texts are cut into lines and hashed once. One aggregation by line merges counts and sketches of
+sites; a sketch's estimate decides where it is clear of the threshold, and lines nearer to it than
 ``MARGIN`` get an exact distinct count.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm._work import table, written
+from lexweave.llm._work import dropped, small, table, written
 
 #: Sites on which a line is boilerplate.
 SITES = 5
@@ -23,44 +23,52 @@ def normal(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\r", "  "))
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
-    """h1, h2: the lines on ``sites`` sites or more. A null site is no site."""
-    spark = docs.sparkSession
-    lines = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).select("site", normal(F.col("line")).alias("line"))
-    keyed = lines.filter("line <> '' and site is not null").select("site", F.xxhash64("line").alias("h1"), F.hash("line", F.length("line")).alias("h2"))
-    often = keyed.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter(F.col("c") >= sites).select("h1", "h2")
-    often = written(often, spark)
-    # Sketches of equal (line, site) pairs are equal, so pairs are merged before sketches are made.
-    of_often = keyed.join(often, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("c"))
-    of_often = written(of_often.select("h1", "h2", "site"), spark)
-    spread = of_often.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("n"))
-    spread = written(spread, spark)
+def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """id, t (hash of the text), site, lines: pos (from 0), h1 and h2 of the lines that aren't empty."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).cast("string").alias("text"))
+    # A generator keeps the lines from being cut again for each use below.
+    cut = base.select("id", "site", F.xxhash64("text").alias("t"), F.explode(F.array(F.transform(F.split("text", "\n"), normal))).alias("x"))
+    named = F.transform("x", lambda x, i: F.when(x != "", F.struct(i.alias("pos"), F.xxhash64(x).alias("h1"), F.hash(x, F.length(x)).alias("h2"))))
+    return cut.select("id", "t", "site", F.filter(named, lambda x: x.isNotNull()).alias("lines"))
+
+
+def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
+    """h1, h2 of the lines on ``sites`` sites or more, from ``hashed_lines``. A null site is no site."""
+    spark = lines.sparkSession
+    keyed = lines.filter("site is not null").select("site", F.inline("lines")).select("site", "h1", "h2")
+    spread = keyed.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.hll_sketch_agg("site", LOG_REGISTERS).alias("s"))
+    spread = written(spread.filter(F.col("c") >= sites).select("h1", "h2", F.hll_sketch_estimate("s").alias("n")), spark)
     clear = spread.filter(F.col("n") > sites * (1 + MARGIN)).select("h1", "h2")
-    near = spread.filter(F.abs(F.col("n") - sites) <= sites * MARGIN)
-    exact = of_often.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("n")).filter(F.col("n") >= sites)
-    return clear.union(exact.select("h1", "h2"))
+    near = written(spread.filter(F.abs(F.col("n") - sites) <= sites * MARGIN).select("h1", "h2"), spark)
+    pairs = keyed.join(small(near, near.count()), ["h1", "h2"], "left_semi").distinct()
+    exact = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= sites)
+    out = written(clear.union(exact.select("h1", "h2")), spark)
+    dropped(spread, near)
+    return out
 
 
 def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """id, n_lines, n_removed and text (the other lines, joined again) for each input row.
 
-    Null texts have no lines and stay null; a text whose lines are all boilerplate becomes empty;
-    copies of a line within a site count once; repeated rows get equal rows.
+    Null texts have no lines and stay null; an empty text is one empty line, which always stays; a
+    text whose lines are all boilerplate becomes empty; copies of a line within a site count once;
+    repeated rows get equal rows, and rows of a null id are told apart by their text. An empty table
+    gives no rows. Only the three columns named are read, so others can't clash.
     """
     spark = docs.sparkSession
+    lines = written(hashed_lines(docs, id_col, text_col, site_col), spark)
+    wide = boilerplate(lines, sites)
+    n = wide.count()
+    # Repeated rows hold the same lines, so positions are gathered as a set.
+    found = lines.select("id", "t", F.inline("lines")).join(small(wide, n), ["h1", "h2"], "left_semi").groupBy("id", "t").agg(F.collect_set("pos").alias("drop"))
+    found = written(found.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "drop"), spark)
+    dropped(lines, wide)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines = written(boilerplate(docs, text_col, site_col, sites), spark)
+    met = base.join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("t_")), "left")
     split = F.split("text", "\n")
-    own = base.select("id", F.xxhash64("text").alias("t"), F.explode(split).alias("line")).select("id", "t", normal(F.col("line")).alias("line")).filter("line <> ''")
-    own = own.select("id", "t", F.xxhash64("line").alias("h1"), F.hash("line", F.length("line")).alias("h2"))
-    found = own.join(lines, ["h1", "h2"]).groupBy("id", "t").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
-    found = written(found.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "drop"), spark)
-    met = base.join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("t_")), "left").select("id", "drop", F.col("text"), split.alias("lines"))
-    here = lambda x: F.struct(F.xxhash64(normal(x)).alias("h1"), F.hash(normal(x), F.length(normal(x))).alias("h2"))
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("drop", here(x))))
-    out = met.select("id", "lines", kept.alias("kept"))
-    count = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return out.select("id", F.when(F.col("lines").isNull(), 0).otherwise(count("lines")).cast("bigint").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(count("lines") - count("kept")).cast("bigint").alias("n_removed"), F.array_join("kept", "\n").alias("text"))
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("drop", i)), "\n")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    return met.select("id", n_lines.cast("bigint").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("bigint").alias("n_removed"), F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
