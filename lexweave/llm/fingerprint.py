@@ -8,12 +8,13 @@ hashes are whole sets, and estimates over them are exact.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm._work import partitions, small, table
+from lexweave.llm._work import partitions, small, table, written
 
 K = 256
 GAPS = r"[\x20\x09-\x0D]+"
@@ -77,33 +78,57 @@ def encoded(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
+#: Rows whose keys are read for each bound between ranges.
+READ = 20
+
+
+def _ranges(rows: DataFrame, id_col: str, n: int) -> Column:
+    """The range, out of ``n`` of about as many rows each, that a row with ``id_col`` and ``__h`` falls into; range 0 holds the highest ids.
+
+    Bounds are (id, hash of the text), so that rows of one id are dealt out too. They are chosen among
+    READ * n rows, those with the least hash, whose two numbers are all the driver gets.
+    """
+    key = rows.select(F.col(id_col).cast("decimal(20,0)").alias("i"), F.col("__h").alias("h"))
+    few = key.filter("i is not null").orderBy(F.xxhash64("i", "h"), "i", "h").limit(READ * n).collect()
+    ranked = sorted((-r.i, r.h) for r in few)
+    bounds = [(str(-i), h) for i, h in ranked[READ::READ]]
+    size = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[k : k + size] for k in range(0, len(bounds), size)]
+    own = F.col(id_col).cast("decimal(20,0)")
+    after = lambda b: (own < b["i"]) | ((own == b["i"]) & (F.col("__h") >= b["h"]))
+    read = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    count = lambda a: F.size(F.filter(a, after))
+    one = "struct<i:decimal(20,0),h:bigint>"
+    if not bounds:
+        return F.when(own.isNull(), 1).otherwise(0)
+    entry = lambda b: {"i": b[0], "h": b[1]}
+    block = count(read([entry(g[0]) for g in groups], f"array<{one}>"))
+    inner = F.try_element_at(read([[entry(b) for b in g[1:]] for g in groups], f"array<array<{one}>>"), block)
+    return F.when(own.isNull(), len(bounds) + 1).when(block == 0, 0).otherwise((block - 1) * size + 1 + count(inner))
+
+
 def with_next(rows: DataFrame, id_col: str, text_col: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``prepare(rows)`` with ``next``: a struct of the prepared columns of the row with the next lower id, after the lowest the highest.
 
-    Rows are dealt into ranges of the id; the bounds and the highest id of each range, a few for each
-    shuffle partition, are all the driver gets. Only the last row of a range looks outside it, to
-    the first row of the next range. Rows of equal id are in the order of their text; rows with a
-    null id come last.
+    Rows are dealt into ranges of the id, in which each is followed by the next; only the last row of
+    a range looks outside it, to the first row of the next range. ``prepare`` runs after rows are
+    dealt out, once for each. Rows of equal id are in the order of the hash of their text, those of
+    equal text in any; rows with a null id come last, all in one range. The only row of a table is
+    followed by itself; an empty table gives no rows.
     """
     spark = rows.sparkSession
-    n = 4 * partitions(spark)
-    bounds = sorted(set(rows.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.2 / n)))
-    # Range 0 holds the highest ids.
-    at = F.col(id_col).cast("double")
-    below = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= at)) if bounds else F.lit(0)
-    dealt = rows.withColumn("__part", F.when(F.col(id_col).isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below))
-    top = dealt.groupBy("__part").agg(F.max(id_col).alias("__id")).collect()
-    parts = sorted(r[0] for r in top)
-    if not parts:
-        return prepare(dealt).withColumn("next", F.lit(None).cast(prepare(rows).schema)).drop("__part")
-    before = {p: parts[i - 1] for i, p in enumerate(parts)}
-    tops = spark.createDataFrame([(r[0], before[r[0]], r[1]) for r in top], f"__q int, __p int, __id {dict(rows.dtypes)[id_col]}")
-    heads = prepare(dealt.join(F.broadcast(tops), (F.col("__part") == F.col("__q")) & F.col(id_col).eqNullSafe(F.col("__id"))).drop("__q", "__id", "__part"))
+    hashed = rows.withColumn("__h", F.xxhash64(text_col))
+    dealt = hashed.withColumn("__part", _ranges(hashed, id_col, 4 * partitions(spark)))
+    own = F.col(id_col).cast("decimal(20,0)")
+    place = F.struct(own.isNull(), -own, F.col("__h"), F.col(text_col))
+    firsts = written(dealt.groupBy("__part").agg(F.min_by(F.struct(*rows.columns), place).alias("r")), spark)
+    parts = sorted(r[0] for r in firsts.select("__part").collect())
+    before = spark.createDataFrame([(q, parts[k - 1]) for k, q in enumerate(parts)], "__part int, __p int")
+    heads = prepare(firsts.join(F.broadcast(before), "__part").select("__p", "r.*"))
     columns = [c for c in heads.columns if c != "__p"]
-    heads = heads.groupBy("__p").agg(F.min_by(F.struct(*columns), F.coalesce(text_col, F.lit(""))).alias("__head"))
-    whole = F.struct(*columns)
-    w = Window.partitionBy("__part").orderBy(F.col(id_col).desc_nulls_last(), F.coalesce(text_col, F.lit("")))
-    inner = prepare(dealt).withColumn("__next", F.lead(whole).over(w))
+    heads = heads.select("__p", F.struct(*columns).alias("__head"))
+    w = Window.partitionBy("__part").orderBy(F.col(id_col).desc_nulls_last(), "__h", text_col)
+    inner = prepare(dealt.repartition("__part")).withColumn("__next", F.lead(F.struct(*columns)).over(w))
     out = inner.join(small(heads, len(parts)), F.col("__part") == F.col("__p"))
     return out.select(*columns, F.coalesce("__next", "__head").alias("next"))
 
@@ -112,16 +137,15 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sketch, that of an edited text, and its likeness to both that and the next document.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the
-    next document in descending order of doc_id.
+    next document in descending order of doc_id. A null text is an empty one; see ``with_next`` for
+    null and repeated ids.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Sketches are made after the rows are dealt out, so that the shuffle carries texts alone.
-    rows = with_next(docs, "doc_id", "text", lambda d: d).withColumn("n", F.length("text"))
+    rows = with_next(docs, "doc_id", "text", lambda d: with_sketch(d, "text", "a")).withColumn("n", F.length("text"))
     half = F.floor(F.col("n") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next.text", F.lit(1), half))
-    both = rows.select("doc_id", "n", "text", F.col("next.text").alias("following"), edited.alias("edited"))
-    for text, name in (("text", "a"), ("edited", "b"), ("following", "c")):
-        both = with_sketch(both, text, name)
+    both = with_sketch(rows.select("doc_id", "n", "a", F.col("next.a").alias("c"), edited.alias("edited")), "edited", "b")
     return both.select(
         "doc_id",
         F.col("n").cast("bigint").alias("n_chars"),
