@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm._work import dropped, small, table, written
+from lexweave.llm._work import dropped, small, small_bytes, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Whatever is not a word.
@@ -41,15 +41,17 @@ def windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """The words of each document that lie in an occurrence of a benchmark window.
 
-    Returns one row per input row: id, n_words, n_hit, n_items, items (ids as strings, sorted),
-    spans (start and length, in words, of the occurrences found). Null and wordless texts have no
-    words and no hits, wordless items no windows. Repeated rows get equal rows, null ids are kept
-    apart by their text. Columns besides the two named are not read, so their names can't clash.
+    Returns one row per input row: id, text_hash (xxhash64 of the text and its length), n_words,
+    n_hit, n_items, items (ids as strings, sorted), spans (start and length, in words, of the
+    occurrences found). Null and wordless texts have no words and no hits, wordless items no windows;
+    windows of items without an id hit, but aren't counted as items. Repeated rows get equal rows, rows of one id or a null one are told
+    apart by their text. An empty table gives no rows, an empty benchmark no hits. Columns besides
+    the two named are not read, so their names can't clash.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = base.select(F.col("id"), F.xxhash64("text", F.length("text")).alias("th"), "text")
-    wins = written(windows(items, item_id, item_text, window).coalesce(1), spark)
+    wins = written(windows(items, item_id, item_text, window), spark)
     n_wins = wins.count()
     tokens = _shingles(wins, "win", "n").filter("pos < n - 1 or n = 1").withColumnRenamed("pos", "off")
     ends = wins.filter("n = 1").select("win", "n", F.xxhash64(F.col("w")[0], F.lit(None).cast("string")).alias("token"))
@@ -64,20 +66,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     counts = written(spread.select("token").join(small(asked, n_wins * window), "token").groupBy("token").agg(F.count("*").alias("seen")), spark)
     # The rarest shingle of each window; a window with a shingle that is nowhere can't occur.
     rare = tokens.join(counts, "token", "left").groupBy("win", "n").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token", "off")).alias("r"))
-    rare = written(rare.filter("r.seen > 0").select("win", "n", F.col("r.token").alias("token"), F.col("r.off").alias("off")).coalesce(1), spark)
+    rare = written(rare.filter("r.seen > 0").select("win", "n", F.col("r.token").alias("token"), F.col("r.off").alias("off")), spark)
     found = spread.join(small(rare, n_wins), "token").select("id", "th", (F.col("pos") - F.col("off")).alias("start"), "win", "n").filter("start >= 0").distinct()
     found = written(found, spark)
-    n_found = found.count()
-    per = found.groupBy("id", "th").agg(F.collect_list(F.struct("start", "win", "n")).alias("c")).select(F.col("id").alias("id_"), F.col("th").alias("th_"), "c")
+    per = written(found.groupBy("id", "th").agg(F.collect_list(F.struct("start", "win", "n")).alias("c")).select(F.col("id").alias("id_"), F.col("th").alias("th_"), "c"), spark)
 
     # One more pass over the texts: word counts of all, and the words at each candidate.
-    met = keyed.join(small(per, n_found), F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left")
+    met = keyed.join(small_bytes(per), F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left")
     met = met.select("id", "th", "c", F.explode(F.array(words(F.col("text")))).alias("w"))
-    fits = F.filter("c", lambda x: x["start"] + x["n"] <= F.size("w"))
+    # Only candidates whose words have the window's hash carry their words on.
+    fits = F.filter("c", lambda x: (x["start"] + x["n"] <= F.size("w")) & (F.xxhash64(F.slice("w", x["start"] + 1, x["n"])) == x["win"]))
     cut = F.transform(fits, lambda x: F.struct(x["start"].alias("start"), x["win"].alias("win"), F.slice("w", x["start"] + 1, x["n"]).alias("w")))
     all_rows = written(met.select("id", "th", F.size("w").alias("n_words"), cut.alias("c")), spark)
     hits = all_rows.filter("size(c) > 0").dropDuplicates(["id", "th"]).select("id", "th", F.explode("c").alias("c")).select("id", "th", "c.*")
-    sure = hits.join(small(wins.withColumnRenamed("w", "words"), n_wins), "win").filter("w = words")
+    sure = hits.join(small_bytes(wins.withColumnRenamed("w", "words")), "win").filter("w = words")
     by_doc = sure.groupBy("id", "th").agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))).alias("at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -86,9 +88,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     by_doc = by_doc.select(F.col("id").alias("id_"), F.col("th").alias("th_"), F.size("at").cast("bigint").alias("n_hit"), "items", "spans")
     out = all_rows.drop("c").join(by_doc, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left")
     none = F.array().cast("array<string>")
-    dropped(counts)
+    dropped(counts, found, per, rare)
     return out.select(
-        "id", F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"),
+        "id", F.col("th").alias("text_hash"), F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"),
         F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>")).alias("spans"),
     )
 
