@@ -41,6 +41,43 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mit-0-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-old": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "postgresql-grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "wtfpl-copy": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "mpl-2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-2-copy-2": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+    "gpl-2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl-3-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
+    "lgpl-2-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "library-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "apache-2-head": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "apache-2-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "cc-by-4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd-4-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc0-waived": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "gpl-2-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "bsd-2-notice": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-notice": "Licensed under the BSD 3-Clause License.",
+    "mpl-2-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "isc-notice": "Licensed under the ISC License.",
 }
 
 #: Rules: (licence, identifiers in order).
@@ -50,6 +87,11 @@ RULES = (
     ("GPL-3.0", ("gpl-3-notice",)), ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)), ("CC-BY-4.0", ("cc-by-4-notice",)), ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",)), ("CC0-1.0", ("cc0-notice",)),
     ("BSD-2-Clause", ("bsd-use", "bsd-source", "bsd-binary")), ("BSD-3-Clause", ("bsd-use", "bsd-source", "bsd-binary", "bsd-endorse")), ("Unlicense", ("unlicense",)),
+    ("MIT-0", ("mit-0-grant",)), ("ISC", ("isc-grant",)), ("ISC", ("isc-grant-old",)), ("0BSD", ("0bsd-grant",)), ("PostgreSQL", ("postgresql-grant",)), ("BSL-1.0", ("bsl-grant",)), ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")), ("WTFPL", ("wtfpl-copy",)),
+    ("MPL-2.0", ("mpl-2-form", "mpl-2-copy")), ("MPL-2.0", ("mpl-2-form", "mpl-2-copy-2")), ("EPL-2.0", ("epl-2",)), ("GPL-2.0-or-later", ("gpl-2-free", "gpl-hope", "gpl-see")), ("GPL-2.0-only", ("gpl-2-only",)), ("GPL-3.0-only", ("gpl-3-only",)),
+    ("LGPL-2.1-or-later", ("lgpl-2-free", "library-hope", "lgpl-see")), ("LGPL-3.0-or-later", ("lgpl-3-free", "gpl-hope", "lgpl-see")), ("AGPL-3.0-or-later", ("agpl-3-free", "gpl-hope", "agpl-see")), ("Apache-2.0", ("apache-2-head", "apache-2-terms")),
+    ("CC-BY-4.0", ("cc-by-4-work",)), ("CC-BY-SA-4.0", ("cc-by-sa-4-work",)), ("CC-BY-ND-4.0", ("cc-by-nd-4-work",)), ("CC-BY-NC-4.0", ("cc-by-nc-4-work",)), ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-work",)), ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4-work",)), ("CC0-1.0", ("cc0-waived",)),
+    ("GPL-2.0", ("gpl-2-notice",)), ("BSD-2-Clause", ("bsd-2-notice",)), ("BSD-3-Clause", ("bsd-3-notice",)), ("MPL-2.0", ("mpl-2-notice",)), ("ISC", ("isc-notice",)),
 )
 
 #: A sentence ends at a line's end that another sentence's sign precedes, at an empty line, or after such a sign before a blank.

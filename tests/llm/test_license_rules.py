@@ -47,7 +47,17 @@ BSD3 = BSD2 + """
 3. Neither the name of the copyright holder nor the names of its
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission."""
-VERBATIM = {("mit-grant", "mit-condition"): MIT, ("apache-2-grant", "apache-2-use", "apache-2-copy"): APACHE, ("gpl-free", "gpl-hope", "gpl-see"): GPL, ("bsd-use", "bsd-source", "bsd-binary"): BSD2, ("bsd-use", "bsd-source", "bsd-binary", "bsd-endorse"): BSD3}
+APACHE_HEAD = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+VERBATIM = {("apache-2-head", "apache-2-terms"): APACHE_HEAD, ("mpl-2-form", "mpl-2-copy-2"): MPL, ("mit-grant", "mit-condition"): MIT, ("apache-2-grant", "apache-2-use", "apache-2-copy"): APACHE, ("gpl-free", "gpl-hope", "gpl-see"): GPL, ("bsd-use", "bsd-source", "bsd-binary"): BSD2, ("bsd-use", "bsd-source", "bsd-binary", "bsd-endorse"): BSD3}
 
 
 def commented(text, sign):
