@@ -3,8 +3,9 @@
 A softmax classifier fitted on the labelled table gives each document posteriors over domains.
 Nonnegative document rates x then minimise the squared distance between the expected tokens of each
 domain, sum(x * tokens * posterior), and the targets. Each step of the projected gradient is one
-aggregation of a few sums over all documents; the domains' Gram matrix over documents with a positive rate scales the step. A
-document's rate after m steps is a closed expression of its posteriors, so no step writes a table.
+aggregation of a few sums over all documents; the domains' Gram matrix over documents with a
+positive rate scales the step. A document's rate after m steps is a closed expression of its
+posteriors, so no step writes a table.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ DOMAINS = ("high", "low", "toxic")
 TARGETS = (0.90, 0.07, 0.03)
 #: The first domain's tokens are wanted this many times, so that its documents have a rate of 1 or more.
 HEADROOM = 1.05
-STEPS = 12
-#: A residual of this share of all tokens is none.
-ENOUGH = 1e-6
+#: A residual of this share of all tokens is none, and a step that lowers its square by less than this share of it is the last.
+ENOUGH, SLIGHT = 1e-6, 1e-4
 #: Signs whose rates, besides the tone, tell domains apart. Fixed values.
 SIGNS = b"|#&$*%!.,\n"
 WIDTH = len(NAMES) + len(SIGNS) + 2
@@ -94,11 +94,11 @@ class Softmax:
         return self._soft(self._inputs(x) @ self.w)
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """id, tokens, p (one posterior for each of DOMAINS), learned from ``labels`` (its id column, quality, toxic)."""
+def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, label_id: str | None = None) -> DataFrame:
+    """id, tokens, p (one posterior for each of DOMAINS), learned from ``labels`` (quality, toxic, and ``label_id``, which is ``id_col`` if not given)."""
     spark = docs.sparkSession
     text_batches(spark)
-    rows = written(labelled_sample(docs, labels, id_col, text_col, ["toxic", "quality"], sample), spark)
+    rows = written(labelled_sample(docs, labels.withColumnRenamed(label_id or id_col, id_col), id_col, text_col, ["toxic", "quality"], sample), spark)
     entries = toxicity.lexicon(rows)
 
     def second(powers: Powers) -> np.ndarray:
@@ -111,7 +111,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             x, _ = _features(entries, batch, powers, you)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y0", "y1", "x"])
 
-    got = rows.select("id", "text", "y0", "y1").mapInArrow(learn, "id bigint, y0 int, y1 int, x binary").toPandas().sort_values("id", kind="stable")
+    got = rows.select("id", "text", "y0", "y1").mapInArrow(learn, "id string, y0 int, y1 int, x binary").toPandas().sort_values("id", kind="stable")
     dropped(rows)
     x = np.frombuffer(b"".join(got.x), np.float64).reshape(len(got), WIDTH)
     y = np.where(got.y0 == 1, 2, np.where(got.y1 == 1, 0, 1)).astype(np.int64)
@@ -131,12 +131,20 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return source.mapInArrow(call, schema)
 
 
-def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, steps: int = STEPS, whole: str | None = None) -> DataFrame:
-    """``members`` (tokens, p, which are read again in each step) with rate, the fitted nonnegative rate.
+def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, whole: str | None = None) -> DataFrame:
+    """``members`` (tokens, p, which are read again in each step) with rate, the fitted nonnegative rate, and residual.
 
     Expected tokens of domain k are to be targets[k] * budget; the budget by default gives the first
-    domain HEADROOM times its tokens. A domain that has no tokens can't be met and leaves a residual.
-    With ``whole``, a boolean column, its rows have a rate of 1 and no other row a higher one.
+    domain HEADROOM times its tokens. A domain that has no tokens can't be met; ``residual`` is what
+    is missed, the root of the squares summed, as a share of all tokens. With ``whole``, a boolean
+    column, its rows have a rate of 1 and no other row a higher one.
+
+    With G the Gram matrix of the rows whose rate is free and above 0, and ``miss`` what the expected
+    tokens are beyond the targets, a step takes p . (G + damp)^-1 miss off each rate and projects onto
+    the rates allowed. Where that changes nothing, y = (G + damp)^-1 miss is orthogonal to all free p,
+    so G y = 0 and miss = damp * y: the gradient, p . miss times the tokens, is 0 for free rates and
+    points outwards for the others, which is the least-squares optimum, met targets or not. Damping
+    falls after a step that helps and rises after one that doesn't, until neither changes anything.
     """
     free = F.lit(True) if whole is None else ~F.col(whole)
     k = len(targets)
@@ -146,36 +154,37 @@ def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: floa
     budget = HEADROOM * have[0] / targets[0] if budget is None else budget
     want = np.array(targets) * budget / total
     rate: Column = F.lit(1.0)
-    best, least, toward, stride = rate, np.inf, np.zeros(k), 1.0
-    for _ in range(steps):
+    best, least, gain, damp = rate, np.inf, np.inf, 1e-3
+    while damp < 1e6:
         # Sums of expected tokens, and the Gram matrix of the documents whose rate isn't held at 0 or kept at 1.
         rated = members.select(rate.alias("x"), "tokens", free.alias("free"), *[share[i].alias(f"p{i}") for i in range(k)]).withColumn("t", F.when(F.col("free") & (F.col("x") > 0), F.col("tokens")).otherwise(0))
         cells = [F.sum(F.col("t") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
         sums = rated.agg(*[F.coalesce(c, F.lit(0.0)) for c in [*[F.sum(F.col("x") * F.col("tokens") * F.col(f"p{i}")) for i in range(k)], *cells]]).first()
-        miss = np.array(sums[:k]) / total - want
-        if (miss**2).sum() < least:
-            gram = np.array(sums[k:]).reshape(k, k) / total
-            # A domain of hardly any tokens must not make the step as long as it is rare.
-            best, least, stride, toward = rate, (miss**2).sum(), 1.0, np.linalg.pinv(gram + 1e-6 * np.eye(k), rcond=1e-3, hermitian=True) @ miss
+        off = np.array(sums[:k]) / total - want
+        if (off**2).sum() < least:
+            gain = least - (off**2).sum()
+            best, least, miss, gram, damp = rate, (off**2).sum(), off, np.array(sums[k:]).reshape(k, k) / total, max(damp / 10, 1e-8)
+            if gain < SLIGHT * least:
+                break
         else:
-            stride /= 4  # too long a step: a shorter one from the best rates so far
+            damp *= 100
         if least < ENOUGH**2:
             break
-        move = sum((share[i] * F.lit(float(stride * toward[i])) for i in range(k)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), best - move)
+        toward = np.linalg.solve(gram + damp * max(np.trace(gram), 1e-12) * np.eye(k), miss)
+        rate = F.greatest(F.lit(0.0), best - sum((share[i] * F.lit(float(toward[i])) for i in range(k)), F.lit(0.0)))
         if whole is not None:
             rate = F.when(free, F.least(F.lit(1.0), rate)).otherwise(F.lit(1.0))
-    return members.withColumn("rate", best)
+    return members.withColumn("rate", best).withColumn("residual", F.lit(float(least**0.5)))
 
 
-def _copies(id_col: str = "id") -> Column:
-    """The rate rounded to a neighbouring whole number by the hash of the id."""
-    unit = F.pmod(F.xxhash64(id_col, F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def _copies(*of: Column) -> Column:
+    """The rate rounded to a neighbouring whole number by the hash of the columns given."""
+    unit = F.pmod(F.xxhash64(*of, F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return F.floor(F.col("rate") + unit).cast("bigint")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS) -> DataFrame:
-    """id, tokens, p, rate and copies (rate rounded to a neighbouring whole number by the hash of the id).
+    """id, tokens, p, rate, residual (see ``rates``) and copies (rate rounded to a neighbouring whole number by the hash of the id).
 
     One row per input row. Null, empty and wordless texts have no tokens and the posteriors that
     their features give; repeated rows get equal rows. Labels with nulls aren't learned from; with no
@@ -187,18 +196,19 @@ def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         last = F.aggregate(F.slice("p", k, len(DOMAINS)), F.lit(0.0), lambda t, x: t + x)
         members = members.withColumn("p", F.concat(F.slice("p", 1, k - 1), F.array(last)))
     members = written(members, docs.sparkSession)
-    return rates(members, targets).withColumn("copies", _copies())
+    return rates(members, targets).withColumn("copies", _copies(F.col("id")))
 
 
-def thinned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, float] = TARGETS[:2]) -> DataFrame:
+def thinned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, float] = TARGETS[:2], label_id: str | None = None) -> DataFrame:
     """id, tokens, p, good (whether the first domain has the top posterior), rate (1 at most) and copies (0 or 1).
 
     Good documents are kept whole. The others are thinned until their tokens are to those of the good
     ones as shares[1] to shares[0], if they have more. The targets are the tokens of each domain that
     the documents so kept can be expected to have, so that the doubt in the posteriors of good
-    documents isn't made up for by dropping some of them. One row per input row, as in ``mixed``.
+    documents isn't made up for by dropping some of them; no rate above 1 is needed to meet them. One
+    row per input row, rows with nulls like any others; equal rows get equal rates and copies.
     """
-    p = posteriors(docs, labels, id_col, text_col)
+    p = posteriors(docs, labels, id_col, text_col, label_id=label_id)
     members = written(p.withColumn("good", F.col("p")[0] >= F.array_max("p")), docs.sparkSession)
     k = len(DOMAINS)
     sums = members.groupBy("good").agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)]).collect()
@@ -207,10 +217,11 @@ def thinned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     part = min(1.0, shares[1] / shares[0] * good[0] / max(rest[0], 1.0))
     want = good[1:] + part * rest[1:]
     budget = float(want.sum())
-    return rates(members, tuple((want / max(budget, 1.0)).tolist()), budget, whole="good").withColumn("copies", _copies())
+    rated = rates(members, tuple((want / max(budget, 1.0)).tolist()), budget, whole="good")
+    return rated.withColumn("copies", _copies(F.col("id")))
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's domain posteriors and its rate in a mix of 90 % good, 7 % poor and 3 % toxic tokens."""
     out = mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select(F.col("id").alias("doc_id"), "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies")
+    return out.select(F.col("id").alias("doc_id"), "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies", "residual")
