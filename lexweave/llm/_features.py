@@ -109,11 +109,13 @@ for _k, _c in enumerate(_SIGNS):
 SHAPE[b"aeiou"[0]] = SHAPE[101] = SHAPE[105] = SHAPE[111] = SHAPE[117] = 8
 KINDS = 9 + len(_SIGNS)
 EXTRA = 6
-WIDTH = KINDS * KINDS + EXTRA
+#: Buckets that terms are hashed into.
+TERMS = 1024
+WIDTH = TERMS + KINDS * KINDS + EXTRA
 
 
-def shapes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows of log-scaled rates of neighbouring byte classes, of repeated words and lines, of lengths."""
+def term_vectors(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows of log-scaled rates of hashed terms, then of neighbouring byte classes, of repeated words and lines, of lengths."""
     n = len(off) - 1
     c = SHAPE[raw]
     lengths = np.diff(off)
@@ -129,8 +131,11 @@ def shapes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     extra = np.zeros((n, EXTRA), np.float32)
     for k, breaks in ((0, BREAK), (2, line)):
         h, _, _, first = words(raw, off, breaks)
-        owner = np.repeat(np.arange(n), np.diff(first))
         total = np.diff(first)
+        owner = np.repeat(np.arange(n), total)
+        if k == 0:
+            terms_ = np.bincount(owner * TERMS + (h & np.uint64(TERMS - 1)).astype(np.int64), minlength=n * TERMS).reshape(n, -1).astype(np.float32)
+            terms_ = np.log1p(100 * terms_ / np.maximum(total, 1)[:, None]) / 5
         order = np.lexsort((h, owner))
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
@@ -140,7 +145,7 @@ def shapes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     extra[:, 4] = np.log1p(lengths) / 12
     extra[:, 5] = np.minimum(lengths / np.maximum(extra[:, 3] * 0 + np.expm1(extra[:, 1] * 10), 1), 40) / 40
     rate = np.log1p(1000 * count / np.maximum(lengths, 1)[:, None]) / 7
-    return np.hstack([rate, extra]).astype(np.float32)
+    return np.hstack([terms_, rate, extra]).astype(np.float32)
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -149,7 +154,14 @@ def fold(id_col: str, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], bound: int) -> DataFrame:
-    """At most ``bound`` rows (id, text, labels), those with the least hash of the id; rows without a label are left out."""
-    rows = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(label_cols)]).dropna()
-    rows = rows.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(bound)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rows), "id")
+    """At most ``bound`` rows (id as a string, text, labels y0, y1, ...), those with the least hash of the id.
+
+    Rows without an id or a label are left out. An id counts once, with the label of the least hash of
+    its labels, and of unlike texts of an id the one with the least hash.
+    """
+    names = [f"y{i}" for i in range(len(label_cols))]
+    rows = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(y) for c, y in zip(label_cols, names, strict=True)]).dropna()
+    rows = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64(*names).alias("h"), *names)).alias("y")).select("id", *[f"y.{y}" for y in names])
+    rows = rows.orderBy(F.xxhash64("id"), "id").limit(bound)
+    met = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rows), "id")
+    return met.groupBy("id", *names).agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text")).select(F.col("id").cast("string").alias("id"), "text", *names)
