@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without blanks at both ends; a pattern for the end would try every blank of a long run."""
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def drop_cid_codes(text: Column) -> Column:
@@ -51,8 +52,8 @@ def drop_running_heads(text: Column) -> Column:
 
 
 def repair(text: Column) -> Column:
-    """Hyphenated line ends joined, spaces around punctuation and parentheses, zero-width characters."""
-    for pattern, to in ((r"(?U)(\w)-\s*\n\s*(\w)", "$1$2"), (r"\s+([,.;:!?])", "$1"), (r"([,.;:!?])\s*([A-Z])", "$1 $2"), (r"\s*\(\s*", " ("), (r"\s*\)\s*", ") "), (r"[\x{200b}-\x{200d}\x{feff}]", "")):
+    """Hyphenated line ends joined, spaces around punctuation and parentheses, zero-width characters. A run of blanks is tried from its start only."""
+    for pattern, to in ((r"(?U)(\w)-[^\S\n]*+\n\s*+(\w)", "$1$2"), (r"(?<!\s)\s++([,.;:!?])", "$1"), (r"([,.;:!?])\s*+([A-Z])", "$1 $2"), (r"(?<!\s)\s*+\(\s*+", " ("), (r"(?<!\s)\s*+\)\s*+", ") "), (r"[\x{200b}-\x{200d}\x{feff}]", "")):
         text = F.regexp_replace(text, pattern, to)
     return text
 

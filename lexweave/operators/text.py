@@ -6,8 +6,13 @@ and none collects.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexweave.functions.clean import strip
 
@@ -22,7 +27,8 @@ SECTIONS = (
 )
 #: Ends of sentences; none before a statute's number or inside a Supreme Court Reporter citation.
 SENTENCE_END = r"(?<=[.!?])(?!(?<=\d\s{1,4}[Ss]\.)\s+[Cc][Tt]\.\s+\d)\s+(?=[A-Z])(?!(?i:RCW\s+\d+\.\d+\.\d+|WAC\s+\d+-\d+-\d+))"
-WORD = r"(?U)\b[\w'-]+\b"
+#: Two characters or more, of letters, digits and underscores with apostrophes and hyphens inside, one of them a Latin letter.
+WORD = r"(?=[\p{L}\p{N}_'-]*[a-zA-Z])[\p{L}\p{N}_][\p{L}\p{N}_'-]*[\p{L}\p{N}_]"
 TARGET, LEAST = 350, 100
 
 
@@ -80,6 +86,23 @@ def chunks(paras: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFr
     return packed.select("id", (F.col("k") + 1).alias("chunk_order"), "c.section", "c.text", F.col("c.words").alias("word_count"), F.col("c.begin").alias("start_char"), (F.col("c.begin") + F.length("c.text")).alias("end_char"))
 
 
+def long_enough(docs: DataFrame, least: int = 100) -> DataFrame:
+    """Documents whose stripped text has ``least`` characters; others have no chunks."""
+    return docs.filter(F.length(strip(F.col("text"))) >= least)
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """Id, text of pages (id, page, text) in order, an empty line between them; null pages are left out."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("page", "text"))))
+    return pages.groupBy("id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("text"))
+
+
+def short_sentences(rows: DataFrame, *keys: str, least: int = 10) -> DataFrame:
+    """Keys, position (from 0, of the cut), text, word_count: cut after any run of end signs, of ``least`` characters."""
+    cut = rows.select(*(keys or ("id",)), F.posexplode(F.split("text", r"[.!?]+\s+")).alias("position", "text")).withColumn("text", strip(F.col("text")))
+    return cut.filter(F.length("text") >= least).withColumn("word_count", F.size(F.split("text", r"\s+")))
+
+
 def sentences(docs: DataFrame, *keys: str, end: str = SENTENCE_END, least: int = 15) -> DataFrame:
     """Keys, sentence_order (of the cut, from 1, so with gaps), text, of at least ``least`` characters."""
     keys = keys or ("id",)
@@ -94,8 +117,8 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 def tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Lower-case words of two characters or more with a Latin letter, without possessive endings."""
-    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) >= 2) & w.rlike("[a-zA-Z]"))
-    bare = F.transform(found, lambda w: F.regexp_replace(w, "'s?$", ""))
+    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    bare = F.transform(found, lambda w: F.when(F.endswith(w, F.lit("'s")), F.left(w, F.length(w) - 2)).otherwise(w))
     return F.filter(bare, lambda w: ~w.isin(*stop_words)) if stop_words else bare
 
 
@@ -104,22 +127,28 @@ def occurrences(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.posexplode(tokens(F.col("text"))).alias("position", "word"))
 
 
-def dictionary(occ: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """id, word: each word of each row once, so that repeats are merged before anything is shuffled."""
+    return docs.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+
+
+def dictionary(words: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Word, word_id (a hash, so the same in every run) of the words that ``known`` lacks, and of ``known``."""
-    new = occ.select("word").distinct()
+    new = words.select("word").distinct()
     new = new if known is None else new.join(known, "word", "left_anti")
     new = new.select("word", F.xxhash64("word").alias("word_id"))
     return new if known is None else known.select("word", "word_id").unionByName(new)
 
 
-def document_frequency(occ: DataFrame) -> DataFrame:
-    """T16."""
-    return occ.groupBy("word").agg(F.countDistinct("id").alias("df"))
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """Word, df of documents, one row each."""
+    return distinct_words(docs).groupBy("word").agg(F.count("*").alias("df"))
 
 
-def word_stats(occ: DataFrame) -> DataFrame:
-    """T17."""
-    return occ.groupBy("id").agg(F.count("*").alias("total_words"), F.countDistinct("word").alias("distinct_words"))
+def word_stats(docs: DataFrame) -> DataFrame:
+    """Id, total_words, distinct_words of documents with any, one row each."""
+    worded = docs.select("id", F.explode(F.array(tokens(F.col("text")))).alias("w")).filter(F.size("w") > 0)
+    return worded.select("id", F.size("w").cast("bigint").alias("total_words"), F.size(F.array_distinct("w")).cast("bigint").alias("distinct_words"))
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -128,20 +157,32 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(shifted, lambda s: F.concat_ws(" ", *[s[f"w{k}"] for k in range(n)]))
 
 
-def phrases(docs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), least: int = 2, keep: Column | None = None, high_value: Column | None = None, words: Column | None = None) -> DataFrame:
-    """Id, phrase, n, frequency. ``keep`` and ``high_value`` test the column phrase before and after counting.
+def phrases(docs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), least: int = 2, keep: Callable[[Column], Column] | None = None, high_value: Callable[[Column], Column] | None = None, words: Column | None = None, example: str | None = None) -> DataFrame:
+    """Id, phrase, n, frequency. ``keep`` and ``high_value`` test a phrase before and after counting.
 
-    A phrase counts if it is frequent enough or of high value.
+    A phrase counts if it is frequent enough or of high value. With ``example``, a column by whose
+    order rows of a document come (chunks, say), also its value where the phrase first occurs. Rows
+    are brought together by document before they are cut into phrases, so phrases aren't shuffled.
     """
     own = tokens(F.col("text")) if words is None else words
-    worded = docs.select("id", F.explode(F.array(own)).alias("w"))
-    grams = [worded.select("id", F.lit(n).alias("n"), F.explode(ngrams(F.col("w"), n)).alias("phrase")) for n in sizes]
-    rows = grams[0]
-    for g in grams[1:]:
-        rows = rows.union(g)
-    rows = rows if keep is None else rows.filter(keep)
-    counted = rows.groupBy("id", "phrase", "n").agg(F.count("*").alias("frequency"))
-    return counted.filter((F.col("frequency") >= least) | (F.lit(False) if high_value is None else high_value))
+    more = [example] if example else []
+    worded = docs.repartition("id").select("id", *more, F.explode(F.array(own)).alias("w"))
+
+    def tagged(n: int) -> Column:
+        grams = ngrams(F.col("w"), n)
+        kept = F.filter(grams, lambda p: keep(p)) if keep else grams
+        return F.transform(kept, lambda p: F.struct(p.alias("phrase"), F.lit(n).alias("n")))
+
+    rows = worded.select("id", *more, F.inline(F.concat(*[tagged(n) for n in sizes])))
+    counted = rows.groupBy("id", "phrase", "n").agg(F.count("*").alias("frequency"), *[F.min(c).alias(c) for c in more])
+    return counted.filter((F.col("frequency") >= least) | (high_value(F.col("phrase")) if high_value else F.lit(False)))
+
+
+def chunked_phrases(chunks: DataFrame, strict: bool = True, least: int = 2) -> DataFrame:
+    """Phrases within the chunks (id, chunk_order, text) of a case: strict, legal ones that are frequent or of high value; else all that are frequent."""
+    if strict:
+        return phrases(chunks, least=least, keep=is_legal, high_value=is_high_value, example="chunk_order")
+    return phrases(chunks, least=least, example="chunk_order")
 
 
 #: Fixed values.
@@ -161,7 +202,7 @@ def is_legal(phrase: Column, keywords: tuple[str, ...] = LEGAL_KEYWORDS, pattern
 
 
 def is_high_value(phrase: Column, patterns: tuple[str, ...] = HIGH_VALUE) -> Column:
-    """T20."""
+    """Whether a phrase holds one of the patterns."""
     test = F.lit(False)
     for p in patterns:
         test = test | F.lower(phrase).contains(p)
@@ -173,3 +214,56 @@ def for_embedding(rows: DataFrame, mode: str = "all") -> DataFrame:
     if mode.lower() == "important":
         return rows.filter(F.col("section").isin("ANALYSIS", "HOLDING", "FACTS"))
     return rows.filter(F.lit(mode.lower() != "none"))
+
+
+def embedded(rows: DataFrame, model: Callable[[str], list[float]], name: str, width: int, text_col: str = "text") -> DataFrame:
+    """``rows`` with embedding, model and dimension; null where the text is blank or the model fails. Rows keep their places."""
+
+    def vector(text: str | None) -> list[float] | None:
+        if text is None or not text.strip():
+            return None
+        try:
+            found = model(text)
+        except Exception:  # a model may raise anything; its row has no vector
+            return None
+        return [float(x) for x in found] if len(found) == width else None
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(vector)
+
+    own = rows.withColumn("embedding", run(F.col(text_col)))
+    return own.withColumn("model", F.lit(name)).withColumn("dimension", F.when(F.col("embedding").isNotNull(), F.lit(width)))
+
+
+def hashed_vector(width: int = 64) -> Callable[[str], list[float]]:
+    """A deterministic stand-in for a model: counts of words by a checksum, scaled to length 1."""
+
+    def vector(text: str) -> list[float]:
+        out = [0.0] * width
+        for w in text.lower().split():
+            out[zlib.crc32(w.encode()) % width] += 1
+        length = sum(x * x for x in out) ** 0.5
+        return [x / length for x in out]
+
+    return vector
+
+
+def case_embedding_text(cases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Id, from_summary (title, an empty line, summary) and from_chunks (chunk texts in order, empty lines between)."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_order", "text")))
+    texts = chunks.groupBy("id").agg(F.array_join(F.transform(ordered, lambda c: c["text"]), "\n\n").alias("from_chunks"))
+    return cases.select("id", F.concat_ws("\n\n", "title", "summary").alias("from_summary")).join(texts, "id", "left")
+
+
+def index_counters(docs: DataFrame, **parts: DataFrame) -> DataFrame:
+    """Id and the number of rows of each part (tables with id), 0 without any."""
+    out = docs.select("id")
+    for name, rows in parts.items():
+        out = out.join(rows.groupBy("id").agg(F.count("*").alias(name)), "id", "left")
+    return out.select("id", *[F.coalesce(name, F.lit(0)).alias(name) for name in parts])
+
+
+def service_chunks(paras: DataFrame, target: int = 350, least: int = 200) -> DataFrame:
+    """Chunks as the service variant keeps them: those under ``least`` words are left out, where the other keeps 100."""
+    return chunks(paras, target, least)

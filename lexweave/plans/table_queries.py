@@ -12,31 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: By operator of the inventory.
 STATEMENTS = {
-    "s4_last_duplicate_wins": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM {orders}) t WHERE n = 1",
     "s5_status_filter": "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100",
-    "s6_union_of_sheets": "SELECT 'customer' AS sheet, c_custkey AS row_index, coalesce(c_name, '') AS name FROM {customer} UNION ALL SELECT 'supplier', s_suppkey, coalesce(s_name, '') FROM {supplier}",
-    "s7_path_resolution": "SELECT o_orderkey, concat('base/', CAST(extract(year FROM o_orderdate) AS VARCHAR(4)), '/', CAST(extract(month FROM o_orderdate) AS VARCHAR(2)), '/', CAST(o_orderkey AS VARCHAR(20)), '.pdf') AS path FROM {orders}",
     "s11_unmatched_rows_stay": "SELECT c.c_custkey, coalesce(o.o_orderstatus, 'none') AS status FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000",
     "s12_resume_set": "SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')",
-    "s17_row_to_metadata": "SELECT o_orderkey AS case_file_id, CAST(extract(year FROM o_orderdate) AS INT) AS year, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'Unpublished' ELSE 'Published' END AS publication_status FROM {orders}",
-    "s22_first_url_per_key": "SELECT url, min(page_id) AS page_id, count(*) AS n FROM {pages} GROUP BY url",
     "j1_inner_chain": "SELECT l.l_orderkey, l.l_linenumber, c.c_name FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE l.l_quantity > 45",
     "j2_child_counts": "SELECT o.o_orderkey, coalesce(a.parts, 0) AS parts, coalesce(a.suppliers, 0) AS suppliers FROM {orders} o LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM {lineitem} GROUP BY l_orderkey) a ON a.l_orderkey = o.o_orderkey",
     "j3_adjacent_rows": "SELECT l.l_orderkey, l.l_linenumber, CASE WHEN l.l_linenumber < 3 THEN 'BEFORE' WHEN l.l_linenumber > 3 THEN 'AFTER' ELSE 'TARGET' END AS place, abs(l.l_linenumber - 3) AS distance FROM {lineitem} l JOIN (SELECT l_orderkey AS k FROM {lineitem} WHERE l_linenumber = 3) t ON l.l_orderkey = t.k WHERE l.l_linenumber BETWEEN 2 AND 4",
     "j5_semi_join": "SELECT o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_discount > 0.09)",
-    "j6_anti_join": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
-    "j7_theta_first_match": "SELECT p.p_partkey, min(n.n_nationkey) AS n_nationkey FROM {part} p JOIN {nation} n ON lower(p.p_name) LIKE concat('%', lower(substring(n.n_name, 1, 2)), '%') GROUP BY p.p_partkey",
-    "j8_cascade_link": "SELECT o_orderkey, target, strategy FROM (SELECT m.*, row_number() OVER (PARTITION BY o_orderkey ORDER BY strategy, target) AS n FROM (SELECT o.o_orderkey, c.c_custkey AS target, 1 AS strategy FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_orderkey UNION ALL SELECT o.o_orderkey, c.c_custkey, 2 FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey) m) r WHERE n = 1",
     "j9_exact_link": "SELECT o.o_orderkey, min(c.c_custkey) AS case_id FROM {orders} o LEFT JOIN {customer} c ON c.c_custkey = o.o_custkey GROUP BY o.o_orderkey",
-    "j10_statute_cascade": "SELECT l_orderkey, l_linenumber, coalesce(e.p_partkey, f.p_partkey, -1) AS statute FROM {lineitem} l LEFT JOIN {part} e ON e.p_partkey = l.l_partkey AND e.p_size > 25 LEFT JOIN (SELECT p_size, min(p_partkey) AS p_partkey FROM {part} GROUP BY p_size) f ON f.p_size = l.l_linenumber",
-    "j11_latest_predecessor": "SELECT o_orderkey, responds_to FROM (SELECT r.o_orderkey, p.o_orderkey AS responds_to, row_number() OVER (PARTITION BY r.o_orderkey ORDER BY p.o_orderdate DESC, p.o_orderkey DESC) AS n FROM {orders} r JOIN {orders} p ON p.o_custkey = r.o_custkey AND p.o_orderdate < r.o_orderdate WHERE r.o_orderstatus = 'O' AND p.o_orderstatus = 'F') t WHERE n = 1",
     "j12_turn_chaining": "SELECT conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS responds_to, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence FROM {conversations}",
     "j13_tree_levels": "SELECT r.r_name AS level1, n.n_name AS level2, c.c_name AS level3 FROM {region} r LEFT JOIN {nation} n ON n.n_regionkey = r.r_regionkey LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey",
     "j14_thread_on_a_row": "SELECT a.conv_id, a.turn AS opening, b.turn AS response, c.turn AS reply FROM {conversations} a LEFT JOIN {conversations} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 LEFT JOIN {conversations} c ON c.conv_id = a.conv_id AND c.turn = a.turn + 2 WHERE a.turn = 0",
     "j15_recursive_chain": "WITH RECURSIVE chain(conv_id, turn, depth) AS (SELECT conv_id, turn, 1 FROM {conversations} WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, chain.depth + 1 FROM {conversations} c JOIN chain ON c.conv_id = chain.conv_id AND c.turn = chain.turn + 1) SELECT conv_id, turn, depth FROM chain",
-    "j16_update_from": "SELECT c.c_custkey, coalesce(n.n_regionkey, -1) AS region FROM {customer} c LEFT JOIN {nation} n ON n.n_nationkey = c.c_nationkey",
-    "j17_contains_link": "SELECT p.p_partkey, min(r.r_regionkey) AS target FROM {part} p LEFT JOIN {region} r ON lower(p.p_type) LIKE concat('%', lower(substring(r.r_name, 1, 1)), '%') GROUP BY p.p_partkey",
-    "j19_match_priority": "SELECT c_custkey, min(prio) AS prio FROM (SELECT c_custkey, 1 AS prio FROM {customer} c JOIN {nation} n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey = 1 UNION ALL SELECT c_custkey, 2 FROM {customer}) t GROUP BY c_custkey",
     "j20_null_safe_key": "SELECT a.conv_id, a.turn, b.turn AS prev FROM (SELECT conv_id, turn, nullif(turn, 0) AS parent FROM {conversations}) a JOIN (SELECT conv_id, turn, nullif(turn, 0) AS parent FROM {conversations}) b ON a.conv_id = b.conv_id AND coalesce(a.parent, -1) = coalesce(b.parent, -1)",
     "j23_comma_blind_match": "SELECT c.c_custkey, s.s_suppkey FROM {customer} c JOIN {supplier} s ON replace(replace(c.c_name, ',', ''), 'Customer', 'Supplier') = replace(s.s_name, ',', '')",
     "a1_scalar_bundle": "SELECT (SELECT count(*) FROM {orders}) AS orders, (SELECT count(*) FROM {lineitem}) AS lineitems, (SELECT count(*) FROM {customer}) AS customers",
@@ -67,16 +54,7 @@ STATEMENTS = {
     "o7_first_seen": "SELECT l_orderkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS n FROM {lineitem}) t WHERE n = 1",
     "o9_exact_content_dedup": "SELECT h, doc_id FROM (SELECT md5(text) AS h, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY length(source), source, doc_id) AS n FROM {documents}) t WHERE n = 1",
     "o10_child_listing": "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} WHERE l_orderkey = (SELECT min(l_orderkey) FROM {lineitem}) ORDER BY l_shipdate, l_linenumber",
-    "m1_upsert_latest": "SELECT k, v, was_inserted FROM (SELECT k, v, CASE WHEN min(src) OVER (PARTITION BY k) = 1 THEN 1 ELSE 0 END AS was_inserted, row_number() OVER (PARTITION BY k ORDER BY src DESC, v DESC) AS n FROM (SELECT c_custkey AS k, c_acctbal AS v, 0 AS src FROM {customer} WHERE c_custkey % 2 = 0 UNION ALL SELECT o_custkey, max(o_totalprice), 1 FROM {orders} GROUP BY o_custkey) u) t WHERE n = 1",
-    "m1_upsert_all": "SELECT k, v, was_inserted FROM (SELECT k, v, CASE WHEN min(src) OVER (PARTITION BY k) = 1 THEN 1 ELSE 0 END AS was_inserted, row_number() OVER (PARTITION BY k ORDER BY src DESC, v DESC) AS n FROM (SELECT c_custkey AS k, c_acctbal AS v, 0 AS src FROM {customer} UNION ALL SELECT o_custkey, max(o_totalprice), 1 FROM {orders} GROUP BY o_custkey) u) t WHERE n = 1",
-    "m2_insert_ignore": "SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey = l.l_partkey AND p.p_size < 10)",
-    "m3_get_or_create": "SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT lower(trim(p_type)) AS name FROM {part}) t",
-    "m4_taxonomy_paths": "SELECT DISTINCT r_name AS case_type, concat(r_name, '/', n_name) AS category, concat(r_name, '/', n_name, '/', c_mktsegment) AS subcategory FROM {region} JOIN {nation} ON n_regionkey = r_regionkey JOIN {customer} ON c_nationkey = n_nationkey",
-    "m5_bridge": "SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS judge_id FROM {lineitem}",
-    "m7_clear_and_reload": "SELECT l_orderkey, l_linenumber FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 0 FROM {orders} WHERE o_orderstatus = 'P'",
-    "m9_taxonomy_dedup": "SELECT c.c_custkey, k.canonical FROM {customer} c JOIN {nation} n ON n.n_nationkey = c.c_nationkey JOIN (SELECT n_regionkey, min(n_nationkey) AS canonical FROM {nation} GROUP BY n_regionkey) k ON k.n_regionkey = n.n_regionkey",
     "m10_status_backfill": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_totalprice > 150000 THEN 'review' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'new' END AS status FROM {orders}",
-    "m15_coalescing_update": "SELECT c.c_custkey, coalesce(nullif(c.c_mktsegment, 'BUILDING'), n.n_name) AS label FROM {customer} c LEFT JOIN {nation} n ON n.n_nationkey = c.c_nationkey",
     "r6_like_patterns": "SELECT p_partkey, p_name FROM {part} WHERE lower(p_name) LIKE '%a%' AND p_type LIKE 'S%' AND p_brand LIKE '%1'",
     "r21_membership": "SELECT o_orderkey FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
 }

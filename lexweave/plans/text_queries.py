@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.functions import clean, extract, normalize
+from lexweave.functions import clean, normalize
 from lexweave.operators import search, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Literal cases by query, with the names of the columns, as ``rule_queries`` enters them.
+GOLDEN: dict[str, tuple[list[tuple], list[str]]] = {}
 
 #: A corpus-derived lexicon stands in for the legal one, which the synthetic text never holds.
 SECTIONS = (("HEADER", ("THE THE", r"DE LA .*")), ("FACTS", ("WHICH", "NICHT")), ("HOLDING", ("THAT", "PARA")))
@@ -110,14 +112,59 @@ def _t3(spark, d):
     return text.sectioned(text.paragraphs(docs(spark, d), "\n"), SECTIONS).select("id", "pos", "section")
 
 
-@query("t4_chunks")
+_FOLD = f"""{_PARA}, p AS (SELECT id, text, words, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn, coalesce(last_value({_SECTION} IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'CONTENT') AS section FROM para),
+  a AS (SELECT *, rn = 1 OR section <> lag(section) OVER (PARTITION BY id ORDER BY rn) AS turn FROM p),
+  f(id, rn, chunk, words, starts) AS (SELECT id, rn, 1, words, TRUE FROM a WHERE rn = 1 UNION ALL SELECT a.id, a.rn, CASE WHEN a.turn OR f.words >= 350 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN a.turn OR f.words >= 350 THEN a.words ELSE f.words + a.words END, a.turn OR f.words >= 350 FROM f JOIN a ON a.id = f.id AND a.rn = f.rn + 1),
+  c AS (SELECT f.id, f.chunk, min(a.section) AS section, string_agg(a.text, chr(10) || chr(10) ORDER BY a.rn) AS text, sum(a.words) AS word_count, min(a.rn) AS first FROM f JOIN a ON a.id = f.id AND a.rn = f.rn GROUP BY f.id, f.chunk),
+  place AS (SELECT id, rn, (sum(length(text) + 2) OVER (PARTITION BY id ORDER BY rn) - length(text) - 2)::INT AS begin FROM a)"""
+
+
+@query("t4_chunks", f"WITH RECURSIVE {_FOLD} SELECT c.id, (row_number() OVER (PARTITION BY c.id ORDER BY c.chunk))::INT AS chunk_order, c.section, c.text, c.word_count::INT AS word_count, place.begin AS start_char, (place.begin + length(c.text))::INT AS end_char FROM c JOIN place ON place.id = c.id AND place.rn = c.first WHERE c.word_count >= 100")
 def _t4(spark, d):
     return text.chunks(text.sectioned(text.paragraphs(docs(spark, d), "\n"), SECTIONS))
 
 
-@query("t8_section_kind", "SELECT doc_id AS id, 'GENERAL' AS kind FROM documents")
+#: Words of the corpus that stand for the legal ones, which it lacks: each document's text with them put in their place.
+PLACES = {"that": "facts", "and": "discussion", "nicht": "we conclude", "para": "custody", "dans": "alimony", "der": "assets", "les": "attorney fees"}
+
+
+def _placed(column: Column) -> Column:
+    for word, legal in PLACES.items():
+        column = F.replace(column, F.lit(f" {word} "), F.lit(f" {legal} "))
+    return column
+
+
+_PLACED = "text"
+for _w, _l in PLACES.items():
+    _PLACED = f"replace({_PLACED}, ' {_w} ', ' {_l} ')"
+_KIND = "CASE WHEN regexp_matches(t, 'facts|background|procedural history') THEN 'FACTS' WHEN regexp_matches(t, 'analysis|discussion|legal standard') THEN 'ANALYSIS' WHEN regexp_matches(t, 'conclusion|holding|we conclude|affirm|reverse') THEN 'CONCLUSION' WHEN regexp_matches(t, 'custody|parenting plan|residential time') THEN 'CUSTODY' WHEN regexp_matches(t, 'support|maintenance|alimony') THEN 'SUPPORT' WHEN regexp_matches(t, 'property|assets|debt') THEN 'PROPERTY' WHEN regexp_matches(t, 'attorney fees|costs') THEN 'FEES' ELSE 'GENERAL' END"
+_BRIEF_KIND = "CASE WHEN regexp_matches(t, 'table of authorities|table of cases|authorities cited') THEN 'TABLE_OF_AUTHORITIES' WHEN regexp_matches(t, 'statement of the case|procedural history') THEN 'STATEMENT_OF_CASE' WHEN regexp_matches(t, 'statement of facts|facts|background') THEN 'STATEMENT_OF_FACTS' WHEN regexp_matches(t, 'issues presented|questions presented|issues') THEN 'ISSUES' WHEN regexp_matches(t, 'argument|discussion|analysis') THEN 'ARGUMENT' WHEN regexp_matches(t, 'conclusion|prayer for relief|relief requested') THEN 'CONCLUSION' ELSE 'GENERAL' END"
+
+
+@query("t8_section_kind", f"WITH {_PARA} SELECT id, pos, {_KIND} AS kind FROM (SELECT id, pos, lower({_PLACED}) AS t FROM para) x")
 def _t8(spark, d):
-    return docs(spark, d).select("id", normalize.section_kind(F.col("text")).alias("kind"))
+    return text.paragraphs(docs(spark, d), "\n").select("id", "pos", normalize.section_kind(_placed(F.col("text"))).alias("kind"))
+
+
+@query("t9_brief_section", f"WITH {_PARA} SELECT id, pos, {_BRIEF_KIND} AS kind FROM (SELECT id, pos, lower({_PLACED}) AS t FROM para) x")
+def _t9(spark, d):
+    return text.paragraphs(docs(spark, d), "\n").select("id", "pos", normalize.brief_section(_placed(F.col("text"))).alias("kind"))
+
+
+@query("t6_long_enough", rf"SELECT doc_id AS id FROM documents WHERE length({_STRIP.format('text')}) >= 100")
+def _t6(spark, d):
+    return text.long_enough(docs(spark, d)).select("id")
+
+
+@query("t7_joined_pages", "SELECT conv_id AS id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def _t7(spark, d):
+    pages = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("id"), F.col("turn").alias("page"), "text")
+    return text.joined_pages(pages)
+
+
+@query("t12_short_sentences", rf"SELECT id, position::INT AS position, text, len(regexp_split_to_array(text, '\s+'))::INT AS word_count FROM (SELECT id, unnest(range(len(p))) AS position, {_STRIP.format('unnest(p)')} AS text FROM (SELECT doc_id AS id, regexp_split_to_array(text, '[.!?]+\s+') AS p FROM documents) a) b WHERE length(text) >= 10")
+def _t12(spark, d):
+    return text.short_sentences(docs(spark, d))
 
 
 @query("t10_sentences", f"WITH {_SENT} SELECT * FROM sent")
@@ -137,7 +184,7 @@ def _t13(spark, d):
 
 @query("t14_dictionary", f"WITH {_TOK} SELECT DISTINCT word FROM tok")
 def _t14(spark, d):
-    return text.dictionary(occurrences(spark, d)).select("word")
+    return text.dictionary(text.distinct_words(docs(spark, d))).select("word")
 
 
 @query("t15_occurrences", f"WITH {_TOK} SELECT id, position, word FROM tok")
@@ -147,12 +194,12 @@ def _t15(spark, d):
 
 @query("t16_document_frequency", f"WITH {_TOK} SELECT word, count(DISTINCT id) AS df FROM tok GROUP BY word")
 def _t16(spark, d):
-    return text.document_frequency(occurrences(spark, d))
+    return text.document_frequency(docs(spark, d))
 
 
 @query("t17_word_stats", f"WITH {_TOK} SELECT id, count(*) AS total_words, count(DISTINCT word) AS distinct_words FROM tok GROUP BY id")
 def _t17(spark, d):
-    return text.word_stats(occurrences(spark, d))
+    return text.word_stats(docs(spark, d))
 
 
 @query("t18_ngram_counts", f"WITH {_LISTS}, g AS ({_grams('l', range(2, 5))}) SELECT id, phrase, n, count(*) AS frequency FROM g GROUP BY ALL HAVING count(*) >= 2")
@@ -166,7 +213,63 @@ _VALUED = "(contains(phrase, 'tion the') OR contains(phrase, 'und der'))"
 
 @query("t22_case_phrases", f"WITH {_LISTS}, g AS ({_grams('l', range(2, 5))}) SELECT id, phrase, n, count(*) AS frequency FROM g WHERE {_LEGAL} GROUP BY ALL HAVING count(*) >= 2 OR {_VALUED}")
 def _t22(spark, d):
-    return text.phrases(docs(spark, d), keep=text.is_legal(F.col("phrase"), KEYWORDS, (), STOPS), high_value=text.is_high_value(F.col("phrase"), VALUED))
+    return text.phrases(docs(spark, d), keep=lambda p: text.is_legal(p, KEYWORDS, (), STOPS), high_value=lambda p: text.is_high_value(p, VALUED))
+
+
+_KEYS = ", ".join(f"'{k}'" for k in text.LEGAL_KEYWORDS)
+_HAS = lambda patterns: "(" + " OR ".join(f"contains(phrase, '{p}')" for p in patterns) + ")"
+_REAL = f"((list_has_any(string_split(phrase, ' '), [{_KEYS}]) OR {_HAS(text.LEGAL_PATTERNS)}) AND phrase NOT IN ({', '.join(repr(p) for p in text.STOP_PHRASES)}))"
+
+
+@query("t19_legal_phrases", f"WITH {_LISTS}, g AS ({_grams('(SELECT id, list_transform(w, lambda x: CASE x WHEN ' + chr(39) + 'that' + chr(39) + ' THEN ' + chr(39) + 'court' + chr(39) + ' ELSE x END) AS w FROM l) q', range(2, 5))}) SELECT id, phrase, n, count(*) AS frequency FROM g WHERE {_REAL} GROUP BY ALL HAVING count(*) >= 2 OR {_HAS(text.HIGH_VALUE)}")
+def _t19(spark, d):
+    """The real lexicon, with "court" in the place of a word that the corpus has."""
+    words = F.transform(text.tokens(F.col("text")), lambda w: F.when(w == "that", "court").otherwise(w))
+    return text.phrases(docs(spark, d), words=words, keep=text.is_legal, high_value=text.is_high_value)
+
+
+@query("t21_chunk_phrases", f"WITH {_PARA}, {_tok('para', 'id', 'pos')}, l AS (SELECT id, pos, list(word ORDER BY position) AS w FROM tok GROUP BY id, pos), g AS (SELECT id, pos, 2 AS n, array_to_string(w[i : i + 1], ' ') AS phrase FROM (SELECT id, pos, w, unnest(range(1, len(w))) AS i FROM l) a UNION ALL SELECT id, pos, 3, array_to_string(w[i : i + 2], ' ') FROM (SELECT id, pos, w, unnest(range(1, len(w) - 1)) AS i FROM l) a UNION ALL SELECT id, pos, 4, array_to_string(w[i : i + 3], ' ') FROM (SELECT id, pos, w, unnest(range(1, len(w) - 2)) AS i FROM l) a) SELECT id, phrase, n, count(*) AS frequency, min(pos) AS chunk_order FROM g GROUP BY id, phrase, n HAVING count(*) >= 2")
+def _t21(spark, d):
+    chunks = text.paragraphs(docs(spark, d), "\n").select("id", F.col("pos").alias("chunk_order"), "text")
+    return text.chunked_phrases(chunks, strict=False)
+
+
+@query("t24_important_chunks", f"WITH {_PARA}, sx AS (SELECT id, pos, coalesce(last_value({_SECTION} IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'CONTENT') AS section FROM para) SELECT id, pos, section FROM sx WHERE section IN ('ANALYSIS', 'HOLDING', 'FACTS')")
+def _t24(spark, d):
+    return text.for_embedding(text.sectioned(text.paragraphs(docs(spark, d), "\n"), SECTIONS), "important").select("id", "pos", "section")
+
+
+@query("t25_embeddings")
+def _t25(spark, d):
+    """A vector for each document that isn't blank, by a stand-in for a model."""
+    return text.embedded(docs(spark, d), text.hashed_vector(16), "hashed-words", 16).select("id", "embedding", "model", "dimension")
+
+
+@query("t27_counters", f"WITH {_PARA}, {_SENT} SELECT d.doc_id AS id, (SELECT count(*) FROM para p WHERE p.id = d.doc_id) AS chunks, (SELECT count(*) FROM sent s WHERE s.id = d.doc_id) AS sentences FROM documents d")
+def _t27(spark, d):
+    return text.index_counters(docs(spark, d), chunks=text.paragraphs(docs(spark, d), "\n"), sentences=sentences(spark, d))
+
+
+@query("t28_service_chunks", f"WITH RECURSIVE {_FOLD} SELECT c.id, (row_number() OVER (PARTITION BY c.id ORDER BY c.chunk))::INT AS chunk_order, c.section, c.word_count::INT AS word_count FROM c WHERE c.word_count >= 200")
+def _t28(spark, d):
+    return text.service_chunks(text.sectioned(text.paragraphs(docs(spark, d), "\n"), SECTIONS)).select("id", "chunk_order", "section", "word_count")
+
+
+@query("t31_embedding_texts", f"WITH {_PARA}, t AS (SELECT id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS from_chunks FROM para GROUP BY id) SELECT d.doc_id AS id, concat(d.source, chr(10), chr(10), d.lang) AS from_summary, t.from_chunks FROM documents d LEFT JOIN t ON t.id = d.doc_id")
+def _t31(spark, d):
+    cases = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("summary"))
+    return text.case_embedding_text(cases, text.paragraphs(docs(spark, d), "\n").select("id", F.col("pos").alias("chunk_order"), "text"))
+
+
+@query("c5_running_heads", r"SELECT doc_id AS id, regexp_replace(regexp_replace(text, '(?m)^\s*\d+\s*$', '', 'g'), '(?m)^\s*-\s*\d+\s*-\s*$', '', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '(?i)court|state of|county of|no\.|docket')")
+def _c5(spark, d):
+    return docs(spark, d).filter(~F.col("text").rlike(r"(?i)court|state of|county of|no\.|docket")).select("id", clean.drop_running_heads(F.col("text")).alias("text"))
+
+
+@query("c12_case_summary", "SELECT doc_id AS id, concat('Case: ', source, chr(10), 'Court: ', lang, chr(10), 'Issues: ', array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda x: substring(x, 1, 100)), '; '), chr(10), substring(text, 1, 500)) AS text FROM documents")
+def _c12(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet")
+    return rows.select(F.col("doc_id").alias("id"), clean.case_summary(F.col("source"), F.col("lang"), F.split("text", "\n"), F.col("text")).alias("text"))
 
 
 @query("t23_brief_phrases", rf"WITH {_DOC}, l AS (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM doc), g AS ({_grams('l', range(2, 6))}) SELECT id, phrase, n, count(*) AS frequency FROM g GROUP BY ALL HAVING count(*) >= 2")
@@ -181,20 +284,39 @@ def _t29(spark, d):
 
 
 _STOK = f"{_SENT}, {_tok('sent', 'id', 'sentence_order')}"
-
-
-def _sentence_words(spark, d):
-    return text.occurrences(sentences(spark, d), "id", "sentence_order")
+_SLIST = f"{_STOK}, l AS (SELECT id, sentence_order, list(word ORDER BY position) AS w FROM tok GROUP BY id, sentence_order)"
 
 
 @query("r1_all_words", f"WITH {_STOK} SELECT id, sentence_order FROM tok WHERE word IN ('the', 'and', 'that') GROUP BY id, sentence_order HAVING count(DISTINCT word) = 3")
 def _r1(spark, d):
-    return search.matching(_sentence_words(spark, d), ["the", "and", "that"], "id", "sentence_order")
+    return search.holding(sentences(spark, d), ["the", "and", "that"]).select("id", "sentence_order")
+
+
+@query("r1_stemmed")
+def _r1s(spark, d):
+    return search.holding_stems(sentences(spark, d), "the thing and thinged words of anding").select("id", "sentence_order")
 
 
-@query("r2_exact_phrase", f"WITH {_STOK} SELECT a.id, a.sentence_order, a.position AS start FROM tok a JOIN tok b ON b.id = a.id AND b.sentence_order = a.sentence_order AND b.position = a.position + 1 WHERE a.word = 'of' AND b.word = 'the'")
+@query("r2_exact_phrase", f"WITH {_SLIST}, p AS (SELECT id, sentence_order, w, unnest(range(len(w) - 1)) AS start FROM l WHERE len(w) > 1) SELECT id, sentence_order, start::INT AS start FROM p WHERE w[start + 1] = 'of' AND w[start + 2] = 'the'")
 def _r2(spark, d):
-    return search.phrase_positions(_sentence_words(spark, d), ["of", "the"], "id", "sentence_order")
+    return search.phrase_starts(sentences(spark, d), ["of", "the"]).select("id", "sentence_order", "start")
+
+
+@query("r2_stemmed_phrase")
+def _r2s(spark, d):
+    rows = search.phrase_starts(sentences(spark, d), search.stemmed_query("thing hand"), lambda t: search.lexemes(text.tokens(t)))
+    return rows.select("id", "sentence_order", "start")
+
+
+@query("a13_consecutive_words", f"WITH {_LISTS}, p AS (SELECT id, w, unnest(range(len(w) - 2)) AS start FROM l WHERE len(w) > 2) SELECT id, count(*) AS n, min(start)::INT AS first FROM p WHERE w[start + 1] = 'in' AND w[start + 2] = 'the' GROUP BY id")
+def _a13(spark, d):
+    return search.phrase_starts(docs(spark, d), ["in", "the"]).groupBy("id").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+
+
+@query("r4_web_query", f"WITH {_TOK}, l AS (SELECT id, ' ' || string_agg(word, ' ' ORDER BY position) || ' ' AS t FROM tok GROUP BY id) SELECT id FROM l WHERE (contains(t, ' of the ') AND NOT contains(t, ' that ')) OR contains(t, ' nicht ')")
+def _r4(spark, d):
+    rows = docs(spark, d).select("id", text.tokens(F.col("text")).alias("w"))
+    return rows.filter(search.web_query('"of the" -that or nicht', F.col("w"))).select("id")
 
 
 @query("r3_boolean_query", f"WITH {_TOK}, l AS (SELECT id, list(word) AS w FROM tok GROUP BY id) SELECT id FROM l WHERE (list_contains(w, 'the') AND list_contains(w, 'that')) OR (list_contains(w, 'und') AND NOT list_contains(w, 'nicht'))")
@@ -203,14 +325,16 @@ def _r3(spark, d):
     return rows.filter(search.boolean_query("(the & that) | (und & !nicht)", F.col("w"))).select("id")
 
 
-@query("r5_ranked")
+@query("r5_ranked", f"WITH {_TOK}, l AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE word = 'the') AS a, count(*) FILTER (WHERE word = 'and') AS b FROM tok GROUP BY id) SELECT id, round((ln(1 + a) + ln(1 + b)) / (1 + ln(1 + n)), 6) AS rank FROM l ORDER BY rank DESC, id LIMIT 50")
 def _r5(spark, d):
-    rows = docs(spark, d).select("id", text.tokens(F.col("text")).alias("w"))
-    counts = F.array(*[F.size(F.filter("w", lambda x, q=q: x == q)) for q in ("the", "and")])
-    return search.top(rows.select("id", F.round(search.rank(counts, F.size("w")), 6).alias("rank")), 50, F.desc("rank"), F.col("id"))
+    rows = docs(spark, d).select("id", F.explode(F.array(text.tokens(F.col("text")))).alias("w"))
+    return search.top(rows.select("id", F.round(search.rank(F.col("w"), ["the", "and"]), 6).alias("rank")), 50, F.desc("rank"), F.col("id"))
+
 
+_GRAMS3 = r"list_distinct(flatten(list_transform(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i::INT, 3)))))"
 
-@query("r7_trigram_similarity")
+
+@query("r7_trigram_similarity", f"SELECT p_partkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT p_partkey, {_GRAMS3.format('p_name')} AS a, {_GRAMS3.format(chr(39) + 'large steel' + chr(39))} AS b FROM part) t")
 def _r7(spark, d):
     names = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
     return names.select("p_partkey", F.round(search.trigram_similarity(F.col("p_name"), F.lit("large steel")), 6).alias("similarity"))
@@ -228,20 +352,101 @@ def _r13(spark, d):
     return search.around(rows, rows.filter("pos = 2"), "pos").select("id", "pos", "target", "place", "distance")
 
 
+@query("r9_case_phrases", f"WITH {_LISTS}, g AS ({_grams('l', range(2, 5))}), c AS (SELECT id, phrase, n, count(*) AS frequency FROM g GROUP BY ALL HAVING count(*) >= 2) SELECT id, phrase, n, frequency FROM c WHERE id = 1 AND contains(lower(phrase), 'the') ORDER BY frequency DESC, phrase LIMIT 50")
+def _r9(spark, d):
+    return search.case_phrases(text.phrases(docs(spark, d)), 1, "the")
+
+
 @query("r16_cosine_top_k", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20")
 def _r16(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    return search.nearest(rows, list(rows.filter("vec_id = 0").first().embedding), 20)
+    return search.nearest(rows, rows.filter("vec_id = 0").select("embedding"), 20)
+
+
+@query("r17_global_order", f"WITH {_SENT}, num AS (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY sentence_order) AS g FROM sent) SELECT id, g AS global_sentence_order, text FROM num WHERE g BETWEEN 3 AND 5")
+def _r17(spark, d):
+    return text.numbered(sentences(spark, d), "sentence_order").filter(F.col("global_sentence_order").between(3, 5)).select("id", "global_sentence_order", "text")
+
+
+@query("j4_windows_of_matches", f"WITH {_STOK}, num AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sentence_order) AS g FROM sent), hit AS (SELECT DISTINCT id, sentence_order FROM tok WHERE word = 'that'), h AS (SELECT n.id, n.g FROM num n JOIN hit USING (id, sentence_order)) SELECT n.id, h.g AS target, n.g AS global_sentence_order, abs(n.g - h.g) AS distance, CASE WHEN n.g < h.g THEN 'BEFORE' WHEN n.g > h.g THEN 'AFTER' ELSE 'TARGET' END AS place FROM num n JOIN h ON n.id = h.id AND n.g BETWEEN h.g - 1 AND h.g + 1")
+def _j4(spark, d):
+    rows = text.numbered(sentences(spark, d), "sentence_order")
+    return search.around(rows, search.holding(rows, ["that"]), "global_sentence_order").select("id", "target", "global_sentence_order", "distance", "place")
 
 
-@query("r18_find_with_context", f"WITH {_STOK}, hit AS (SELECT DISTINCT id, sentence_order FROM tok WHERE word = 'which'), num AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sentence_order) AS g FROM sent), spot AS (SELECT n.id, n.g FROM num n JOIN hit h ON h.id = n.id AND h.sentence_order = n.sentence_order) SELECT s.id, s.g AS target, string_agg(n.text, ' | ' ORDER BY n.g) AS context FROM spot s JOIN num n ON n.id = s.id AND n.g BETWEEN s.g - 1 AND s.g + 1 GROUP BY s.id, s.g")
-def find_with_context(spark: SparkSession, sf_dir: str, words: tuple[str, ...] = ("which",), reach: int = 1) -> DataFrame:
-    """Sentences that hold all the words, each with its neighbours in order. The flagship query."""
+@query(
+    "r18_find_with_context",
+    f"""WITH {_SLIST}, num AS (SELECT s.*, w, row_number() OVER (PARTITION BY s.id ORDER BY s.sentence_order) AS g FROM sent s LEFT JOIN l ON l.id = s.id AND l.sentence_order = s.sentence_order),
+  hit AS (SELECT id, g, text, len(w) AS n, len(list_filter(w, lambda x: x = 'that')) AS f FROM num WHERE list_contains(w, 'that'))
+  SELECT h.id, d.source, d.lang, h.g AS target, h.text AS sentence, h.n::INT AS word_count, round(ln(1 + h.f) / (1 + ln(1 + h.n)), 6) AS relevance,
+    to_json(list({{'order': n.g, 'text': n.text, 'is_match': n.g = h.g, 'distance': abs(n.g - h.g)}} ORDER BY n.g))::VARCHAR AS context
+  FROM hit h JOIN documents d ON d.doc_id = h.id JOIN num n ON n.id = h.id AND n.g BETWEEN h.g - 1 AND h.g + 1 GROUP BY h.id, d.source, d.lang, h.g, h.text, h.n, h.f""",
+)
+def find_with_context(spark: SparkSession, sf_dir: str, words: tuple[str, ...] = ("that",), reach: int = 1) -> DataFrame:
+    """Sentences that hold all the words, with their document's columns, a rank, and their neighbours in order as JSON. The flagship query."""
     rows = text.numbered(sentences(spark, sf_dir), "sentence_order")
-    hits = search.matching(text.occurrences(rows, "id", "global_sentence_order"), list(words), "id", "global_sentence_order")
-    near = search.around(rows, hits, "global_sentence_order", reach, reach)
-    ordered = F.array_sort(F.collect_list(F.struct("global_sentence_order", "text")))
-    return near.groupBy("id", "target").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " | ").alias("context")).select("id", "target", "context")
+    about = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "source", "lang")
+    return search.found_with_context(rows, about, list(words), reach)
+
+
+_PSENT = rf"""psent AS (SELECT id, chunk_order, (n + 1)::INT AS sentence_order, text FROM (SELECT id, pos AS chunk_order, unnest(range(len(p))) AS n, {_STRIP.format('unnest(p)')} AS text FROM (
+  SELECT id, pos, string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM para WHERE length({_STRIP.format('text')}) >= 10) a) b WHERE length(text) >= 15)"""
+_CHUNKS = f"{_PARA}, {_PSENT}, {_tok('psent', 'id', 'chunk_order', 'sentence_order')}, hit AS (SELECT DISTINCT id, chunk_order, sentence_order FROM tok WHERE word = 'that')"
+
+
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paragraphs as chunks, their sentences, and the documents' other columns: what navigation works on."""
+    chunks = text.sectioned(text.paragraphs(docs(spark, sf_dir), "\n"), SECTIONS).select("id", F.col("pos").alias("chunk_order"), "section", "text")
+    about = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "source", "lang")
+    return chunks, text.sentences(chunks, "id", "chunk_order"), about
+
+
+_SECTIONED = f"sec AS (SELECT id, pos AS chunk_order, text, coalesce(last_value({_SECTION} IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'CONTENT') AS section FROM para)"
+
+
+@query("r10_word_in_context", f"WITH {_CHUNKS}, {_SECTIONED} SELECT p.id, p.chunk_order, p.sentence_order, p.text AS sentence, s.section, substring(s.text, 1, 200) AS chunk_preview, d.source, d.lang FROM psent p JOIN hit USING (id, chunk_order, sentence_order) JOIN sec s USING (id, chunk_order) JOIN documents d ON d.doc_id = p.id")
+def _r10(spark, d):
+    chunks, sents, about = parts(spark, d)
+    return search.words_in_context(sents, chunks, about, ["that"])
+
+
+@query("r11_sentences_in_chunk", f"WITH {_CHUNKS} SELECT id, chunk_order, to_json(list({{'sentence_order': sentence_order, 'text': text}} ORDER BY sentence_order))::VARCHAR AS matches, arg_min(text, sentence_order) AS context FROM psent JOIN hit USING (id, chunk_order, sentence_order) GROUP BY id, chunk_order")
+def _r11(spark, d):
+    return search.chunk_matches(parts(spark, d)[1], ["that"]).withColumn("matches", F.to_json("matches"))
+
+
+@query("r12_highlights", f"WITH {_CHUNKS}, w AS (SELECT DISTINCT id, chunk_order, sentence_order, word FROM tok WHERE word IN ('that', 'the')), n AS (SELECT id, chunk_order, count(*) AS total_sentences FROM psent GROUP BY ALL), h AS (SELECT id, chunk_order, string_agg(sentence_order, ',' ORDER BY sentence_order) FILTER (WHERE word = 'the') AS of_the, string_agg(sentence_order, ',' ORDER BY sentence_order) FILTER (WHERE word = 'that') AS of_that FROM w GROUP BY ALL) SELECT n.id, n.chunk_order, n.total_sentences, h.of_the, h.of_that FROM n LEFT JOIN h USING (id, chunk_order)")
+def _r12(spark, d):
+    found = search.highlights(parts(spark, d)[1], ["the", "that"])
+    orders = lambda w: F.array_join(F.transform(F.try_element_at("highlighted", F.lit(w)), lambda x: x["sentence_order"].cast("string")), ",")
+    return found.select("id", "chunk_order", "total_sentences", orders("the").alias("of_the"), orders("that").alias("of_that"))
+
+
+_STATS = f"st AS (SELECT d.doc_id AS id, (SELECT count(*) FROM para p WHERE p.id = d.doc_id) AS total_chunks, (SELECT count(*) FROM psent p WHERE p.id = d.doc_id) AS total_sentences FROM documents d)"
+
+
+@query("r14_document_statistics", f"WITH {_CHUNKS}, {_STATS}, ll AS (SELECT id, chunk_order, list(word ORDER BY sentence_order, position) AS w FROM tok GROUP BY id, chunk_order), g AS ({_grams('(SELECT id, w FROM ll) q', range(2, 3))}), u AS (SELECT id, count(*) AS n FROM (SELECT id, phrase FROM g GROUP BY ALL HAVING count(*) >= 2) x GROUP BY id) SELECT st.*, d.source, d.lang, coalesce(u.n, 0) AS unique_phrases, (SELECT count(*) FROM labels l WHERE l.doc_id = st.id) AS labels_count FROM st JOIN documents d ON d.doc_id = st.id LEFT JOIN u ON u.id = st.id")
+def _r14(spark, d):
+    chunks, sents, about = parts(spark, d)
+    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sentence_order", text.tokens(F.col("text")).alias("w")))), lambda x: x["w"]))
+    found = text.phrases(sents.groupBy("id", "chunk_order").agg(words.alias("w")), (2,), words=F.col("w"))
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"))
+    return search.document_statistics(about, chunks, sents, found, labels=labels)
+
+
+@query("r15_navigation", f"WITH {_CHUNKS}, {_SECTIONED}, {_STATS}, m AS (SELECT id, chunk_order, count(*) AS matches FROM hit GROUP BY ALL), cs AS (SELECT id, chunk_order, count(*) AS chunk_sentences FROM psent GROUP BY ALL), adj AS (SELECT a.id, a.chunk_order, string_agg(b.chunk_order, ',' ORDER BY b.chunk_order) AS adjacent FROM m a JOIN sec b ON b.id = a.id AND b.chunk_order BETWEEN a.chunk_order - 10 AND a.chunk_order + 10 GROUP BY ALL) SELECT p.id, p.chunk_order, p.sentence_order, p.text AS sentence, s.section, m.matches, adj.adjacent, s.text AS chunk_text, cs.chunk_sentences, st.total_chunks, st.total_sentences FROM psent p JOIN hit USING (id, chunk_order, sentence_order) JOIN sec s USING (id, chunk_order) JOIN m USING (id, chunk_order) JOIN cs USING (id, chunk_order) JOIN adj USING (id, chunk_order) JOIN st USING (id)")
+def _r15(spark, d):
+    chunks, sents, about = parts(spark, d)
+    found = search.navigated(sents, chunks, about, ["that"])
+    listed = F.array_join(F.transform("adjacent", lambda x: x["order"].cast("string")), ",")
+    return found.select("id", "chunk_order", "sentence_order", "sentence", "section", F.size("matches").cast("bigint").alias("matches"), listed.alias("adjacent"), "chunk_text", "chunk_sentences", "total_chunks", "total_sentences")
+
+
+@query("r23_fused_ranks", "WITH a AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part), b AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size, p_partkey) AS rank FROM part) SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a WHERE rank <= 100 UNION ALL SELECT * FROM b WHERE rank <= 100) u GROUP BY id")
+def _r23(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    first = lambda *order: search.ranked(rows.select(F.col("p_partkey").alias("id"), "p_retailprice", "p_size"), 100, *order)
+    return search.fused(first(F.desc("p_retailprice"), F.col("id")), first(F.col("p_size"), F.col("id"))).select("id", F.round("score", 9).alias("score"))
 
 
 @query("r19_autocomplete", f"WITH {_TOK} SELECT word, count(*) AS n FROM tok WHERE starts_with(word, 'th') GROUP BY word ORDER BY n DESC, word LIMIT 20")
@@ -259,59 +464,3 @@ def _a9(spark, d):
 @query("a10_positions", f"WITH {_TOK} SELECT id, list(position ORDER BY position) AS positions FROM tok WHERE word = 'the' GROUP BY id")
 def _a10(spark, d):
     return occurrences(spark, d).filter("word = 'the'").groupBy("id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-
-
-#: Literal cases by query: rows of an input and what each column must give.
-GOLDEN: dict[str, tuple[list[tuple], list[str]]] = {}
-
-
-def golden(name: str, rows: list[tuple], *columns: tuple[str, Callable]) -> None:
-    """A query over literal inputs, whose SQL states what each must give, and ``name``_documents, which does the same to every document."""
-    GOLDEN[name] = rows, [c for c, _ in columns]
-
-    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return docs(spark, sf_dir).select("id", *[f(F.col("text")).cast("string").alias(c) for c, f in columns])
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        data = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, v string")
-        return data.select("i", *[f(F.col("v")).cast("string").alias(c) for c, f in columns])
-
-    say = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
-    values = ", ".join(f"({i}, {', '.join(say(x) for x in r[1:])})" for i, r in enumerate(rows))
-    casts = ", ".join(f"c{k}::VARCHAR AS {c}" for k, (c, _) in enumerate(columns))
-    query(f"{name}_documents")(whole)
-    query(name, f"SELECT i, {casts} FROM (VALUES {values}) t(i, {', '.join(f'c{k}' for k in range(len(columns)))})")(run)
-
-
-golden("c1_cid_codes", [("a(cid:12)b  c\n\n\n\nd ", "ab c\n\nd"), ("  x ", "x"), (None, None)], ("text", clean.drop_cid_codes))
-golden("c2_slip_notice", [("NOTICE: SLIP OPINION x courts.wa.gov/opinions  Body", "Body"), ("No notice", "No notice")], ("text", clean.drop_slip_notice))
-golden("c3_notice_page", [("NOTICE: SLIP OPINION, not the court's final written decision", "true"), ("NOTICE: SLIP OPINION", "false")], ("hit", clean.is_notice_page))
-golden("c6_repair", [("exam-\n ple ,and.Then", "example,and. Then"), ("a( b )c", "a (b) c")], ("text", clean.repair))
-golden("c7_dashes", [("a–b—c", "a-b-c")], ("text", clean.plain_dashes))
-golden("e1_court_level", [("Supreme Court of the State of Washington", "Supreme"), ("In the Court of Appeals", "Appeals"), ("x", "Appeals")], ("level", extract.court_level))
-golden("e2_division", [("DIVISION THREE", "Division III"), ("Division II", "Division II"), ("No. 39019-5-III", "Division III"), ("x", "N/A")], ("division", extract.division))
-golden("e3_publication", [("Unpublished Opinion", "Unpublished"), ("opinion published in part", "Partially Published"), ("x", "Published")], ("status", extract.publication_status))
-golden("e4_case_number", [("No. 39019-5-III", "39019-5-III"), ("Case Number: 101,045-1", "101,045-1"), ("none", None)], ("number", extract.case_number))
-golden("e7_case_type", [("negligence of the city", "tort"), ("State of Washington, Respondent v. Doe", "criminal"), ("probate of a will", "estate"), ("dissolution", "divorce"), ("custody", "family"), ("x", "civil")], ("kind", extract.case_type))
-golden("e9_county", [("Appeal from Pierce County and from Grays Harbor County Superior Court", "Grays Harbor"), ("the county", None)], ("county", extract.county))
-golden("e10_citations", [("see 123 Wn. App. 2d 456 and 12 Wn.2d 7 and 123 Wn. App. 2d 456", "123 Wn. App. 2d 456;12 Wn.2d 7")], ("found", lambda t: F.array_join(F.transform(extract.citations(t), lambda c: F.concat_ws(" ", c["volume"], c["reporter"], c["page"])), ";")))
-golden("e11_statutes", [("RCW 26.09.170 and RCW 9.94A.525", "26.09.170,9.94")], ("found", lambda t: F.array_join(extract.statutes(t), ",")))
-golden("e12_outcome", [("We reverse and remand.", "reversed"), ("affirmed in part and reversed in part", "affirmed"), ("it is hereby dismissed", "dismissed"), ("x", None)], ("outcome", lambda t: extract.outcome(t)["outcome"]))
-golden("e13_en_banc", [("EN  BANC", "true"), ("bench", "false")], ("hit", extract.en_banc))
-golden("e18_issue_outcome", [("affirmed in part", "Mixed"), ("reversed and remanded", "Mixed"), ("denied", "Affirmed"), ("vacated", "Reversed"), ("sustained", "Affirmed"), ("other", "other")], ("outcome", normalize.issue_outcome))
-golden("e19_winner_role", [("Affirmed", None), ("appellant", "Appellant"), ("GEICO", "GEICO"), ("", None)], ("role", normalize.winner_role))
-golden("e20_statute_parts", [("RCW 69.50.4013(1)", "69", "50.4013", "(1)"), ("RCW 42.17A.765(3)(a)", "42", "17A.765", "(3)(a)"), ("x", None, None, None)], *[(c, lambda t, c=c: normalize.statute_parts(t)[c]) for c in ("title", "section", "subsection")])
-golden("e21_rcw_parts", [("RCW 9.94A.525(1)(a)", "RCW 9.94A.525(1)"), ("RCW 26.09.170", "RCW 26.09.170")], ("full_citation", lambda t: normalize.rcw_parts(t)["full_citation"]))
-golden("e22_rcw_split", [("9.94A.525", "9", "94A.525"), ("7", "7", "")], *[(c, lambda t, c=c: normalize.rcw_split(t)[c]) for c in ("title", "section")])
-golden("e23_any_date", [("2024-01-31", "2024-01-31"), ("01/02/2024", "2024-01-02"), ("March 5, 2021", "2021-03-05"), ("unknown", None), ("x", None)], ("day", normalize.any_date))
-golden("e24_county", [("King County", "King"), ("Unknown", None), ("", None)], ("county", normalize.county))
-golden("e25_digits", [("69423-5-I", "694235")], ("digits", normalize.digits))
-golden("e26_brief_file", [("2024-briefs/x/860861_Appellants_8505.pdf", "86086-1", "Opening", "Appellant", "2024"), ("99999_respondent_reply_supplemental.pdf", "99999-0", "Supplemental Reply", "Respondent", None)], *[(c, lambda t, c=c: normalize.brief_file(t)[c]) for c in ("case_file_id", "brief_type", "filing_party", "year")])
-golden("e27_brief_suffix", [("860861_Appellants_8505", "8505"), ("a_b", None)], ("suffix", normalize.brief_suffix))
-golden("e30_published", [("Unpublished", "false", "true"), ("Published", "true", "true")], ("strict", normalize.published), ("loose", lambda t: normalize.published(t, strict=False)))
-golden("e32_outline_level", [("I. First", "1"), ("  B. Next", "2"), ("3. Then", "3"), ("c. Last", "4"), ("text", None)], ("level", extract.outline_level))
-golden("e41_status_map", [("Completed", "completed"), ("weird", "pending")], ("status", lambda t: normalize.mapped(t, {"completed": "completed", "done": "completed"}, F.lit("pending"))))
-golden("e43_one_line", [(" a  b\nc ", "a b c"), ("  ", None)], ("text", normalize.one_line))
-golden("e47_appeal_outcome", [("remanded, full", "Remanded Full"), ("reversed", "Reversed"), ("?", "Unknown")], ("outcome", normalize.appeal_outcome))
-golden("r7_similarity", [("child support", "0.380952")], ("similarity", lambda t: F.round(search.trigram_similarity(t, F.lit("spousal support")), 6)))
-golden("r20_partial_ratio", [("the spousal support order", "100"), ("zzz", "0")], ("ratio", lambda t: search.partial_ratio(F.lit("spousal support"), t)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +13,16 @@ from pyspark.sql import functions as F
 from lexweave.functions.normalize import brief_file
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names; a temporary one only where that is unset, and on a cluster an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lexweave-")
+    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def scan(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """Path, content and size of files below ``path``."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content", F.col("length").alias("size"))
@@ -47,19 +59,101 @@ def pending(files: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def metadata(spark: SparkSession, path: str, key: str = "case_number") -> DataFrame:
-    """A CSV with a header, keys trimmed; of rows of one key the last in the file counts."""
-    rows = spark.read.option("header", True).csv(path).withColumn("__at", F.monotonically_increasing_id()).withColumn(key, F.trim(key))
+    """CSV files with a header, keys trimmed; of rows of one key the last counts, files in the order of their names."""
+    rows = spark.read.option("header", True).csv(path).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("__at")).withColumn(key, F.trim(key))
     newest = Window.partitionBy(key).orderBy(F.desc("__at"))
     return rows.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n", "__at")
 
 
-def sheets(tables: dict[str, DataFrame]) -> DataFrame:
-    """Sheets by name as one table of strings, missing cells empty."""
+def successful(rows: DataFrame, status: str = "download_status") -> DataFrame:
+    """The rows whose download succeeded."""
+    return rows.filter(F.col(status) == "Success")
+
+
+def sheets(tables: dict[str, DataFrame], order: dict[str, str], skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Sheets by name as one table of strings, missing cells empty, with row_index, a row's number from 1 in its sheet by ``order``; of each ``limit`` rows after ``skip``."""
     out = None
     for name, rows in tables.items():
-        own = rows.select(F.lit(name).alias("sheet"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
+        # Rows are numbered within ranges of a number that they are ordered by, which are counted first, so that no task has a whole sheet.
+        place = F.col(order[name])
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bounds = sorted(set(rows.select(place.cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.2 / n)))
+        part = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= place.cast("double"))) if bounds else F.lit(0)
+        placed = rows.withColumn("__p", part)
+        counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+        before = counts.withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__b")
+        own = placed.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(place, *rows.columns)))
+        own = own.join(F.broadcast(before), "__p").withColumn("row_index", (F.col("__b") + F.col("__i")).cast("bigint"))
+        own = own.filter(F.col("row_index") > skip) if limit is None else own.filter(F.col("row_index").between(skip + 1, skip + limit))
+        own = own.select(F.lit(name).alias("sheet"), "row_index", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
-    return out.select(*[F.coalesce(c, F.lit("")).alias(c) for c in out.columns])
+    return out.select("sheet", "row_index", *[F.coalesce(c, F.lit("")).alias(c) for c in out.columns[2:]])
+
+
+def validity(files: DataFrame) -> DataFrame:
+    """Path, valid (whether the content begins as a PDF does), version, page_count (by its page objects) and size of files (path, content)."""
+    text = F.decode("content", "ISO-8859-1")
+    valid = F.startswith(text, F.lit("%PDF-"))
+    return files.select("path", F.coalesce(valid, F.lit(False)).alias("valid"), F.nullif(F.regexp_extract(text, r"\A%PDF-(\d\.\d)", 1), F.lit("")).alias("version"), F.when(valid, F.regexp_count(text, F.lit(r"/Type\s*/Page(?!s)"))).cast("int").alias("page_count"), F.length("content").cast("bigint").alias("size"))
+
+
+def resolved(rows: DataFrame, listing: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, year, month, pdf_filename, case_number) with path and strategy from ``listing`` (path: .../year/month/file).
+
+    Strategy 1: the path itself; 2: a folder of the year whose name's first three letters begin the
+    month; 3: a file of the year whose name holds the case number, commas left out. Of several paths
+    the least by name. File names are cut into runs of digits and hyphens, of which a case number is
+    one or a part's beginning and end, so that strategy 3 is an equi-join too.
+    """
+    parts = F.split("path", "/")
+    files = listing.select("path", F.element_at(parts, -3).alias("year"), F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"))
+    wanted = rows.select(key, F.col("year").cast("string").alias("year"), F.trim("month").alias("month"), F.trim("pdf_filename").alias("file"), F.replace(F.trim("case_number"), F.lit(","), F.lit("")).alias("number"))
+    exact = wanted.join(files, (wanted["year"] == files["year"]) & (wanted["month"] == files["folder"]) & (wanted["file"] == files["file"])).select(key, "path", F.lit(1).alias("strategy"))
+    near = wanted.join(files, (wanted["year"] == files["year"]) & (wanted["file"] == files["file"]) & F.startswith(F.lower("month"), F.left(F.lower("folder"), F.lit(3)))).select(key, "path", F.lit(2).alias("strategy"))
+    bare = F.replace("file", F.lit(","), F.lit(""))
+    every = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.length("b") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("b") - i, F.lit(24))), lambda n: F.substring("b", i + 1, n))))))
+    grams = files.select("path", "year", bare.alias("b")).filter("b <> ''").select("path", "year", every.alias("number"))
+    held = wanted.filter("number <> ''").join(grams, ["year", "number"]).select(key, "path", F.lit(3).alias("strategy"))
+    best = exact.union(near).union(held).groupBy(key).agg(F.min(F.struct("strategy", "path")).alias("b")).select(key, "b.path", "b.strategy")
+    return rows.join(best, key, "left")
+
+
+def first_urls(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (case_id, document_type, pdf_url, and at, the rows' order) the first URL of each (case_id, brief_type), and all URLs of each case in order. Rows with a blank cell are left out."""
+    clean = rows.select(*[F.trim(c).alias(c) for c in ("case_id", "document_type", "pdf_url")], "at").filter("case_id <> '' and document_type <> '' and pdf_url <> ''")
+    kind = F.lower("document_type")
+    typed = clean.withColumn("brief_type", F.when(kind.contains("reply"), "Reply").when(kind.contains("respondent"), "Response").when(kind.contains("appellant"), "Opening"))
+    first = typed.filter("brief_type is not null").groupBy("case_id", "brief_type").agg(F.min_by("pdf_url", F.struct("at", "pdf_url")).alias("pdf_url"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "document_type", "pdf_url")))
+    return first, clean.groupBy("case_id").agg(F.transform(ordered, lambda x: F.struct(x["document_type"].alias("document_type"), x["pdf_url"].alias("pdf_url"))).alias("urls"))
+
+
+def matched_urls(briefs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``briefs`` (brief_id, source_file, case_id, brief_type) with url and strategy: 1 by case and type, 2 by words of the file's name in the case's URLs, 3 the case's first URL."""
+    first, urls = first_urls(rows)
+    name = F.lower(F.replace(F.regexp_replace("source_file", r"\.(?:pdf|PDF)$", ""), F.lit("_"), F.lit(" ")))
+    words = F.split(name, r"\s+")
+
+    def fits(u: Column) -> Column:
+        url = F.lower(F.coalesce(F.try_url_decode(u["pdf_url"]), u["pdf_url"]))
+        amended = name.contains("amended") & url.contains("amended") & name.contains("appellant") & url.contains("appellant")
+        crossed = name.contains("cross-appellant") & (url.contains("cross-appellant") | url.contains("cross appellant"))
+        answered = name.contains("respondent") & name.contains("cross") & url.contains("respondent") & url.contains("cross")
+        shared = F.size(F.filter(words, lambda w: (F.length(w) > 3) & F.contains(url, w)))
+        return amended | crossed | answered | ((shared >= F.size(words) - 1) & (shared >= 2))
+
+    met = briefs.join(first, ["case_id", "brief_type"], "left").withColumnRenamed("pdf_url", "__first").join(urls, "case_id", "left")
+    second = F.try_element_at(F.filter("urls", fits), F.lit(1))["pdf_url"]
+    third = F.try_element_at("urls", F.lit(1))["pdf_url"]
+    found = met.withColumns({"url": F.coalesce("__first", second, third), "strategy": F.when(F.col("__first").isNotNull(), 1).when(second.isNotNull(), 2).when(third.isNotNull(), 3)})
+    return found.select(*briefs.columns, "url", "strategy")
+
+
+def load_metadata(rows: DataFrame) -> DataFrame:
+    """A metadata table's columns by the names of the load, publication_status from file_contains."""
+    names = {"case_number": "case_file_id", "case_title": "title", "division": "division", "opinion_type": "opinion_type", "month": "decision_month", "file_date": "file_date", "case_info_url": "case_info_url", "pdf_url": "source_url", "pdf_filename": "source_file", "file_contains": "file_contains", "download_status": "download_status"}
+    status = F.when(F.col("file_contains").contains("Unpublished"), "Unpublished").otherwise("Published")
+    return rows.select(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(n) for c, n in names.items()], F.trim(F.col("year").cast("string")).try_cast("int").alias("decision_year"), status.alias("publication_status"))
 
 
 def briefs(files: DataFrame) -> DataFrame:
