@@ -17,7 +17,6 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,8 +42,9 @@ def written(df: DataFrame, spark: SparkSession) -> DataFrame:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._lexweave_path = path
-    if _scopes:
-        _scopes[-1].append(out)
+    scopes = getattr(spark, "_lexweave_scopes", None)  # on the session, as functions are shipped with the globals that they use
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 
@@ -52,11 +52,12 @@ def written(df: DataFrame, spark: SparkSession) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Deletes the tables written within when it ends, but for those taken out of the list it gives."""
     tables: list[DataFrame] = []
-    _scopes.append(tables)
+    scopes = spark._lexweave_scopes = getattr(spark, "_lexweave_scopes", None) or []
+    scopes.append(tables)
     try:
         yield tables
     finally:
-        _scopes.remove(tables)
+        scopes.pop()
         dropped(*tables)
 
 

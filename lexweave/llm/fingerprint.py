@@ -86,10 +86,11 @@ def _ranges(rows: DataFrame, id_col: str, n: int) -> Column:
     """The range, out of ``n`` of about as many rows each, that a row with ``id_col`` and ``__h`` falls into; range 0 holds the highest ids.
 
     Bounds are (id, hash of the text), so that rows of one id are dealt out too. They are chosen among
-    READ * n rows, those with the least hash, whose two numbers are all the driver gets.
+    about READ * n rows, picked by a hash, whose two numbers are all the driver gets.
     """
     key = rows.select(F.col(id_col).cast("decimal(20,0)").alias("i"), F.col("__h").alias("h"))
-    few = key.filter("i is not null").orderBy(F.xxhash64("i", "h"), "i", "h").limit(READ * n).collect()
+    share = READ * n / max(rows.count(), 1)
+    few = key.filter(F.col("i").isNotNull() & (F.shiftrightunsigned(F.xxhash64("i", "h"), 11) / F.lit(float(1 << 53)) < share)).collect()
     ranked = sorted((-r.i, r.h) for r in few)
     bounds = [(str(-i), h) for i, h in ranked[READ::READ]]
     size = max(1, int(len(bounds) ** 0.5))

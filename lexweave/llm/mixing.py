@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.llm import toxicity
-from lexweave.llm._features import NAMES, labelled_sample
+from lexweave.llm._features import NAMES, SECOND_PERSON, labelled_sample, word_hash
 from lexweave.llm._text import SPACE, Powers, pieces, texts, words
 from lexweave.llm._work import dropped, table, text_batches, written
 
@@ -101,12 +101,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     rows = written(labelled_sample(docs, labels.withColumnRenamed(label_id or id_col, id_col), id_col, text_col, ["toxic", "quality"], sample), spark)
     entries = toxicity.lexicon(rows)
 
-    def second(powers: Powers) -> np.ndarray:
-        return np.array(sorted(toxicity.word_hash(w) for w in toxicity.SECOND_PERSON), np.uint64)
+    you = np.array(sorted(word_hash(w) for w in SECOND_PERSON), np.uint64)
 
     def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        you = second(powers)
         for batch in it:
             x, _ = _features(entries, batch, powers, you)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y0", "y1", "x"])
@@ -119,7 +117,6 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def call(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        you = second(powers)
         for batch in it:
             x, tokens = _features(entries, batch, powers, you)
             p = model(x)
