@@ -6,6 +6,7 @@ and none collects.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 
@@ -192,21 +193,20 @@ HIGH_VALUE = ("constitutional", "due process", "equal protection", "first amendm
 STOP_PHRASES = ("of the", "in the", "to the", "for the", "and the", "at the", "on the", "by the", "with the", "from the", "this is", "that is", "it is", "there is", "here is", "what is", "how is", "when is", "where is", "why is", "who is", "was the", "were the", "has the", "had the", "have the", "be the", "been the", "being the", "as the", "but the")
 
 
+def _any_of(parts: tuple[str, ...]) -> str:
+    return "|".join(re.escape(p) for p in parts)
+
+
 def is_legal(phrase: Column, keywords: tuple[str, ...] = LEGAL_KEYWORDS, patterns: tuple[str, ...] = LEGAL_PATTERNS, stops: tuple[str, ...] = STOP_PHRASES) -> Column:
     """No stop phrase, and with a keyword among its words or a pattern in it."""
     low = F.lower(phrase)
-    keyed = F.arrays_overlap(F.split(low, " "), F.array(*[F.lit(k) for k in keywords]))
-    for p in patterns:
-        keyed = keyed | low.contains(p)
-    return ~low.isin(*stops) & keyed
+    tests = [rf"(?:^| )(?:{_any_of(keywords)})(?: |$)"] * bool(keywords) + [_any_of(patterns)] * bool(patterns)
+    return low.rlike("|".join(tests) or r"(?!)") & ~low.isin(*stops)
 
 
 def is_high_value(phrase: Column, patterns: tuple[str, ...] = HIGH_VALUE) -> Column:
     """Whether a phrase holds one of the patterns."""
-    test = F.lit(False)
-    for p in patterns:
-        test = test | F.lower(phrase).contains(p)
-    return test
+    return F.lower(phrase).rlike(_any_of(patterns) or r"(?!)")
 
 
 def for_embedding(rows: DataFrame, mode: str = "all") -> DataFrame:

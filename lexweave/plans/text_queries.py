@@ -216,16 +216,15 @@ def _t22(spark, d):
     return text.phrases(docs(spark, d), keep=lambda p: text.is_legal(p, KEYWORDS, (), STOPS), high_value=lambda p: text.is_high_value(p, VALUED))
 
 
-_KEYS = ", ".join(f"'{k}'" for k in text.LEGAL_KEYWORDS)
-_HAS = lambda patterns: "(" + " OR ".join(f"contains(phrase, '{p}')" for p in patterns) + ")"
-_REAL = f"((list_has_any(string_split(phrase, ' '), [{_KEYS}]) OR {_HAS(text.LEGAL_PATTERNS)}) AND phrase NOT IN ({', '.join(repr(p) for p in text.STOP_PHRASES)}))"
+_ANY = lambda parts: "|".join(p.replace(".", "[.]") for p in parts)
+_REAL = f"(regexp_matches(' ' || phrase || ' ', ' ({_ANY(text.LEGAL_KEYWORDS)}) ') OR regexp_matches(phrase, '{_ANY(text.LEGAL_PATTERNS)}')) AND phrase NOT IN ({', '.join(repr(p) for p in text.STOP_PHRASES)})"
 
 
-@query("t19_legal_phrases", f"WITH {_LISTS}, g AS ({_grams('(SELECT id, list_transform(w, lambda x: CASE x WHEN ' + chr(39) + 'that' + chr(39) + ' THEN ' + chr(39) + 'court' + chr(39) + ' ELSE x END) AS w FROM l) q', range(2, 5))}) SELECT id, phrase, n, count(*) AS frequency FROM g WHERE {_REAL} GROUP BY ALL HAVING count(*) >= 2 OR {_HAS(text.HIGH_VALUE)}")
+@query("t19_legal_phrases", f"WITH {_TOK}, l AS (SELECT id, list(CASE word WHEN 'that' THEN 'court' ELSE word END ORDER BY position) AS w FROM tok GROUP BY id), g AS ({_grams('l', range(2, 4))}), c AS (SELECT id, phrase, n, count(*) AS frequency FROM g GROUP BY ALL) SELECT * FROM c WHERE {_REAL} AND (frequency >= 2 OR regexp_matches(phrase, '{_ANY(text.HIGH_VALUE)}'))")
 def _t19(spark, d):
     """The real lexicon, with "court" in the place of a word that the corpus has."""
     words = F.transform(text.tokens(F.col("text")), lambda w: F.when(w == "that", "court").otherwise(w))
-    return text.phrases(docs(spark, d), words=words, keep=text.is_legal, high_value=text.is_high_value)
+    return text.phrases(docs(spark, d), (2, 3), words=words, keep=text.is_legal, high_value=text.is_high_value)
 
 
 @query("t21_chunk_phrases", f"WITH {_PARA}, {_tok('para', 'id', 'pos')}, l AS (SELECT id, pos, list(word ORDER BY position) AS w FROM tok GROUP BY id, pos), g AS (SELECT id, pos, 2 AS n, array_to_string(w[i : i + 1], ' ') AS phrase FROM (SELECT id, pos, w, unnest(range(1, len(w))) AS i FROM l) a UNION ALL SELECT id, pos, 3, array_to_string(w[i : i + 2], ' ') FROM (SELECT id, pos, w, unnest(range(1, len(w) - 1)) AS i FROM l) a UNION ALL SELECT id, pos, 4, array_to_string(w[i : i + 3], ' ') FROM (SELECT id, pos, w, unnest(range(1, len(w) - 2)) AS i FROM l) a) SELECT id, phrase, n, count(*) AS frequency, min(pos) AS chunk_order FROM g GROUP BY id, phrase, n HAVING count(*) >= 2")
