@@ -25,8 +25,8 @@ SYMBOLS, PER_CHUNK, BITS = 80, 4, 16
 CHUNKS = SYMBOLS // PER_CHUNK
 #: Signatures that differ in fewer symbols always share a key; pairs that differ in as many or more aren't compared.
 DISTANCE = 2 * CHUNKS
-#: Bytes of shingle sets and signatures of one block; the blocks of a cluster are met in pairs, each pair in one task.
-BLOCK = 8 << 20
+#: Texts of one block, where those whose sets take more than UNIT bytes count for more; the blocks of a cluster are met in pairs, each pair in one task.
+BLOCK, UNIT = 4096, 2048
 #: A cluster of more blocks is compared key by key instead, which takes as many copies of a text as it has keys.
 BLOCKS = 64
 
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = _shared(spark, classes)
     clusters = components(spark, shared.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
     info = classes.join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("unit")), "rep").select("rep", "n", "k1", "k2", "unit")
-    weight = F.sum(F.greatest(8 * F.col("n") + 2 * SYMBOLS, F.lit(2048)))
+    weight = F.sum(F.greatest((8 * F.col("n") + 2 * SYMBOLS) / UNIT, F.lit(1.0)))
     blocks = F.ceil(weight / BLOCK).cast("int").alias("blocks")
     info = written(info.join(info.groupBy("unit").agg(blocks), "unit"), spark)
     n_info = info.count()

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm._work import partitions, table, written
+from lexweave.llm._work import dropped, partitions, table, written
 
 #: Cells of small groups; groups that hold this share of any total or more are packed by themselves, so at most 3 * CELLS.
 CELLS = 8192
@@ -69,6 +69,7 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     # Slots: rows are numbered within many parts of each shard, and parts begin where the ones before end.
     n_parts = partitions(spark)
     placed = written(placed.select("id", "size", "tokens", "text_crc32", "shard", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(n_parts)).cast("int").alias("part")), spark)
+    dropped(rows, groups)
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     first = counts.select("shard", F.col("part").alias("q"), (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("first"))
     inner = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "size", "text_crc32")) - 1
