@@ -26,7 +26,7 @@ CHUNKS = SYMBOLS // PER_CHUNK
 #: Signatures that differ in fewer symbols always share a key; pairs that differ in as many or more aren't compared.
 DISTANCE = 2 * CHUNKS
 #: Texts of one block, where those whose sets take more than UNIT bytes count for more; the blocks of a cluster are met in pairs, each pair in one task.
-BLOCK, UNIT = 4096, 2048
+BLOCK, UNIT = 1024, 2048
 #: A cluster of more blocks is compared key by key instead, which takes as many copies of a text as it has keys.
 BLOCKS = 64
 

@@ -69,7 +69,7 @@ def test_every_pair_about_the_threshold(spark):
     assert {r.id: r.component_id for r in got} == groups(texts)
 
 
-@pytest.mark.parametrize("block,blocks", [(4096, 64), (10, 64), (10, 1)])
+@pytest.mark.parametrize("block,blocks", [(1024, 64), (10, 64), (10, 1)])
 def test_clusters_in_blocks_and_by_key(spark, monkeypatch, block, blocks):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
