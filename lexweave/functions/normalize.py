@@ -505,3 +505,45 @@ ROUTES = (
 def route(question: Column) -> Column:
     """The agent that answers a question: facts, reasons, statistics, quotes and relations in this order, else retrieval."""
     return F.coalesce(*[F.when(F.lower(question).rlike(p), a) for a, p in ROUTES], F.lit("RAG"))
+
+
+def court_name(level: Column, division: Column) -> Column:
+    """A court's name from its level and division; null for other levels."""
+    named = F.trim(F.concat(F.lit("Washington Court of Appeals Division "), F.coalesce(division, F.lit(""))))
+    return F.when(F.lower(level).contains("supreme"), "Washington State Supreme Court").when(F.lower(level).contains("appeals"), named)
+
+
+def docket_number(number: Column, division: Column) -> Column:
+    """E30."""
+    return F.when(F.coalesce(division, F.lit("")) != "", F.concat(number, F.lit("-"), division)).otherwise(number)
+
+
+def case_title(title: Column, parties: Column, file: Column) -> Column:
+    """The title; else the first appellant and respondent of an array of struct(name, role); else the first party; else the file."""
+    first = lambda word: F.try_element_at(F.filter(parties, lambda p: F.lower(p["role"]).contains(word)), F.lit(1))["name"]
+    a, r = first("appellant"), first("respondent")
+    unknown = F.lit("Unknown")
+    sides = F.when(a.isNotNull() | r.isNotNull(), F.concat(F.coalesce(a, unknown), F.lit(" v. "), F.coalesce(r, unknown)))
+    return F.coalesce(F.nullif(title, F.lit("")), sides, F.nullif(F.try_element_at(parties, F.lit(1))["name"], F.lit("")), F.nullif(file, F.lit("")), unknown)
+
+
+#: Stages and document types by the words of an opinion type, in order. Fixed values.
+STAGES = ((("supreme court",), "Supreme Court"), (("court of appeals",), "Court Of Appeals"), (("superior court",), "Superior Court"), (("district court",), "District Court"))
+DOCUMENT_TYPES = (
+    (("supreme court",), "Supreme Court Opinion"),
+    (("court of appeals",), "Court of Appeals Opinion"),
+    (("majority opinion",), "Majority Opinion"),
+    (("concurring opinion",), "Concurring Opinion"),
+    (("dissenting opinion",), "Dissenting Opinion"),
+    (("court decision",), "Court Decision"),
+)
+
+
+def stage(opinion_type: Column, level: Column) -> Column:
+    """M3: the stage that the opinion type names, else that of the court's level; null without either."""
+    return F.coalesce(_by_words(opinion_type, STAGES), _by_words(level, ((("supreme",), "Supreme Court"), (("appeal",), "Court Of Appeals"))))
+
+
+def document_type(opinion_type: Column) -> Column:
+    """M3: Court Decision by default."""
+    return _by_words(opinion_type, DOCUMENT_TYPES, "Court Decision")

@@ -183,6 +183,23 @@ golden(
     whole=False,
 )
 golden("e30_published", [("Unpublished", "false", "true"), ("Published", "true", "true"), ("", "false", "false"), (None, "false", "false"), ("published in part", "true", "true")], ("strict", normalize.published), ("loose", lambda t: normalize.published(t, strict=False)))
+_PART = lambda t, k: F.nullif(F.split_part(t, F.lit("|"), F.lit(k)), F.lit(""))
+_PARTIES = lambda t: F.transform(F.filter(F.split(F.split_part(t, F.lit("|"), F.lit(5)), ";"), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("name"), F.split_part(x, F.lit("="), F.lit(2)).alias("role")))
+golden(
+    "e30_built_columns",
+    [
+        ("Supreme Court|II|1-1|T|", "Washington State Supreme Court", "1-1-II", "T"), ("Court of Appeals|III|2-2||A=Appellant;B=Respondent", "Washington Court of Appeals Division III", "2-2-III", "A v. B"), ("Appeals||3-3||C=Cross Appellant", "Washington Court of Appeals Division", "3-3", "C v. Unknown"),
+        ("x|I|4-4||D=Respondent", None, "4-4-I", "Unknown v. D"), ("||5-5||E=State", None, "5-5", "E"), ("||6-6||", None, "6-6", "f.pdf"), ("||||", None, None, "f.pdf"),
+    ],
+    ("court", lambda t: normalize.court_name(_PART(t, 1), _PART(t, 2))), ("docket", lambda t: normalize.docket_number(_PART(t, 3), _PART(t, 2))), ("title", lambda t: normalize.case_title(_PART(t, 4), _PARTIES(t), F.lit("f.pdf"))),
+    whole=False,
+)
+golden(
+    "m3_stage_and_type",
+    [("Supreme Court|", "Supreme Court", "Supreme Court Opinion"), ("a Court of Appeals opinion|", "Court Of Appeals", "Court of Appeals Opinion"), ("Superior Court|", "Superior Court", "Court Decision"), ("district court|", "District Court", "Court Decision"), ("Dissenting Opinion|Appeals", "Court Of Appeals", "Dissenting Opinion"), ("concurring opinion|Supreme", "Supreme Court", "Concurring Opinion"), ("Majority Opinion|x", None, "Majority Opinion"), ("|", None, "Court Decision")],
+    ("stage", lambda t: normalize.stage(_PART(t, 1), _PART(t, 2))), ("kind", lambda t: normalize.document_type(F.coalesce(_PART(t, 1), F.lit("")))),
+    whole=False,
+)
 golden(
     "e31_authorities",
     [

@@ -7,10 +7,10 @@ from oracle import connection, differences
 
 import __spark_entry__ as entry
 from lexweave.operators import search, text
-from lexweave.plans import table_queries, text_queries
+from lexweave.plans import load_queries, rule_queries, table_queries, text_queries
 
 SMALL = "/root/testdata/sf0.001"
-ORACLES = sorted([*text_queries.ORACLE_SQL, *table_queries.ORACLE_SQL])
+ORACLES = sorted([*text_queries.ORACLE_SQL, *table_queries.ORACLE_SQL, *rule_queries.ORACLE_SQL, *load_queries.ORACLE_SQL])
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +24,18 @@ def test_against_duckdb(spark, duck, name):
     assert not differences(name, [tuple(r) for r in df.collect()], df.columns, duck.execute(entry.oracle_sql()[name]))
 
 
+@pytest.mark.parametrize("name", ["j6_anti_join", "j7_theta_first_match", "r18_find_with_context", "t8_section_kind", "r15_navigation", "t19_legal_phrases", "j10_statute_cascade", "j8_cascade_link"])
+def test_rows_are_compared(spark, name):
+    assert entry.queries()[name](spark, SMALL).count() > 0
+
+
+def test_every_kind_is_met(spark):
+    kinds = {r.kind for r in entry.queries()["t8_section_kind"](spark, "/root/testdata/sf0.01").collect()}
+    assert kinds == {"FACTS", "ANALYSIS", "CONCLUSION", "CUSTODY", "SUPPORT", "PROPERTY", "FEES", "GENERAL"}
+    strategies = {r.strategy for r in entry.queries()["j8_cascade_link"](spark, SMALL).collect()}
+    assert strategies == {None, 1, 2, 3} and {r.strategy for r in entry.queries()["j10_statute_cascade"](spark, SMALL).collect()} == {1, 2, 3, 4}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
