@@ -115,20 +115,31 @@ def stemmed(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def lexemes(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The stems of arrays of lower-case tokens in order, an empty string for a stop word; each distinct word is stemmed once a task."""
-    known: dict[str, str] = dict.fromkeys(STOP_WORDS, "")
+def _stemmed(words: Iterator[pd.Series], known: dict[str, str]) -> Iterator[pd.Series]:
+    """Arrays of words to arrays of stems; each distinct word is stemmed once a task, as long as there are under 500,000."""
+    first = dict(known)
     for batch in words:
         found = []
         for ws in batch:
             if ws is None:
                 found.append(None)
                 continue
+            if len(known) > 500_000:
+                known = dict(first)
             for w in ws:
                 if w not in known:
-                    if len(known) > 500_000:
-                        known = dict.fromkeys(STOP_WORDS, "")
                     known[w] = stemmed(w)
-            found.append([known[w] if w in known else stemmed(w) for w in ws])
+            found.append([known[w] for w in ws])
         yield pd.Series(found)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The stems of arrays of lower-case tokens in order."""
+    yield from _stemmed(words, {})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def lexemes(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Like ``stems``, with an empty string for a stop word."""
+    yield from _stemmed(words, dict.fromkeys(STOP_WORDS, ""))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.functions.stem import STOP_WORDS, lexemes, stemmed
+from lexweave.functions.stem import STOP_WORDS, lexemes, stemmed, stems  # noqa: F401  stems is offered here too
 from lexweave.operators.text import index_counters, tokens
 
 
