@@ -283,10 +283,10 @@ def _j12(spark, d):
 
 @query("j18_fuzzy_join")
 def _j18(spark, d):
-    """Kinds of parts and of segments against words, every pair at 80 or more."""
-    left = table(spark, d, "part").select(F.col("p_type").alias("kind")).distinct()
-    right = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    return search.fuzzy_join(left, right, "kind", "word")
+    """The words of parts' names against all names, every pair at 80 or more."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    words = names.select(F.explode(F.split("name", " ")).alias("word")).distinct()
+    return search.fuzzy_join(words, names, "word", "name")
 
 
 @query("s21_fuzzy_columns")

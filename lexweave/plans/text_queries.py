@@ -293,7 +293,7 @@ def _r1(spark, d):
 
 @query("r1_stemmed")
 def _r1s(spark, d):
-    return search.holding_stems(sentences(spark, d), "the thing and thinged words of anding").select("id", "sentence_order")
+    return search.holding_stems(sentences(spark, d), "the dans and pours").select("id", "sentence_order")
 
 
 @query("r2_exact_phrase", f"WITH {_SLIST}, p AS (SELECT id, sentence_order, w, unnest(range(len(w) - 1)) AS start FROM l WHERE len(w) > 1) SELECT id, sentence_order, start::INT AS start FROM p WHERE w[start + 1] = 'of' AND w[start + 2] = 'the'")
@@ -303,7 +303,7 @@ def _r2(spark, d):
 
 @query("r2_stemmed_phrase")
 def _r2s(spark, d):
-    rows = search.phrase_starts(sentences(spark, d), search.stemmed_query("thing hand"), lambda t: search.lexemes(text.tokens(t)))
+    rows = search.phrase_starts(sentences(spark, d), search.stemmed_query("in dans les"), lambda t: search.lexemes(text.tokens(t)))
     return rows.select("id", "sentence_order", "start")
 
 

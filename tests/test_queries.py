@@ -29,6 +29,13 @@ def test_rows_are_compared(spark, name):
     assert entry.queries()[name](spark, SMALL).count() > 0
 
 
+def test_fuzzy_join_query_against_all_pairs(spark):
+    names = {r.p_name for r in spark.read.parquet(f"{SMALL}/part.parquet").collect()}
+    words = {w for n in names for w in n.split(" ")}
+    got = {(r.word, r.name, r.score) for r in entry.queries()["j18_fuzzy_join"](spark, SMALL).collect()}
+    assert got and got == {(w, n, search._partial(w, n)) for w in words for n in names if search._partial(w, n) >= 80}
+
+
 def test_every_kind_is_met(spark):
     kinds = {r.kind for r in entry.queries()["t8_section_kind"](spark, "/root/testdata/sf0.01").collect()}
     assert kinds == {"FACTS", "ANALYSIS", "CONCLUSION", "CUSTODY", "SUPPORT", "PROPERTY", "FEES", "GENERAL"}
