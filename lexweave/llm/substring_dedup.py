@@ -27,7 +27,7 @@ from lexweave.llm._work import dropped, small, spread_join, table, text_batches,
 #: Bytes of a gram whose hash makes it an anchor; a power of two.
 GRAM = 32
 #: Bytes of segments that are indexed at a time.
-INDEX = 2 << 20
+INDEX = 512 << 10
 #: Distinct segments of one anchor beyond which the anchor is made longer, so that they are spread over all tasks.
 HOT = 5_000
 #: A longer anchor leaves fewer than this many bytes at either end of a string.
