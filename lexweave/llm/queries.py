@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lexweave.llm import decontaminate, fingerprint, licenses, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
+from lexweave.llm import decontaminate, fingerprint, licenses, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
@@ -20,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_suffix_array_dedup": substring_dedup.op10_suffix_array_dedup,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
