@@ -21,7 +21,7 @@ REMEMBERED = 500_000
 #: Longer stretches aren't remembered.
 LONG = 64
 #: Bytes of texts that are encoded at a time; a longer text is encoded alone.
-PIECE = 4 << 20
+PIECE = 8 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Letters, single digits, and signs: each a word of its own where no apostrophe joins them.
@@ -113,33 +113,32 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.units = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.units.normalizer = None
-        self.units.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.whole, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.array([(self.whole.id_to_token(k) or "").endswith("</w>") for k in range(self.whole.get_vocab_size())])
-        self.known: dict[str, list[int]] = {}
-        self.memory = Memory(self._learn, 1)
+        self.units, self.memory = Memory(self._learn_units, 1), Memory(self._learn, 1)
 
     def _learn(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        odd = {s for s in stretches if "<|" in s or _ODD.search(s)}
-        parts = [[s] if s in odd else _UNIT.findall(s.lower()) for s in stretches]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({u: None for own in parts for u in own if u not in known})
-        plain = [u for u in new if u not in odd]
-        ids = np.array(self.units.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int32)
+        parts = [[s] if "<|" in s or _ODD.search(s) else _UNIT.findall(s.lower()) for s in stretches]
+        count = np.array(list(map(len, parts)), np.int64)
+        ((ids, sizes),) = self.units.arrays(pa.array(list(chain.from_iterable(parts)), pa.large_string()))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(count)]
+        return [(ids, np.diff(ends, prepend=0))]
+
+    def _learn_units(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        odd = [u for u in units if "<|" in u or _ODD.search(u)]
+        own = dict(zip(odd, (e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)), strict=True)) if odd else {}
+        plain = [u for u in units if u not in own] if own else units
+        ids = np.array(self.words.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int32)
         ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
         if len(ends) != len(plain):
             raise ValueError("a unit is not one word of the tokenizer")
-        cuts, ids = [0, *ends.tolist()], ids.tolist()
-        known.update((u, ids[a:b]) for u, a, b in zip(plain, cuts, cuts[1:], strict=False))
-        if odd:
-            known.update(zip(odd, (e.ids for e in self.whole.encode_batch_fast(list(odd), add_special_tokens=False)), strict=True))
-        flat = [known[own[0]] if len(own) == 1 else list(chain.from_iterable(map(known.__getitem__, own))) for own in parts]
-        for u in [u for u in new if len(u) > LONG]:
-            known.pop(u)
-        return [(np.array(list(chain.from_iterable(flat)), np.int32), np.array(list(map(len, flat)), np.int64))]
+        if not own:
+            return [(ids, np.diff(ends, prepend=0))]
+        words = iter(np.split(ids, ends[:-1]) if len(ends) else ())
+        both = [np.array(own[u], np.int32) if u in own else next(words) for u in units]
+        return [(np.concatenate(both), np.array(list(map(len, both)), np.int64))]
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Words between ASCII white space are encoded each by itself: the tokenizer drops it, and nothing reaches across."""

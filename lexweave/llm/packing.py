@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 k, piece, start, length, crc = zip(*rows, strict=True)
                 yield pa.record_batch([batch.column(0).take(pa.array(k)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, 4_000)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(cut, f"id {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
