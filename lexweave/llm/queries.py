@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lexweave.llm import decontaminate, fingerprint, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, toxicity, vector_codes
+from lexweave.llm import alignment, decontaminate, fingerprint, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_suffix_array_dedup": substring_dedup.op10_suffix_array_dedup,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_best_fit_packing": packing.op13_best_fit_packing,
     "pipeline": corpus_pipeline.run,
