@@ -13,64 +13,121 @@ from pyspark.sql import types as T
 
 from lexweave.functions.normalize import any_date
 
-#: What is read off an object that can't be repaired: single values, and lists by the names they may have. Fixed values.
-VALUES = ("case_type", "county", "trial_judge", "source_docket_number", "appeal_outcome", "winner_legal_role", "winner_personal_role")
+#: What is kept of an object that breaks off: single values, and lists by the names they may have. Fixed values.
+VALUES = ("summary", "case_type", "county", "trial_judge", "source_docket_number", "appeal_outcome", "winner_legal_role", "winner_personal_role")
 LISTS = (("parties_parsed", "parties"), ("judicial_panel", "judges"), ("legal_representation",), ("citations",), ("statutes",), ("issues",))
 
-
-def _read(text: str) -> object:
-    try:
-        return json.loads(text)
-    except ValueError:
-        return None
-
-
-def _without_last_commas(text: str) -> str:
-    return re.sub(r",\s*([}\]])", r"\1", text)
-
-
-def _picked(text: str) -> dict:
-    """The known values and lists of an object beyond repair."""
-    found: dict = {}
-    summary = re.search(r'"summary"\s*:\s*"([^"]*(?:\\"[^"]*)*)"', text)
-    if summary:
-        found["summary"] = summary.group(1).replace('\\"', '"')
-    for name in VALUES:
-        value = re.search(rf'"{name}"\s*:\s*"([^"]*)"', text)
-        if value:
-            found[name] = value.group(1)
-    for names in LISTS:
-        hits = (re.search(rf'"{n}"\s*:\s*\[(.*?)\]', text, re.DOTALL) for n in names)
-        body = next((h.group(1) for h in hits if h), None)
-        items = None if body is None else _read(re.sub(r",\s*\]", "]", f"[{body}]"))
-        if items is not None:
-            found[names[0]] = items
-    return found
+_BLANK = re.compile(r"[\s,]*")
+_SCALAR = re.compile(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)(?=[\s,}\]]|$)")
+#: What may stand behind a string: the end of its container, a colon, or a comma and the next key, value or end.
+_BEHIND = re.compile(r"""\s*(?:$|[:}\]]|,\s*(?:$|["'{}\[\]\d-]|true\b|false\b|null\b))""")
+
+
+def _string(text: str, at: int) -> tuple[str, int] | None:
+    """The string whose quote, of either kind, stands at ``at``, and where it ends: at a quote behind which a string may end, so that others count as text."""
+    quote, mark, begin = text[at], re.compile(rf"\\.|{text[at]}", re.DOTALL), at + 1
+    parts: list[str] = []
+    for found in mark.finditer(text, at + 1):
+        if found[0] == quote:
+            parts.append(text[begin : found.start()])
+            if _BEHIND.match(text, found.end()):
+                body = "".join(parts)
+                try:
+                    return json.loads(f'"{body}"', strict=False), found.end()
+                except ValueError:
+                    return body, found.end()
+            parts.append("\\" + quote if quote == '"' else quote)
+            begin = found.end()
+        elif found[0] == "\\'":
+            parts += text[begin : found.start()], "'"
+            begin = found.end()
+        elif quote == "'" and found[0] == '"':
+            continue
+    return None
+
+
+def scanned(text: str, at: int = 0) -> tuple[dict, bool]:
+    """The object that opens at ``at``, read as far as it can be, and whether it was read to its end.
+
+    Commas may lack or be too many, quotes may be single or stand unescaped inside strings. An object
+    that breaks off has the members that are whole. What is open is kept on a stack, so depth is no limit.
+    """
+    root: dict = {}
+    stack: list[tuple[dict | list, str | None]] = [(root, None)]
+    at += 1
+    while True:
+        inner, _ = stack[-1]
+        key = None
+        at = _BLANK.match(text, at).end()
+        if at < len(text) and text[at] == ("}" if isinstance(inner, dict) else "]"):
+            done, name = stack.pop()
+            if not stack:
+                return root, True
+            _put(stack[-1][0], name, done)
+            at += 1
+            continue
+        if isinstance(inner, dict):
+            named = _string(text, at) if at < len(text) and text[at] in "\"'" else None
+            colon = re.compile(r"\s*:\s*").match(text, named[1]) if named else None
+            if not colon:
+                return root, False
+            key, at = named[0], colon.end()
+        if at >= len(text):
+            return root, False
+        if text[at] in "{[":
+            stack.append(({} if text[at] == "{" else [], key))
+            at += 1
+            continue
+        if text[at] in "\"'":
+            value = _string(text, at)
+        else:
+            plain = _SCALAR.match(text, at)
+            value = (json.loads(plain[1]), plain.end()) if plain else None
+        if value is None:
+            return root, False
+        _put(inner, key, value[0])
+        at = value[1]
+
+
+def _put(inner: dict | list, key: str | None, value: object) -> None:
+    if isinstance(inner, dict):
+        inner[key] = value
+    else:
+        inner.append(value)
 
 
 def repair(response: str) -> dict:
-    """The object in a model's answer: without fences and what surrounds it, mended where commas or quotes are wrong, else what can be picked; empty without any."""
-    body = response.strip()
-    body = re.sub(r"\A```(?:json)?", "", body)
-    body = body.removesuffix("```").strip()
-    start, end = body.find("{"), body.rfind("}") + 1
+    """The object in a model's answer, whatever surrounds it; of one that breaks off, the known values and lists that are whole; empty without any."""
+    start, end = response.find("{"), response.rfind("}") + 1
     if start < 0:
         return {}
-    text = body[start:end] if end else body[start:]
-    quoted = re.sub(r'(?<!\\)"(?=[^:,\[\]{}]*"[^:,\[\]{}]*":)', r"\\\"", text)
-    attempts = ([text] if end else []) + [_without_last_commas(text), _without_last_commas(text.replace("'", '"')), quoted]
-    for attempt in attempts:
-        found = _read(attempt)
-        if isinstance(found, dict):
-            return found
-    return _picked(text)
+    try:
+        return json.loads(response[start:end])
+    except (ValueError, RecursionError):
+        found, whole = scanned(response, start)
+    if whole:
+        return found
+    kept = {name: found[name] for name in VALUES if isinstance(found.get(name), str)}
+    for names in LISTS:
+        own = [found[n] for n in names if isinstance(found.get(n), list)]
+        if own:
+            kept[names[0]] = own[0]
+    return kept
+
+
+def _written(answer: str | None) -> str | None:
+    """The repaired object as JSON; one too deep to be written is empty."""
+    try:
+        return None if answer is None else json.dumps(repair(answer), sort_keys=True, ensure_ascii=False)
+    except RecursionError:
+        return "{}"
 
 
 @F.pandas_udf(T.StringType())
 def repaired(answers: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """An answer's object as JSON with its keys in order; null stays null."""
     for batch in answers:
-        yield batch.map(lambda x: None if x is None else json.dumps(repair(x), sort_keys=True, ensure_ascii=False))
+        yield batch.map(_written)
 
 
 def _get(doc: Column, *paths: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.functions import normalize
+from lexweave.functions import normalize, salvage
 from lexweave.operators import load, search
 from lexweave.sources import files
 from lexweave.streaming import ingest
@@ -73,11 +73,17 @@ def _s4(spark, d):
     return files.metadata(spark, at).select(F.col("case_number").cast("bigint").alias("o_custkey"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus")
 
 
-@query("s6_union_of_sheets", "SELECT sheet, row_index, key, name, segment FROM (SELECT 'customer' AS sheet, row_number() OVER (ORDER BY c_custkey) AS row_index, c_custkey::VARCHAR AS key, c_name AS name, coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS segment FROM customer UNION ALL SELECT 'supplier', row_number() OVER (ORDER BY s_suppkey), s_suppkey::VARCHAR, s_name, '' FROM supplier) t WHERE row_index BETWEEN 6 AND 55")
+@query("s5_status_filter", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Success' WHEN 'O' THEN 'Failed' END AS download_status FROM orders WHERE o_orderstatus = 'F'")
+def _s5(spark, d):
+    """Orders with a status of their download, null for some."""
+    return files.successful(table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "Success").when(F.col("o_orderstatus") == "O", "Failed").alias("download_status")))
+
+
+@query("s6_union_of_sheets", "SELECT sheet, row_index, key, name, segment FROM (SELECT 'customer' AS sheet, row_number() OVER (ORDER BY c_custkey) AS row_index, c_custkey::VARCHAR AS key, c_name AS name, coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS segment FROM customer UNION ALL SELECT 'supplier', row_number() OVER (ORDER BY s_suppkey), s_suppkey::VARCHAR, s_name, '' FROM supplier)")
 def _s6(spark, d):
     customer = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
     supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
-    return files.sheets({"customer": customer, "supplier": supplier}, {"customer": "key", "supplier": "key"}, skip=5, limit=50)
+    return files.sheets({"customer": customer, "supplier": supplier}, {"customer": "key", "supplier": "key"})
 
 
 _MONTHS = "['January','February','March','April','May','June','July','August','September','October','November','December']"
@@ -162,10 +168,13 @@ def _s18(spark, d):
     return files.briefs(left).select("path", "brief.case_file_id", "brief.brief_type", "brief.year")
 
 
-@query("s19_pdf_validity", "SELECT * FROM (VALUES ('a', TRUE, '1.7', 2, 43), ('b', FALSE, NULL, NULL, 9), ('c', FALSE, NULL, NULL, 0), ('d', TRUE, '1.4', 0, 8), ('e', FALSE, NULL, NULL, 11)) t(path, valid, version, page_count, size)")
+@query("s19_pdf_validity", """WITH f AS (SELECT doc_id, doc_id % 5 < 3 AS valid, concat(CASE WHEN doc_id % 5 = 4 THEN ' ' ELSE '' END, CASE WHEN doc_id % 5 = 3 THEN '' ELSE concat('%PDF-1.', doc_id % 8, chr(10)) END, repeat('/Type /Page ', (doc_id % 7)::INT), '/Type /Pages ', text) AS content FROM documents)
+  SELECT doc_id::VARCHAR AS path, valid, CASE WHEN valid THEN concat('1.', doc_id % 8) END AS version, CASE WHEN valid THEN (doc_id % 7)::INT END AS page_count, strlen(content) AS size FROM f""")
 def _s19(spark, d):
-    rows = [("a", b"%PDF-1.7 /Type /Page /Type /Pages/Type/Page"), ("b", b"not a pdf"), ("c", b""), ("d", b"%PDF-1.4"), ("e", b"\xff\xfe %PDF-1.7")]
-    return files.validity(spark.createDataFrame(rows, "path string, content binary"))
+    """The documents behind heads of PDF files; some have none, or one that doesn't begin the file."""
+    kind, head = F.col("doc_id") % 5, F.concat(F.lit("%PDF-1."), F.col("doc_id") % 8, F.lit("\n"))
+    content = F.concat(F.when(kind == 4, " ").otherwise(""), F.when(kind == 3, "").otherwise(head), F.repeat(F.lit("/Type /Page "), (F.col("doc_id") % 7).cast("int")), F.lit("/Type /Pages "), "text")
+    return files.validity(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), content.cast("binary").alias("content")))
 
 
 @query("s20_run_summary", "SELECT length(text) >= 300 AS ok, count(*) AS n FROM documents GROUP BY ALL")
@@ -299,11 +308,12 @@ def _s21(spark, d):
 # Loads.
 
 
-@query("m1_upsert_latest", "SELECT k, v, was_inserted FROM (SELECT k, v, CASE WHEN min(src) OVER (PARTITION BY k) = 1 THEN 1 ELSE 0 END AS was_inserted, row_number() OVER (PARTITION BY k ORDER BY src DESC, v DESC) AS n FROM (SELECT c_custkey AS k, c_acctbal AS v, 0 AS src FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT o_custkey, o_totalprice, 1 FROM orders) u) t WHERE n = 1")
+@query("m1_upsert_latest", "SELECT k, v, was_inserted FROM (SELECT k, v, CASE WHEN min(src) OVER (PARTITION BY k) = 1 THEN 1 ELSE 0 END AS was_inserted, row_number() OVER (PARTITION BY k ORDER BY src DESC, v DESC) AS n FROM (SELECT c_custkey AS k, c_acctbal AS v, 0 AS src FROM customer UNION ALL SELECT o_custkey + o_custkey % 2 * 10000000000, o_totalprice, 1 FROM orders) u) t WHERE n = 1")
 def _m1(spark, d):
-    """M1: orders loaded into a table that holds every second customer."""
-    old = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return load.upsert(old, table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v")), ["k"], F.desc("v")).withColumn("was_inserted", F.col("was_inserted").cast("int"))
+    """M1: orders loaded into a table of customers; those of odd customers under keys that the table doesn't have."""
+    key = (F.col("o_custkey") + F.col("o_custkey") % 2 * 10_000_000_000).alias("k")
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return load.upsert(old, table(spark, d, "orders").select(key, F.col("o_totalprice").alias("v")), ["k"], F.desc("v")).withColumn("was_inserted", F.col("was_inserted").cast("int"))
 
 
 @query("m1_upsert_all", "SELECT k, v, was_inserted FROM (SELECT k, v, CASE WHEN min(src) OVER (PARTITION BY k) = 1 THEN 1 ELSE 0 END AS was_inserted, row_number() OVER (PARTITION BY k ORDER BY src DESC, v DESC) AS n FROM (SELECT c_custkey AS k, c_acctbal AS v, 0 AS src FROM customer UNION ALL SELECT o_custkey, o_totalprice, 1 FROM orders) u) t WHERE n = 1")
@@ -446,16 +456,25 @@ def _e38(spark, d):
     return found.select("id", "title", F.element_at("provenance", "title").alias("origin"))
 
 
-@query("e37_overridden", "SELECT * FROM (VALUES (0, 'King', 'R', 'A,B'), (1, 'Clark', 'M', 'b,A'), (2, NULL, 'R', ''), (3, 'Clark', '', 'C')) t(i, county, parties, judges)")
-def _e37(spark, d):
-    from lexweave.functions.salvage import overridden
+_E37 = """WITH r AS (SELECT c_custkey AS id, nullif(concat('C', c_nationkey), 'C3') AS rc, CASE WHEN c_custkey % 4 > 0 THEN concat('M', c_nationkey) END AS mc, CASE WHEN c_custkey % 3 = 0 THEN [] ELSE [c_name] END AS rp,
+    CASE c_custkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['Unknown', ' n/a '] WHEN 2 THEN ['None', c_mktsegment] ELSE [c_mktsegment] END AS mp, [concat('J', c_custkey % 3), concat('K', c_custkey % 2)] AS rj, [concat('j', c_nationkey % 3)] AS mj FROM customer)
+  SELECT id, coalesce(rc, mc) AS county, array_to_string(CASE WHEN len(rp) > 0 AND len([x FOR x IN mp IF lower(trim(x)) NOT IN ('unknown', 'n/a', 'none', 'not specified', '')]) = 0 THEN rp ELSE mp END, ',') AS parties,
+    array_to_string(mj || [x FOR x IN rj IF NOT list_contains([lower(y) FOR y IN mj], lower(x))], ',') AS judges FROM r"""
+
 
-    people = "array<struct<name:string>>"
-    rows = spark.createDataFrame([(0, "King", "Clark", ["R"], ["Unknown"], ["B"], ["A"]), (1, None, "Clark", ["R"], ["M"], ["B", "A"], ["b"]), (2, None, None, ["R"], ["n/a"], [], []), (3, None, "Clark", [], [], ["C"], [])], "i int, rc string, mc string, rp array<string>, mp array<string>, rj array<string>, mj array<string>")
-    as_people = lambda c: F.transform(c, lambda x: F.struct(x.alias("name"))).cast(people)
-    out = overridden({"county": F.col("rc")}, {"county": F.col("mc")}, (as_people("rp"), as_people("mp")), (as_people("rj"), as_people("mj")))
+@query("e37_overridden", _E37)
+def _e37(spark, d):
+    """Customers whose nation, name and numbers stand for what rules and a model found."""
+    key, none = F.col("c_custkey"), F.array().cast("array<string>")
+    found = table(spark, d, "customer").select(
+        key.alias("id"), F.nullif(F.concat(F.lit("C"), "c_nationkey"), F.lit("C3")).alias("rc"), F.when(key % 4 > 0, F.concat(F.lit("M"), "c_nationkey")).alias("mc"), F.when(key % 3 == 0, none).otherwise(F.array("c_name")).alias("rp"),
+        F.when(key % 5 == 0, none).when(key % 5 == 1, F.array(F.lit("Unknown"), F.lit(" n/a "))).when(key % 5 == 2, F.array(F.lit("None"), "c_mktsegment")).otherwise(F.array("c_mktsegment")).alias("mp"),
+        F.array(F.concat(F.lit("J"), key % 3), F.concat(F.lit("K"), key % 2)).alias("rj"), F.array(F.concat(F.lit("j"), F.col("c_nationkey") % 3)).alias("mj"),
+    )
+    people = lambda c: F.transform(c, lambda x: F.struct(x.alias("name")))
+    out = salvage.overridden({"county": F.col("rc")}, {"county": F.col("mc")}, (people("rp"), people("mp")), (people("rj"), people("mj")))
     names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ",")
-    return rows.select("i", out["county"].alias("county"), names(out["parties"]).alias("parties"), names(out["judges"]).alias("judges"))
+    return found.select("id", out["county"].alias("county"), names(out["parties"]).alias("parties"), names(out["judges"]).alias("judges"))
 
 
 @query("e40_repair_selection", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'reversed' ELSE 'affirmed' END AS holding FROM lineitem l WHERE l_returnflag <> 'A' AND EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'P')")

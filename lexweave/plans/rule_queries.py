@@ -13,26 +13,39 @@ from lexweave.plans.text_queries import GOLDEN, docs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Literal cases by query.
-CASES: dict[str, list[tuple]] = {}
+#: Cases and columns by query.
+CASES: dict[str, tuple[list[tuple], tuple]] = {}
+
+
+#: Rules that read captions, citations and the like out of a text: their cases stand before whole documents.
+PLANTED = {
+    "e1_court_level", "e2_division", "e3_publication", "e4_case_number", "e7_case_type", "e8_county_named", "e9_county", "e10_citations", "e11_statutes", "e13_en_banc", "e20_statute_parts",
+    "e21_rcw_parts", "e26_brief_file", "e30_published", "e31_authorities", "e32_outline_level", "e35_json_repair", "e36_harmonised", "e47_appeal_outcome", "e48_rule_mode_case", "m3_stage_and_type", "t2_legal_sections",
+}
+
+
+def planted(spark: SparkSession, sf_dir: str, cases: list[str | None], whole: bool) -> DataFrame:
+    """id, v: every document's case, chosen by its id, and with ``whole`` its text below it."""
+    rows = docs(spark, sf_dir)
+    case = F.element_at(F.array(*[F.lit(c) for c in cases]), F.pmod("id", F.lit(len(cases))).cast("int") + 1)
+    return rows.select("id", (F.concat(case, F.lit("\n\n"), F.coalesce("text", F.lit(""))) if whole else case).alias("v"))
 
 
 def golden(name: str, rows: list[tuple], *columns: tuple[str, Callable[[Column], Column]], whole: bool = True) -> None:
-    """A query over literal inputs, whose SQL states what each must give, and with ``whole`` ``name``_documents, which does the same to every document."""
-    CASES[name] = rows
+    """A rule over documents into which its cases are planted, whose SQL states what each must give, and with ``whole`` ``name``_documents, over documents as they are."""
+    CASES[name] = rows, columns
 
     def every(spark: SparkSession, sf_dir: str) -> DataFrame:
         return docs(spark, sf_dir).select("id", *[f(F.col("text")).cast("string").alias(c) for c, f in columns])
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        data = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, v string")
-        return data.select("i", *[f(F.col("v")).cast("string").alias(c) for c, f in columns])
+        return planted(spark, sf_dir, [r[0] for r in rows], name in PLANTED).select("id", *[f(F.col("v")).cast("string").alias(c) for c, f in columns])
 
     say = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
     values = ", ".join(f"({i}, {', '.join(say(x) for x in r[1:])})" for i, r in enumerate(rows))
     casts = ", ".join(f"c{k}::VARCHAR AS {c}" for k, (c, _) in enumerate(columns))
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"SELECT i, {casts} FROM (VALUES {values}) t(i, {', '.join(f'c{k}' for k in range(len(columns)))})"
+    ORACLE_SQL[name] = f"SELECT doc_id AS id, {casts} FROM documents JOIN (VALUES {values}) t(i, {', '.join(f'c{k}' for k in range(len(columns)))}) ON i = doc_id % {len(rows)}"
     if whole:
         GOLDEN[name] = rows, [c for c, _ in columns]
         QUERIES[f"{name}_documents"] = every

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: By operator of the inventory.
 STATEMENTS = {
-    "s5_status_filter": "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100",
     "s11_unmatched_rows_stay": "SELECT c.c_custkey, coalesce(o.o_orderstatus, 'none') AS status FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000",
     "s12_resume_set": "SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')",
     "j1_inner_chain": "SELECT l.l_orderkey, l.l_linenumber, c.c_name FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE l.l_quantity > 45",
@@ -46,8 +45,7 @@ STATEMENTS = {
     "a22_table_counts": "SELECT 'orders' AS name, count(*) AS n FROM {orders} UNION ALL SELECT 'lineitem', count(*) FROM {lineitem} UNION ALL SELECT 'documents', count(*) FROM {documents}",
     "o1_top_k": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "o2_page": "SELECT c_custkey, c_name FROM {customer} ORDER BY c_name, c_custkey LIMIT 20 OFFSET 40",
-    "o3_nulls_first": "SELECT conv_id, turn, nullif(role, 'user') AS role FROM {conversations} ORDER BY nullif(role, 'user') DESC NULLS FIRST, conv_id, turn LIMIT 50",
-    "o3_nulls_first_all": "SELECT conv_id, turn, nullif(role, 'user') AS role FROM {conversations} ORDER BY nullif(role, 'user') DESC NULLS FIRST, conv_id, turn",
+    "o3_nulls_first": "SELECT conv_id, turn, nullif(role, 'user') AS role FROM {conversations} ORDER BY nullif(role, 'user') DESC NULLS FIRST, conv_id, turn",
     "o4_distinct": "SELECT DISTINCT p_brand, p_type FROM {part}",
     "o5_distinct_on": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}) t WHERE n = 1",
     "o6_union_all": "SELECT n_name AS name FROM {nation} UNION ALL SELECT r_name FROM {region}",

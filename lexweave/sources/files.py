@@ -97,13 +97,17 @@ def validity(files: DataFrame) -> DataFrame:
     return files.select("path", F.coalesce(valid, F.lit(False)).alias("valid"), F.nullif(F.regexp_extract(text, r"\A%PDF-(\d\.\d)", 1), F.lit("")).alias("version"), F.when(valid, F.regexp_count(text, F.lit(r"/Type\s*/Page(?!s)"))).cast("int").alias("page_count"), F.length("content").cast("bigint").alias("size"))
 
 
+#: Characters of a case number that are looked up in file names.
+ANCHOR = 8
+
+
 def resolved(rows: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     """``rows`` (key, year, month, pdf_filename, case_number) with path and strategy from ``listing`` (path: .../year/month/file).
 
     Strategy 1: the path itself; 2: a folder of the year whose name's first three letters begin the
     month; 3: a file of the year whose name holds the case number, commas left out. Of several paths
-    the least by name. File names are cut into runs of digits and hyphens, of which a case number is
-    one or a part's beginning and end, so that strategy 3 is an equi-join too.
+    the least by name. For strategy 3, the number's first ``ANCHOR`` characters, or as many as it has,
+    are joined with as long pieces of the file names of its year; numbers of any length are then compared whole.
     """
     parts = F.split("path", "/")
     files = listing.select("path", F.element_at(parts, -3).alias("year"), F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"))
@@ -111,9 +115,11 @@ def resolved(rows: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     exact = wanted.join(files, (wanted["year"] == files["year"]) & (wanted["month"] == files["folder"]) & (wanted["file"] == files["file"])).select(key, "path", F.lit(1).alias("strategy"))
     near = wanted.join(files, (wanted["year"] == files["year"]) & (wanted["file"] == files["file"]) & F.startswith(F.lower("month"), F.left(F.lower("folder"), F.lit(3)))).select(key, "path", F.lit(2).alias("strategy"))
     bare = F.replace("file", F.lit(","), F.lit(""))
-    every = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.length("b") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("b") - i, F.lit(24))), lambda n: F.substring("b", i + 1, n))))))
-    grams = files.select("path", "year", bare.alias("b")).filter("b <> ''").select("path", "year", every.alias("number"))
-    held = wanted.filter("number <> ''").join(grams, ["year", "number"]).select(key, "path", F.lit(3).alias("strategy"))
+    pieces = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length("b")), lambda i: i <= F.length("b") - n + 1), lambda i: F.substring("b", i, F.lit(n)))
+    every = F.explode(F.array_distinct(F.concat(*[pieces(n) for n in range(1, ANCHOR + 1)])))
+    grams = files.select("path", "year", bare.alias("b")).filter("b <> ''").select("path", "year", "b", every.alias("anchor"))
+    anchored = wanted.filter("number <> ''").withColumn("anchor", F.left("number", F.lit(ANCHOR)))
+    held = anchored.join(grams, ["year", "anchor"]).filter(F.contains("b", "number")).select(key, "path", F.lit(3).alias("strategy"))
     best = exact.union(near).union(held).groupBy(key).agg(F.min(F.struct("strategy", "path")).alias("b")).select(key, "b.path", "b.strategy")
     return rows.join(best, key, "left")
 

@@ -64,6 +64,10 @@ def test_repaired_objects():
     assert salvage.repair('x ```{"a": "b",}``` y') == {"a": "b"}
     assert salvage.repair("{'a': 'it'}") == {"a": "it"}
     assert salvage.repair("[1]") == {} and salvage.repair("") == {}
+    assert salvage.repair('{"summary": "he said "no" to it", "county": "King"} and so on') == {"summary": 'he said "no" to it', "county": "King"}
+    assert salvage.repair('{"a": [1 2 true {"b": null}] "c": "x\\ny"}') == {"a": [1, 2, True, {"b": None}], "c": "x\ny"}
+    assert salvage.repair('{"county": "King", "other": 1, "issues": [{"x": ') == {"county": "King"}
+    assert salvage.repair('{"a": ' + '[' * 200_000) == {} and salvage.scanned('{"a": ' + '[' * 50_000 + ']' * 50_000 + '}')[1]
 
 
 def test_embeddings_keep_places_and_fail_as_null(spark):

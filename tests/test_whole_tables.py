@@ -14,6 +14,6 @@ def test_upsert_takes_every_row_of_both_tables(spark, tmp_path):
 def test_order_keeps_every_row_behind_many_nulls(spark, tmp_path):
     rows = [(i % 7, i, "user" if i % 3 else ("system", "assistant")[i % 2]) for i in range(300)]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = [tuple(r) for r in entry.queries()["o3_nulls_first_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in entry.queries()["o3_nulls_first"](spark, str(tmp_path)).collect()]
     kinds = (None, "system", "assistant")
     assert got == [(c, t, k) for k in kinds for c, t, r in sorted(rows) if (None if r == "user" else r) == k]
