@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches that a worker remembers, 100 to 200 bytes each; beyond it, it starts anew.
-REMEMBERED = 500_000
+#: Stretches that a worker remembers, by the columns of what it keeps of each, 100 to 300 bytes in all; beyond it, it starts anew.
+REMEMBERED = {1: 500_000, 5: 200_000}
 #: Longer stretches aren't remembered.
 LONG = 64
-#: Bytes of texts that are encoded at a time; a longer text is encoded alone.
-PIECE = 8 << 20
+#: Bytes of texts that are encoded at a time, in the same way; a longer text is encoded alone.
+PIECE = {1: 8 << 20, 5: 2 << 20}
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Letters, single digits, and signs: each a word of its own where no apostrophe joins them.
@@ -71,7 +71,7 @@ class Memory:
 
     def arrays(self, stretches: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each column the arrays of the stretches one after the other, and their sizes."""
-        if len(self.places) > REMEMBERED or self.long > 1 << 22:
+        if len(self.places) > REMEMBERED[self.columns] or self.long > 1 << 22:
             self.clear()
         coded = stretches.dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -96,7 +96,7 @@ def gathered(column: pa.Array, memory: Memory, split: Callable[[pa.Array], pa.Ar
     size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PIECE, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PIECE[memory.columns], side="right")))
         lists = split(column.slice(lo, hi - lo))
         first = np.asarray(lists.offsets)
         by_column = []

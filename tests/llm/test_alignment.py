@@ -73,8 +73,8 @@ def test_stretches_give_the_ids_of_whole_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     for piece, kept in ((1 << 20, 1000), (40, 3)):  # also with texts cut into many runs, and a memory that forgets
-        monkeypatch.setattr(_tokens, "PIECE", piece)
-        monkeypatch.setattr(_tokens, "REMEMBERED", kept)
+        monkeypatch.setattr(_tokens, "PIECE", {1: piece, 5: piece})
+        monkeypatch.setattr(_tokens, "REMEMBERED", {1: kept, 5: kept})
         texts = [t or "" for t in ODD] + noise(1500, seed=kept)
         whole = Tokenizer.from_file(W)
         for t, got in zip(texts, _tokens.WordIds(W).of(pa.array(texts)), strict=True):
