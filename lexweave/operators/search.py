@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.functions.stem import STOP_WORDS, lexemes, stemmed, stems  # noqa: F401  stems is offered here too
-from lexweave.operators.text import index_counters, tokens
+from lexweave.operators.text import index_counters, tokens, with_sentences
 
 
 def holding(rows: DataFrame, words: list[str], lexemes: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -297,19 +297,31 @@ def navigated(sentences: DataFrame, chunks: DataFrame, docs: DataFrame, query: l
     return hits.join(chunk_matches(sentences, query), keys).join(adjacent, keys).join(counted, keys).join(totals, "id")
 
 
-def found_with_context(sentences: DataFrame, docs: DataFrame, words: list[str], reach: int = 1) -> DataFrame:
-    """Sentences (id, global_sentence_order, text) that hold all the words, with the document's other columns, word_count, relevance, and context: the sentences within reach in order, as JSON.
+def matches_with_neighbours(docs: DataFrame, words: list[str], reach: int = 1) -> DataFrame:
+    """Each sentence of documents (id, text, others), one row each, that holds all the words, as target (its number) and sentence, with its words as ``__w``, the document's other columns, and ``near``: the sentences within reach, struct(order, text).
 
-    Neighbours are read from a window over each document's sentences, so sentences are ordered once.
+    Neighbours are read from the row's own array, and only for matches, so no text is shuffled. A query
+    without words matches nothing.
     """
-    order = F.col("global_sentence_order")
-    w = Window.partitionBy("id").orderBy("global_sentence_order").rowsBetween(-reach, reach)
-    worded = sentences.withColumn("__near", F.collect_list(F.struct(order.alias("order"), "text")).over(w))
-    hits = worded.filter(reduce(lambda x, y: x & y, [F.lower("text").contains(x.lower()) for x in words])).withColumn("__w", F.explode(F.array(tokens(F.col("text")))))
-    hits = hits.filter(reduce(lambda x, y: x & y, [F.array_contains("__w", x.lower()) for x in words]))
-    shown = F.transform("__near", lambda x: F.struct(x["order"].alias("order"), x["text"].alias("text"), (x["order"] == order).alias("is_match"), F.abs(x["order"] - order).alias("distance")))
-    found = hits.select("id", order.alias("target"), F.col("text").alias("sentence"), F.size("__w").alias("word_count"), F.round(rank(F.col("__w"), [x.lower() for x in words]), 6).alias("relevance"), F.to_json(shown).alias("context"))
-    return found.join(docs, "id")
+    own = [w.lower() for w in words if w.strip()]
+    rows = with_sentences(docs)
+    marked = F.transform("sentences", lambda s, i: F.struct((i + 1).alias("target"), s["text"].alias("sentence")))
+    likely = F.filter(marked, lambda m: reduce(lambda x, y: x & y, [F.lower(m["sentence"]).contains(w) for w in own]) if own else F.lit(False))
+    others = [c for c in docs.columns if c != "text"]
+    hits = rows.select(*others, "sentences", F.inline(likely)).withColumn("__w", F.explode(F.array(tokens(F.col("sentence")))))
+    hits = hits.filter(reduce(lambda x, y: x & y, [F.array_contains("__w", w) for w in own]) if own else F.lit(False))
+    first = F.greatest(F.col("target") - reach, F.lit(1))
+    near = F.slice("sentences", first, F.col("target") + reach - first + 1)
+    return hits.withColumn("near", F.transform(near, lambda s, i: F.struct((first + i).alias("order"), s["text"].alias("text")))).drop("sentences")
+
+
+def found_with_context(docs: DataFrame, words: list[str], reach: int = 1) -> DataFrame:
+    """Id, target, sentence, word_count, relevance and context, the sentences within reach in order as JSON, of the sentences of documents (id, text, others) that hold all the words, with the documents' other columns."""
+    order = F.col("target")
+    hits = matches_with_neighbours(docs, words, reach)
+    shown = F.transform("near", lambda x: F.struct(x["order"].alias("order"), x["text"].alias("text"), (x["order"] == order).alias("is_match"), F.abs(x["order"] - order).alias("distance")))
+    others = [c for c in docs.columns if c not in ("id", "text")]
+    return hits.select("id", "target", "sentence", F.size("__w").alias("word_count"), F.round(rank(F.col("__w"), [x.lower() for x in words]), 6).alias("relevance"), F.to_json(shown).alias("context"), *others)
 
 
 def case_phrases(phrases: DataFrame, case: object, like: str, k: int = 50) -> DataFrame:

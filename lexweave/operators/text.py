@@ -111,8 +111,25 @@ def sentences(docs: DataFrame, *keys: str, end: str = SENTENCE_END, least: int =
     return cut.select(*keys, (F.col("p") + 1).alias("sentence_order"), strip(F.col("text")).alias("text")).filter(F.length("text") >= least)
 
 
+def sentence_list(text: Column, end: str = SENTENCE_END, least: int = 15) -> Column:
+    """T10 in its row: an array of struct(sentence_order, text)."""
+    cut = F.transform(F.split(text, end), lambda t, i: F.struct((i + 1).alias("sentence_order"), strip(t).alias("text")))
+    return F.filter(cut, lambda x: F.length(x["text"]) >= least)
+
+
+def with_sentences(docs: DataFrame, end: str = SENTENCE_END, least: int = 15) -> DataFrame:
+    """Documents long enough for sentences, with these as ``sentences``; made once a row, whatever is asked of them."""
+    return docs.filter(F.length(strip(F.col("text"))) >= 10).select("*", F.explode(F.array(sentence_list(F.col("text"), end, least))).alias("sentences"))
+
+
+def numbered_sentences(docs: DataFrame, *keys: str, end: str = SENTENCE_END, least: int = 15) -> DataFrame:
+    """T10, T11 of documents, one row each: keys, sentence_order, text, global_sentence_order; numbered in the row, so no text is shuffled."""
+    rows = with_sentences(docs, end, least).select(*(keys or ("id",)), F.posexplode("sentences").alias("p", "s"))
+    return rows.select(*(keys or ("id",)), "s.sentence_order", "s.text", (F.col("p") + 1).alias("global_sentence_order"))
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows with global_sentence_order, dense from 1 in each document."""
+    """T11 of rows that are stored by themselves: with global_sentence_order, dense from 1 in each document."""
     return rows.withColumn("global_sentence_order", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
 
 
@@ -158,32 +175,44 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(shifted, lambda s: F.concat_ws(" ", *[s[f"w{k}"] for k in range(n)]))
 
 
-def phrases(docs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), least: int = 2, keep: Callable[[Column], Column] | None = None, high_value: Callable[[Column], Column] | None = None, words: Column | None = None, example: str | None = None) -> DataFrame:
-    """Id, phrase, n, frequency. ``keep`` and ``high_value`` test a phrase before and after counting.
+def phrases(docs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), least: int = 2, keep: Callable[[Column], Column] | None = None, high_value: Callable[[Column], Column] | None = None, words: Column | None = None) -> DataFrame:
+    """Id, phrase, n, frequency of documents, one row each. ``keep`` and ``high_value`` test a phrase before and after counting.
 
-    A phrase counts if it is frequent enough or of high value. With ``example``, a column by whose
-    order rows of a document come (chunks, say), also its value where the phrase first occurs. Rows
-    are brought together by document before they are cut into phrases, so phrases aren't shuffled.
+    A phrase counts if it is frequent enough or of high value. Phrases are sorted and counted by their
+    runs in the document's row, so nothing is shuffled and only those that count leave it.
     """
     own = tokens(F.col("text")) if words is None else words
-    more = [example] if example else []
-    worded = docs.repartition("id").select("id", *more, F.explode(F.array(own)).alias("w"))
+    worded = docs.select("id", F.explode(F.array(own)).alias("w"))
+    grams = F.concat(*[ngrams(F.col("w"), n) for n in sizes])
+    grams = F.filter(grams, lambda p: keep(p)) if keep else grams
+    # Each array in a row of its own, so that it isn't made again for each of its elements.
+    placed = worded.select("id", F.explode(F.array(F.sort_array(grams))).alias("g")).filter(F.size("g") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1)))
+    runs = placed.select("id", "g", F.explode(F.array(begins)).alias("b"))
+    counted = F.transform("b", lambda i, k: F.struct(F.get("g", i).alias("phrase"), (F.coalesce(F.get("b", k + 1), F.size("g")) - i).cast("bigint").alias("frequency")))
+    enough = F.filter(counted, lambda x: (x["frequency"] >= least) | (high_value(x["phrase"]) if high_value else F.lit(False)))
+    found = runs.select("id", F.inline(enough))
+    return found.select("id", "phrase", F.size(F.split("phrase", " ")).alias("n"), "frequency")
+
+
+def gathered_phrases(rows: DataFrame, example: str, sizes: tuple[int, ...] = (2, 3, 4), least: int = 2, keep: Callable[[Column], Column] | None = None, high_value: Callable[[Column], Column] | None = None, words: Column | None = None) -> DataFrame:
+    """As ``phrases``, of documents that have several rows, with the least ``example``, a column by whose order they come, of a row with the phrase."""
+    own = rows.select("id", example, F.explode(F.array(tokens(F.col("text")) if words is None else words)).alias("w"))
 
     def tagged(n: int) -> Column:
         grams = ngrams(F.col("w"), n)
         kept = F.filter(grams, lambda p: keep(p)) if keep else grams
         return F.transform(kept, lambda p: F.struct(p.alias("phrase"), F.lit(n).alias("n")))
 
-    rows = worded.select("id", *more, F.inline(F.concat(*[tagged(n) for n in sizes])))
-    counted = rows.groupBy("id", "phrase", "n").agg(F.count("*").alias("frequency"), *[F.min(c).alias(c) for c in more])
+    counted = own.select("id", example, F.inline(F.concat(*[tagged(n) for n in sizes]))).groupBy("id", "phrase", "n").agg(F.count("*").alias("frequency"), F.min(example).alias(example))
     return counted.filter((F.col("frequency") >= least) | (high_value(F.col("phrase")) if high_value else F.lit(False)))
 
 
 def chunked_phrases(chunks: DataFrame, strict: bool = True, least: int = 2) -> DataFrame:
     """Phrases within the chunks (id, chunk_order, text) of a case: strict, legal ones that are frequent or of high value; else all that are frequent."""
     if strict:
-        return phrases(chunks, least=least, keep=is_legal, high_value=is_high_value, example="chunk_order")
-    return phrases(chunks, least=least, example="chunk_order")
+        return gathered_phrases(chunks, "chunk_order", least=least, keep=is_legal, high_value=is_high_value)
+    return gathered_phrases(chunks, "chunk_order", least=least)
 
 
 #: Fixed values.

@@ -174,7 +174,7 @@ def _t10(spark, d):
 
 @query("t11_global_order", f"WITH {_SENT} SELECT id, sentence_order, row_number() OVER (PARTITION BY id ORDER BY sentence_order) AS global_sentence_order FROM sent")
 def _t11(spark, d):
-    return text.numbered(sentences(spark, d), "sentence_order").select("id", "sentence_order", "global_sentence_order")
+    return text.numbered_sentences(docs(spark, d)).select("id", "sentence_order", "global_sentence_order")
 
 
 @query("t13_token_counts", f"WITH {_TOK} SELECT id, count(*) AS n, min(word) AS lo FROM tok GROUP BY id")
@@ -371,13 +371,14 @@ def _r16(spark, d):
 
 @query("r17_global_order", f"WITH {_SENT}, num AS (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY sentence_order) AS g FROM sent) SELECT id, g AS global_sentence_order, text FROM num WHERE g BETWEEN 3 AND 5")
 def _r17(spark, d):
-    return text.numbered(sentences(spark, d), "sentence_order").filter(F.col("global_sentence_order").between(3, 5)).select("id", "global_sentence_order", "text")
+    return text.numbered_sentences(docs(spark, d)).filter(F.col("global_sentence_order").between(3, 5)).select("id", "global_sentence_order", "text")
 
 
 @query("j4_windows_of_matches", f"WITH {_STOK}, num AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sentence_order) AS g FROM sent), hit AS (SELECT DISTINCT id, sentence_order FROM tok WHERE word = 'that'), h AS (SELECT n.id, n.g FROM num n JOIN hit USING (id, sentence_order)) SELECT n.id, h.g AS target, n.g AS global_sentence_order, abs(n.g - h.g) AS distance, CASE WHEN n.g < h.g THEN 'BEFORE' WHEN n.g > h.g THEN 'AFTER' ELSE 'TARGET' END AS place FROM num n JOIN h ON n.id = h.id AND n.g BETWEEN h.g - 1 AND h.g + 1")
 def _j4(spark, d):
-    rows = text.numbered(sentences(spark, d), "sentence_order")
-    return search.around(rows, search.holding(rows, ["that"]), "global_sentence_order").select("id", "target", "global_sentence_order", "distance", "place")
+    near = search.matches_with_neighbours(docs(spark, d), ["that"]).select("id", "target", F.explode("near.order").alias("global_sentence_order"))
+    gap = F.col("global_sentence_order") - F.col("target")
+    return near.select("id", "target", "global_sentence_order", F.abs(gap).alias("distance"), F.when(gap < 0, "BEFORE").when(gap > 0, "AFTER").otherwise("TARGET").alias("place"))
 
 
 @query(
@@ -390,9 +391,8 @@ def _j4(spark, d):
 )
 def find_with_context(spark: SparkSession, sf_dir: str, words: tuple[str, ...] = ("that",), reach: int = 1) -> DataFrame:
     """Sentences that hold all the words, with their document's columns, a rank, and their neighbours in order as JSON. The flagship query."""
-    rows = text.numbered(sentences(spark, sf_dir), "sentence_order")
-    about = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "source", "lang")
-    return search.found_with_context(rows, about, list(words), reach)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    return search.found_with_context(rows, list(words), reach)
 
 
 _PSENT = rf"""psent AS (SELECT id, chunk_order, (n + 1)::INT AS sentence_order, text FROM (SELECT id, pos AS chunk_order, unnest(range(len(p))) AS n, {_STRIP.format('unnest(p)')} AS text FROM (
@@ -435,7 +435,7 @@ _STATS = f"st AS (SELECT d.doc_id AS id, (SELECT count(*) FROM para p WHERE p.id
 def _r14(spark, d):
     chunks, sents, about = parts(spark, d)
     words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sentence_order", text.tokens(F.col("text")).alias("w")))), lambda x: x["w"]))
-    found = text.phrases(sents.groupBy("id", "chunk_order").agg(words.alias("w")), (2,), words=F.col("w"))
+    found = text.gathered_phrases(sents.groupBy("id", "chunk_order").agg(words.alias("w")), "chunk_order", (2,), words=F.col("w"))
     labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"))
     return search.document_statistics(about, chunks, sents, found, labels=labels)
 
