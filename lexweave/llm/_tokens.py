@@ -17,8 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stretches that a worker remembers, by the columns of what it keeps of each, 100 to 300 bytes in all; beyond it, it starts anew.
-REMEMBERED = {1: 500_000, 5: 200_000}
-#: Longer stretches aren't remembered.
+REMEMBERED = {1: 500_000, 5: 150_000}
+#: Stretches encoded at a time, as the libraries need much memory for each.
+LEARNT = 20_000
+#: Characters of a stretch that counts as long: few of these are remembered.
 LONG = 64
 #: Bytes of texts that are encoded at a time, in the same way; a longer text is encoded alone.
 PIECE = {1: 8 << 20, 5: 2 << 20}
@@ -77,7 +79,9 @@ class Memory:
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = list(map(self.places.get, names))
         if None in known:
-            self._add([s for s, k in zip(names, known, strict=True) if k is None])
+            new = [s for s, k in zip(names, known, strict=True) if k is None]
+            for lo in range(0, len(new), LEARNT):
+                self._add(new[lo : lo + LEARNT])
             known = list(map(self.places.get, names))
         at = np.array(known, np.int64)[coded.indices.to_numpy()]
         out = []

@@ -39,13 +39,13 @@ def tokens(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "do
                 at = [np.repeat(np.arange(len(e), dtype=np.int32), np.diff(e, prepend=0)) for e in (ends_a, ends_b)]
                 parts.append((a, ends_a, at[0], b, ends_b, at[1]))
                 size += len(at[0])
-                if size > 1 << 21 or k + 1 == batch.num_rows:
+                if size > 1 << 20 or k + 1 == batch.num_rows:
                     offsets = (np.cumsum([0, *(len(p[c]) for p in parts)]).astype(np.int32) for c in range(len(ARRAYS)))
                     lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(np.concatenate([p[c] for p in parts]), pa.int32())) for c, o in enumerate(offsets)]
                     yield pa.record_batch([batch.column(0).slice(first, len(parts)), *lists], ["id", *ARRAYS])
                     first, size, parts = k + 1, 0, []
 
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, 500)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(encoded, f"id {kind}, " + ", ".join(f"{c} array<int>" for c in ARRAYS))
 
