@@ -10,6 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.operators import text, trees
+from lexweave.operators.cases import CaseStore, case_tables
+from lexweave.operators.counts import MaintainedCounts
 from lexweave.operators.grams import TrigramIndex
 from lexweave.operators.inverted import InvertedIndex
 from lexweave.operators.vectors import VectorIndex
@@ -142,3 +145,127 @@ def _r16r(spark, d):
     true, found = index.search(queries, 20).select("id", "neighbour"), index.search(queries, 20, probes=12).select("id", "neighbour")
     hits = true.join(found.withColumn("hit", F.lit(1)), ["id", "neighbour"], "left").agg(F.countDistinct("id").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
     return hits.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+# Counts that follow changes.
+
+
+@query("a18_maintained_counts", "SELECT o_custkey % 7 AS k, count(*) AS n, sum(CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END)::BIGINT AS v FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL UNION ALL SELECT 10 + o_custkey % 3, count(*), sum(o_shippriority + 5)::BIGINT FROM (SELECT o_custkey, 0 AS o_shippriority FROM orders WHERE o_orderstatus = 'P') x GROUP BY ALL")
+def _a18(spark, d):
+    """All orders are counted, then those of one status move to other groups with other values."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    value = F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).cast("bigint").alias("v")
+    counts, rows = MaintainedCounts(spark, files.workspace(spark), ["k"], ["v"]), orders.select((F.col("o_custkey") % 7).alias("k"), value, "o_orderstatus", "o_custkey")
+    counts.apply(rows)
+    moving = rows.filter("o_orderstatus = 'P'")
+    counts.apply(moving.select((F.lit(10) + F.col("o_custkey") % 3).alias("k"), F.lit(5).cast("bigint").alias("v")), moving)
+    return counts.read()
+
+
+@query("a16_maintained_statistics", "SELECT extract(year FROM o_orderdate)::INT AS year, o_orderpriority AS priority, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders GROUP BY ALL")
+def _a16(spark, d):
+    """Statistics by year and kind, kept through loads: orders come in under another kind, which is then corrected."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    counts, wrong = MaintainedCounts(spark, files.workspace(spark), ["year", "priority"], ["total"]), rows.withColumn("priority", F.lit("none"))
+    counts.apply(wrong)
+    counts.apply(rows, wrong)
+    return counts.read().select("year", "priority", "n", F.col("total").cast("double").alias("total"))
+
+
+@query("t16_maintained_frequency", text_queries.ORACLE_SQL["t16_document_frequency"])
+def _t16(spark, d):
+    """Documents by word, kept while all documents come twice and go once."""
+    words = text.distinct_words(docs(spark, d)).select("word")
+    counts = MaintainedCounts(spark, files.workspace(spark), ["word"])
+    counts.apply(words)
+    counts.apply(words.withColumn("word", F.upper("word")), None)
+    counts.apply(words, words.withColumn("word", F.upper("word")).unionAll(words))
+    return counts.read().select("word", F.col("n").alias("df"))
+
+
+# Trees of any edges.
+
+#: Parts in a tree of forks, in which some pairs are parents of each other.
+_EDGES = "e AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 7 THEN p_partkey + 1 WHEN p_partkey % 50 = 8 THEN p_partkey - 1 WHEN p_partkey > 1 THEN p_partkey // 2 ELSE -5 END AS up FROM part)"
+_UP = f"WITH RECURSIVE {_EDGES}, w(id, now, seen, looped) AS (SELECT id, id, [id], FALSE FROM e UNION ALL SELECT w.id, p.id, list_append(seen, p.id), list_contains(seen, p.id) FROM w JOIN e ON e.id = w.now JOIN e p ON p.id = e.up WHERE NOT looped)"
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey")
+    up = F.when(key % 50 == 7, key + 1).when(key % 50 == 8, key - 1).when(key > 1, F.expr("p_partkey div 2")).otherwise(-5)
+    return spark.read.parquet(f"{d}/part.parquet").select(key.alias("id"), up.cast("bigint").alias("up"), "p_name")
+
+
+@query("j15_ancestors", f"{_UP} SELECT id, CASE WHEN bool_or(looped) THEN NULL ELSE arg_max(now, len(seen)) END AS root, CASE WHEN bool_or(looped) THEN NULL ELSE max(len(seen)) - 1 END::INT AS depth, bool_or(looped) AS looped FROM w GROUP BY id")
+def _j15a(spark, d):
+    return trees.ancestors(_edges(spark, d), "id", "up")
+
+
+@query("j15_descendants", f"{_UP}, bad AS (SELECT DISTINCT id FROM w WHERE looped) SELECT now AS ancestor, count(*) AS below, max(len(seen) - 1)::INT AS height FROM w WHERE id NOT IN (SELECT id FROM bad) GROUP BY now")
+def _j15d(spark, d):
+    return trees.descendants(_edges(spark, d), "id", "up").groupBy("ancestor").agg(F.count("*").alias("below"), F.max("distance").alias("height"))
+
+
+@query("j15_threads", "SELECT conv_id || '/' || turn AS key, turn::INT AS depth, md5(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn)) AS thread FROM conversations")
+def _j15t(spark, d):
+    """Each turn of a conversation with the thread up to it."""
+    name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(name(F.col("turn")).alias("key"), name(F.col("turn") - 1).alias("up"), "text")
+    return trees.threads(rows, "key", "up", "text").select("key", "depth", F.md5("thread").alias("thread"))
+
+
+# Loads of all tables of cases at once.
+
+#: What rules and a model found of orders: lines' suppliers and parts stand for names.
+_FOUND = """l AS (SELECT l_orderkey AS id, l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem),
+  o AS (SELECT o_orderkey AS id, nullif(o_orderstatus, 'P') AS rule_outcome, o_orderpriority AS model_outcome FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("ls"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
+    pick = lambda column, mark, name: F.transform("ls", lambda x: F.struct(F.concat(F.lit(mark), x[column].cast("string")).alias(name)))
+    none = lambda name: F.array().cast(f"array<struct<{name}:string>>")
+    value = lambda c, name: c.cast("string").alias(name)
+    rules = F.struct(value(F.lit(None), "county"), value(F.nullif("o_orderstatus", F.lit("P")), "outcome"), value(F.lit(None), "summary"), pick("l_suppkey", "S", "name").alias("parties"), F.slice(pick("l_suppkey", "J", "name"), 1, 1).alias("judges"), none("text").alias("issues"), none("text").alias("arguments"))
+    parties = F.when(F.col("id") % 3 == 0, F.array(F.struct(F.lit("Unknown").alias("name")))).otherwise(pick("l_partkey", "P", "name"))
+    model = F.struct(value(F.lit("King"), "county"), value(F.col("o_orderpriority"), "outcome"), value(F.lit("s"), "summary"), parties.alias("parties"), F.slice(pick("l_suppkey", "j", "name"), 1, 2).alias("judges"), pick("l_partkey", "I", "text").alias("issues"), pick("l_suppkey", "A", "text").alias("arguments"))
+    return lines.join(orders, "id").select("id", rules.alias("rules"), model.alias("model"))
+
+
+_MODE = "CASE id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'regex' ELSE 'hybrid' END"
+
+
+def _loaded(spark: SparkSession, d: str) -> CaseStore:
+    """All cases loaded as the model says; then some again by rules, others by both."""
+    rows, store = _found(spark, d), CaseStore(spark, files.workspace(spark))
+    store.load(case_tables(rows, "complete"))
+    store.load(case_tables(rows.filter("id % 4 = 1"), "regex"))
+    store.load(case_tables(rows.filter("id % 4 > 1"), "hybrid"))
+    return store
+
+
+@query("m14_modes_of_load", f"WITH {_FOUND}, m AS (SELECT *, {_MODE} AS mode FROM o) SELECT id, mode, CASE mode WHEN 'regex' THEN NULL ELSE 'King' END AS county, CASE mode WHEN 'complete' THEN model_outcome WHEN 'regex' THEN rule_outcome ELSE coalesce(rule_outcome, model_outcome) END AS outcome FROM m")
+def _m14m(spark, d):
+    return _loaded(spark, d).read("cases").select("id", "mode", "county", "outcome")
+
+
+@query(
+    "s8_tables_of_a_case",
+    f"""WITH {_FOUND}, m AS (SELECT l.*, {_MODE} AS mode FROM l JOIN o USING (id)), r AS (
+  SELECT 'party' AS kind, id, CASE WHEN mode = 'regex' OR (mode = 'hybrid' AND id % 3 = 0) THEN concat('S', l_suppkey) WHEN id % 3 = 0 THEN 'Unknown' ELSE concat('P', l_partkey) END AS name FROM m WHERE NOT (mode = 'complete' AND id % 3 = 0 AND p > 1)
+  UNION ALL SELECT 'judge', id, concat(CASE mode WHEN 'regex' THEN 'J' ELSE 'j' END, l_suppkey) FROM m WHERE p = 1 OR (p = 2 AND mode <> 'regex')
+  UNION ALL SELECT 'issue', id, concat('I', l_partkey) FROM m WHERE mode <> 'regex'
+  UNION ALL SELECT 'argument', m.id, concat('A', m.l_suppkey, ' I', f.l_partkey) FROM m JOIN l f ON f.id = m.id AND f.p = 1 WHERE mode <> 'regex')
+  SELECT kind, id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM r GROUP BY kind, id""",
+)
+def _s8t(spark, d):
+    """The children of every case after loads that put some of them anew."""
+    store = _loaded(spark, d)
+    arguments = store.read("arguments").withColumnRenamed("text", "argument").join(store.read("issues").select("issue_id", "text"), "issue_id")
+    rows = {"party": store.read("parties"), "judge": store.read("judges"), "issue": store.read("issues").withColumnRenamed("text", "name"), "argument": arguments.withColumn("name", F.concat_ws(" ", "argument", "text"))}
+    out = None
+    for kind, own in rows.items():
+        own = own.groupBy(F.lit(kind).alias("kind"), "id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+        out = own if out is None else out.unionAll(own)
+    return out
