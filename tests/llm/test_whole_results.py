@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexweave.llm import decontaminate, fingerprint, mixing, near_dedup, sharding, substring_dedup, toxicity
+from lexweave.llm import decontaminate, fingerprint, line_dedup, mixing, near_dedup, sharding, substring_dedup, toxicity
 
 
 def shingles(t):
@@ -229,3 +229,10 @@ def test_hits_of_items_without_an_id(spark):
     docs = spark.createDataFrame([(1, words), (2, "w0 w1"), (None, words), (None, "q")], "doc_id bigint, text string")
     got = decontaminate.contamination(docs, spark.createDataFrame([(None, words), (3, "w0 w1")], "item_id bigint, text string")).collect()
     assert sorted((str(r.id), r.n_words, r.n_hit, r.n_items) for r in got) == [("1", 12, 12, 1), ("2", 2, 2, 1), ("None", 1, 0, 0), ("None", 12, 12, 1)]
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    lines = "\n".join(f"line {i}" for i in range(100_000))
+    rows = [(i, lines + f"\nown {i}", f"site {i}") for i in range(6)] + [(9, None, "x"), (10, "", None), (11, "\n\n", "y")]
+    got = {r.id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.without_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got == {i: (100_001, 100_000, f"own {i}") for i in range(6)} | {9: (0, 0, None), 10: (1, 0, ""), 11: (3, 0, "\n\n")}
