@@ -213,31 +213,50 @@ def partial_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([None if x is None or y is None else _partial(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
+def _shared(length: Column) -> Column:
+    """Neighbouring letter pairs that a text of ``length`` letters shares at the least with one as long or longer at a partial ratio that rounds to 80."""
+    # Of T characters of both, 0.3975 T match at the least, and 0.205 T don't, so that they lie in 0.205 T + 1 runs
+    # at the most; T is 1.66 lengths or more. A run of n letters keeps n - 1 pairs.
+    return F.ceil(F.lit(0.3195) * length - 1).cast("int")
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: int = 80) -> DataFrame:
     """Pairs whose partial ratio is ``least`` (80 or more) or higher; blank and null texts have no partners.
 
-    At a ratio of 0.795, which rounds to 80, 0.3975 T of T characters match, in one more runs at most than
-    the 0.205 T that don't. From T = 6 on some run has two characters, so such pairs share two neighbouring
-    ones; shorter texts, of up to 3, share one. Only pairs that do are scored, each once, and none is lost.
+    The shorter of two such texts shares a known number of its neighbouring letter pairs with the
+    longer. Its pairs are put in order of their rarity, and as many of the rarest as must hold a shared
+    one are joined with the longer text's pairs; the commonest never are. A shorter text of up to 3
+    letters shares one of them. Texts that meet so are scored, each two once, and none is lost.
     """
     if least < 80:
         raise ValueError("least must be 80 or more")
 
-    def parts(text: Column) -> Column:
-        letters = F.split(text, "")
-        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(letters) - 2, F.lit(0))), lambda i: F.concat(letters[i], F.coalesce(F.get(letters, i + 1), F.lit(""))))
-        return F.array_distinct(F.concat(pairs, letters))
-
-    def side(rows: DataFrame, column: str, number: str) -> tuple[DataFrame, DataFrame]:
+    def side(rows: DataFrame, column: str, number: str) -> DataFrame:
         own = rows.filter(F.length(F.trim(F.col(column))) > 0).withColumn(number, F.xxhash64(*rows.columns))
-        own = own.withColumn("__k", F.row_number().over(Window.partitionBy(number).orderBy(*rows.columns))).withColumn(number, F.struct(number, "__k")).drop("__k")
-        return own, own.select(number, F.length(column).alias(f"{number}n"), F.explode(parts(F.col(column))).alias("g"))
-
-    a, of_a = side(left, left_text, "__l")
-    b, of_b = side(right, right_text, "__r")
-    short = F.least("__ln", "__rn") <= 3
-    pairs = of_a.join(of_b, "g").filter((F.length("g") == 2) | short).select("__l", "__r").distinct()
-    scored = pairs.join(a, "__l").join(b, "__r").withColumn("score", partial_ratio(F.col(left_text), F.col(right_text)))
+        return own.withColumn("__k", F.row_number().over(Window.partitionBy(number).orderBy(*rows.columns))).withColumn(number, F.struct(number, "__k")).drop("__k")
+
+    def parts(rows: DataFrame, column: str, number: str) -> tuple[DataFrame, DataFrame]:
+        """Number, n (length) and at (place) of each pair of letters; number, n of each letter."""
+        lettered = rows.select(F.col(number).alias("k"), F.explode(F.array(F.split(F.col(column), ""))).alias("c")).withColumn("n", F.size("c"))
+        two = F.transform(F.sequence(F.lit(0), F.greatest(F.size("c") - 2, F.lit(0))), lambda i: F.concat(F.get("c", i), F.coalesce(F.get("c", i + 1), F.lit(""))))
+        return lettered.filter("n > 1").select("k", "n", F.posexplode(two).alias("at", "g")), lettered.select("k", "n", F.explode(F.array_distinct("c")).alias("g"))
+
+    a, b = side(left, left_text, "__l"), side(right, right_text, "__r")
+    (two_a, one_a), (two_b, one_b) = parts(a, left_text, "__l"), parts(b, right_text, "__r")
+    rarity = two_a.select("g").unionAll(two_b.select("g")).groupBy("g").agg(F.count("*").alias("c"))
+    rare_first = Window.partitionBy("k").orderBy("c", "g", "at")
+
+    def met(short: DataFrame, long: DataFrame, letters: DataFrame, of: DataFrame, strict: bool) -> DataFrame:
+        """k of the shorter and of the longer texts that may be alike."""
+        ranked = short.filter("n > 3").join(rarity, "g").withColumn("__p", F.row_number().over(rare_first))
+        prefix = ranked.filter(F.col("__p") <= F.col("n") - _shared(F.col("n"))).select(F.col("k").alias("s"), F.col("n").alias("sn"), "g").distinct()
+        few = letters.filter("n <= 3").select(F.col("k").alias("s"), F.col("n").alias("sn"), "g")
+        fits = F.col("sn") < F.col("n") if strict else F.col("sn") <= F.col("n")
+        return prefix.join(long.select("k", "n", "g").distinct(), "g").filter(fits).select("s", "k").unionAll(few.join(of, "g").filter(fits).select("s", "k"))
+
+    ab = met(two_a, two_b, one_a, one_b, False).select(F.col("s").alias("__l"), F.col("k").alias("__r"))
+    ba = met(two_b, two_a, one_b, one_a, True).select(F.col("k").alias("__l"), F.col("s").alias("__r"))
+    scored = ab.unionAll(ba).distinct().join(a, "__l").join(b, "__r").withColumn("score", partial_ratio(F.col(left_text), F.col(right_text)))
     return scored.filter(F.col("score") >= least).drop("__l", "__r")
 
 

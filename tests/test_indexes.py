@@ -155,3 +155,17 @@ def test_text_and_index_cut_the_same_words(spark):
     docs = documents(30, 6)
     got = {r.id: r.w for r in frame(spark, docs).select("id", text.tokens(F.col("text")).alias("w")).collect()}
     assert got == {i: words(t) for i, t in docs.items()}
+
+
+def test_fuzzy_join_loses_no_pair(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14)))
+    left = [word() for _ in range(60)] + [None, " ", "x"]
+    near = [list(w) for w in left[:40]]
+    for w in near:
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice("abcdx")
+    right = ["".join(w) for w in near] + [word() + w + word() for w in left[:20]] + ["", "x"]
+    got = search.fuzzy_join(spark.createDataFrame([(w,) for w in left], "a string"), spark.createDataFrame([(w,) for w in right], "b string"), "a", "b")
+    want = sorted((a, b, search._partial(a, b)) for a in left if a and a.strip() for b in right if b.strip() and search._partial(a, b) >= 80)
+    assert sorted(map(tuple, got.collect())) == want
