@@ -19,6 +19,7 @@ from lexweave.operators.vectors import VectorIndex
 from lexweave.plans import text_queries
 from lexweave.plans.text_queries import _DOC, _LISTS, _TOK, docs
 from lexweave.sources import files
+from lexweave.streaming.progress import Progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -269,3 +270,30 @@ def _s8t(spark, d):
         own = own.groupBy(F.lit(kind).alias("kind"), "id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
         out = own if out is None else out.unionAll(own)
     return out
+
+
+# Progress as state.
+
+_EVENTS = "e AS (SELECT concat('f', event_id % 701) AS path, event_id AS w, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'extracted' WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'duplicate' END AS kind, props FROM events)"
+_STATUS = f"WITH {_EVENTS}, s AS (SELECT path, arg_max(CASE kind WHEN 'start' THEN 'processing' ELSE kind END, w) AS status, count(*) FILTER (WHERE kind = 'start') AS attempts, max(w) FILTER (WHERE kind = 'failed') AS f, coalesce(max(w) FILTER (WHERE kind IN ('success', 'duplicate')), -1) AS d FROM e GROUP BY path)"
+
+
+def _followed(spark: SparkSession, d: str) -> Progress:
+    """All events as events of files, streamed in from several files, two to a batch."""
+    at, kind = files.workspace(spark), F.col("event_type")
+    named = F.when(kind == "view", "start").when(kind == "click", "extracted").when(kind == "purchase", "success").when(kind == "error", "failed").otherwise("duplicate")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("f"), F.col("event_id") % 701).alias("path"), F.col("event_id").alias("at"), named.alias("kind"), F.col("props").alias("error"))
+    rows.repartitionByRange(4, "at").write.parquet(f"{at}/events")
+    out = Progress(spark, f"{at}/progress")
+    out.follow(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/events"), f"{at}/checkpoint").awaitTermination()
+    return out
+
+
+@query("s12_progress_states", f"{_STATUS} SELECT s.path, status, attempts, CASE WHEN f > d THEN props END AS error FROM s LEFT JOIN e ON e.path = s.path AND e.w = s.f")
+def _s12(spark, d):
+    return _followed(spark, d).files()
+
+
+@query("s12_progress_counters", f"{_STATUS} SELECT status, count(*) AS n FROM s GROUP BY status")
+def _s12c(spark, d):
+    return _followed(spark, d).counters()
