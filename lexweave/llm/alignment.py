@@ -68,7 +68,8 @@ def aligned(both: DataFrame) -> DataFrame:
 
     def group(end: Column, k: Column) -> Column:
         start = F.get(common, k - 1)  # null before the first
-        return F.concat_ws("|", *(_named(ids, F.coalesce(F.get(at, start), F.lit(0)), F.get(at, end - 1)) for ids, at in ((a, at_a), (b, at_b))))
+        of_a, of_b = (_named(ids, F.coalesce(F.get(at, start), F.lit(0)), F.get(at, end - 1)) for ids, at in ((a, at_a), (b, at_b)))
+        return F.concat(of_a, F.lit("|"), of_b)
 
     # Between two neighbouring ends of either side lies one token of each: these are the links.
     link = F.transform("cuts", lambda e: F.get(a, F.get(at_a, e - 1)) * F.lit(IDS).cast("bigint") + F.get(b, F.get(at_b, e - 1)))

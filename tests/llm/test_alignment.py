@@ -81,5 +81,14 @@ def test_stretches_give_the_ids_of_whole_texts(monkeypatch):
             assert whole.encode(t, add_special_tokens=False).ids == got.tolist(), t
 
 
+def test_every_token_of_the_vocabulary():
+    a, _, t = both()
+    words = [x.decode() for x in t.a_bytes if x.isascii()]
+    words += [f"{w}é" for w in words[::7]] + [f"ß {w}" for w in words[::11]]
+    got = [x[0].tolist() for x in t.of(pa.array(words))]
+    assert len(words) > 40_000 and got == [e.ids if len(p) else [] for e, p in zip(a.encode_batch([" " + w for w in words], add_special_tokens=False), got, strict=True)]
+    assert sum(not g for g in got) <= 1  # the empty word
+
+
 def test_empty_table(spark):
     assert alignment.linked(spark.createDataFrame([], SCHEMA), A, B).collect() == []
