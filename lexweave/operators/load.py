@@ -11,8 +11,9 @@ from lexweave.functions.normalize import digits, statute_parts
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], *latest: Column) -> DataFrame:
     """M1: one row for each key, the latest of the new ones before any old one, and was_inserted. Rows that are equally late are in the order of all their columns."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    by = Window.partitionBy(*keys)
-    ranked = both.withColumn("__n", F.row_number().over(by.orderBy(F.desc("__new"), *latest, *old.columns))).withColumn("was_inserted", F.min("__new").over(by) == 1)
+    by = Window.partitionBy(*keys).orderBy(F.desc("__new"), *latest, *old.columns)
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one order for both, so that rows are sorted once; old rows come last
+    ranked = both.withColumns({"__n": F.row_number().over(by), "was_inserted": F.last("__new").over(every) == 1})
     return ranked.filter("__n = 1").drop("__n", "__new")
 
 
