@@ -52,6 +52,34 @@ def sectioned(paras: DataFrame, sections: tuple = SECTIONS, ignore_case: bool =
     return paras.withColumn("section", F.coalesce(F.last(section(F.col("text"), sections, ignore_case), ignorenulls=True).over(w), F.lit("CONTENT")))
 
 
+def paragraph_list(text: Column, separator: str = r"\n\s*\n", least_words: int = 5, sections: tuple = SECTIONS, ignore_case: bool = False) -> Column:
+    """T1, T2 in its row: an array of struct(pos, text, words, section), the section null where a paragraph opens none."""
+    cut = F.transform(F.split(text, separator), lambda t, i: F.struct(i.alias("pos"), F.regexp_replace(strip(t), r"\s+", " ").alias("text")))
+    counted = F.transform(cut, lambda p: F.struct(p["pos"].alias("pos"), p["text"].alias("text"), F.when(p["text"] == "", 0).otherwise(F.size(F.split(p["text"], " "))).alias("words")))
+    long = F.filter(counted, lambda p: p["words"] >= least_words)
+    return F.transform(long, lambda p: F.struct(p["pos"].alias("pos"), p["text"].alias("text"), p["words"].alias("words"), section(p["text"], sections, ignore_case).alias("section")))
+
+
+def with_paragraphs(docs: DataFrame, separator: str = r"\n\s*\n", least_words: int = 5, sections: tuple = SECTIONS, ignore_case: bool = False) -> DataFrame:
+    """id and ps, the paragraphs, of documents, one row each; made once a row, whatever is asked of them."""
+    return docs.select("id", F.explode(F.array(paragraph_list(F.col("text"), separator, least_words, sections, ignore_case))).alias("ps")).filter(F.size("ps") > 0)
+
+
+def sectioned_documents(docs: DataFrame, separator: str = r"\n\s*\n", sections: tuple = SECTIONS, ignore_case: bool = False) -> DataFrame:
+    """T3 of documents, one row each: id, pos, text, words, section, the last one opened or CONTENT; carried on in the row, so no text is shuffled."""
+    opened = F.filter(F.transform("ps", lambda p, i: F.when(p["section"].isNotNull(), i)), lambda i: i.isNotNull())
+    marked = with_paragraphs(docs, separator, sections=sections, ignore_case=ignore_case).select("id", "ps", F.explode(F.array(opened)).alias("at"))
+    end = F.size("ps")
+    runs = F.flatten(F.transform("at", lambda i, k: F.array_repeat(F.get("ps", i)["section"], F.coalesce(F.get("at", k + 1), end) - i)))
+    carried = F.concat(F.array_repeat(F.lit("CONTENT"), F.coalesce(F.get("at", F.lit(0)), end)), runs)
+    return marked.select("id", F.inline(F.zip_with("ps", carried, lambda p, name: F.struct(p["pos"].alias("pos"), p["text"].alias("text"), p["words"].alias("words"), name.alias("section")))))
+
+
+def document_chunks(docs: DataFrame, separator: str = r"\n\s*\n", sections: tuple = SECTIONS, target: int = TARGET, least: int = LEAST, ignore_case: bool = False) -> DataFrame:
+    """T4, T5 of documents, one row each, as ``chunks``: paragraphs are cut, classed and packed in the row, so no text is shuffled."""
+    return _packed(with_paragraphs(docs, separator, sections=sections, ignore_case=ignore_case), target, least)
+
+
 def chunks(paras: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFrame:
     """T4, T5: id, chunk_order (from 1), section, text, word_count, start_char, end_char of packed paragraphs.
 
@@ -59,7 +87,11 @@ def chunks(paras: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFr
     words are left out, and orders count those kept. The packing depends on all before it, so it is a
     fold over each document's ordered paragraphs; documents are independent.
     """
-    ordered = paras.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "section", "text", "words"))).alias("ps"))
+    return _packed(paras.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "section", "text", "words"))).alias("ps")), target, least)
+
+
+def _packed(ordered: DataFrame, target: int, least: int) -> DataFrame:
+    """The chunks of id and ps, paragraphs in order; one without a section has the one before it."""
     start = F.struct(F.array().cast("array<string>").alias("now"), F.lit(0).alias("words"), F.lit("CONTENT").alias("section"), F.lit(0).alias("at"), F.lit(0).alias("begin"), F.array().cast("array<struct<section:string,text:string,words:int,begin:int>>").alias("done"))
 
     def closed(acc: Column) -> Column:
@@ -69,7 +101,8 @@ def chunks(paras: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFr
         return F.struct(now.alias("now"), words.alias("words"), name.alias("section"), at.alias("at"), begin.alias("begin"), done.alias("done"))
 
     def step(acc: Column, p: Column) -> Column:
-        turn = (p["section"] != acc["section"]) & (F.size(acc["now"]) > 0)
+        name = F.coalesce(p["section"], acc["section"])
+        turn = (name != acc["section"]) & (F.size(acc["now"]) > 0)
         none = F.array().cast("array<string>")
         now = F.concat(F.when(turn, none).otherwise(acc["now"]), F.array(p["text"]))
         words = F.when(turn, 0).otherwise(acc["words"]) + p["words"]
@@ -77,8 +110,8 @@ def chunks(paras: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFr
         done = F.when(turn, closed(acc)).otherwise(acc["done"])
         at = acc["at"] + F.length(p["text"]) + 2
         full = words >= target
-        opened = state(now, words, p["section"], at, begin, done)
-        return state(F.when(full, none).otherwise(now), F.when(full, 0).otherwise(words), p["section"], at, F.when(full, at).otherwise(begin), F.when(full, closed(opened)).otherwise(done))
+        opened = state(now, words, name, at, begin, done)
+        return state(F.when(full, none).otherwise(now), F.when(full, 0).otherwise(words), name, at, F.when(full, at).otherwise(begin), F.when(full, closed(opened)).otherwise(done))
 
     def finish(acc: Column) -> Column:
         return F.filter(F.when(F.size(acc["now"]) > 0, closed(acc)).otherwise(acc["done"]), lambda c: c["words"] >= least)

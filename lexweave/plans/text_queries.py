@@ -109,7 +109,7 @@ def _t2(spark, d):
 
 @query("t3_section_carry_forward", f"WITH {_PARA} SELECT id, pos, coalesce(last_value({_SECTION} IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'CONTENT') AS section FROM para")
 def _t3(spark, d):
-    return text.sectioned(text.paragraphs(docs(spark, d), "\n"), SECTIONS).select("id", "pos", "section")
+    return text.sectioned_documents(docs(spark, d), "\n", SECTIONS).select("id", "pos", "section")
 
 
 _FOLD = f"""{_PARA}, p AS (SELECT id, text, words, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn, coalesce(last_value({_SECTION} IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'CONTENT') AS section FROM para),
@@ -121,7 +121,7 @@ _FOLD = f"""{_PARA}, p AS (SELECT id, text, words, row_number() OVER (PARTITION
 
 @query("t4_chunks", f"WITH RECURSIVE {_FOLD} SELECT c.id, (row_number() OVER (PARTITION BY c.id ORDER BY c.chunk))::INT AS chunk_order, c.section, c.text, c.word_count::INT AS word_count, place.begin AS start_char, (place.begin + length(c.text))::INT AS end_char FROM c JOIN place ON place.id = c.id AND place.rn = c.first WHERE c.word_count >= 100")
 def _t4(spark, d):
-    return text.chunks(text.sectioned(text.paragraphs(docs(spark, d), "\n"), SECTIONS))
+    return text.document_chunks(docs(spark, d), "\n", SECTIONS)
 
 
 #: Words of the corpus that stand for the legal ones, which it lacks: each document's text with them put in their place.
@@ -251,7 +251,7 @@ def _t27(spark, d):
 
 @query("t28_service_chunks", f"WITH RECURSIVE {_FOLD} SELECT c.id, (row_number() OVER (PARTITION BY c.id ORDER BY c.chunk))::INT AS chunk_order, c.section, c.word_count::INT AS word_count FROM c WHERE c.word_count >= 200")
 def _t28(spark, d):
-    return text.service_chunks(text.sectioned(text.paragraphs(docs(spark, d), "\n"), SECTIONS)).select("id", "chunk_order", "section", "word_count")
+    return text.document_chunks(docs(spark, d), "\n", SECTIONS, least=200).select("id", "chunk_order", "section", "word_count")
 
 
 @query("t31_embedding_texts", f"WITH {_PARA}, t AS (SELECT id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS from_chunks FROM para GROUP BY id) SELECT d.doc_id AS id, concat(d.source, chr(10), chr(10), d.lang) AS from_summary, t.from_chunks FROM documents d LEFT JOIN t ON t.id = d.doc_id")
