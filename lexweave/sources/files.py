@@ -134,24 +134,69 @@ def first_urls(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first, clean.groupBy("case_id").agg(F.transform(ordered, lambda x: F.struct(x["document_type"].alias("document_type"), x["pdf_url"].alias("pdf_url"))).alias("urls"))
 
 
+def _cut(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The columns ``keep`` with g, each run of four characters of a text, or all of a shorter one."""
+    at = rows.select(*{text: None, **dict.fromkeys(keep)}, F.explode(F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1)))).alias("__i"))
+    return at.select(*keep, F.substring(text, F.col("__i"), F.lit(4)).alias("g"))
+
+
+def _first_by_words(names: DataFrame, urls: DataFrame) -> DataFrame:
+    """case_id, name and the least u of the case's URLs (case_id, url, u) that hold all but one of a name's words (case_id, name, w), and two at the least; only words of four characters or more count.
+
+    Words are looked up by the run of four characters that the fewest of the case's URLs have, each once a
+    case, so names without enough words that occur meet no URL. Of the others, each distinct set of words
+    that leaves one out is looked up once a case by its rarest word.
+    """
+    each = names.select("case_id", "name", F.posexplode("w").alias("k", "word"))
+    words = each.filter(F.length("word") > 3).select("case_id", "word").distinct()
+    runs = _cut(words, "word", "case_id", "word")
+    near = lambda rows, wanted: rows.join(F.broadcast(wanted.select("g").distinct()), "g", "left_semi")  # noqa: E731  runs of four characters are few
+    counts = near(_cut(urls, "url", "case_id"), runs).groupBy("case_id", "g").agg(F.count("*").alias("n"))
+    rarest = runs.join(counts, ["case_id", "g"], "left").groupBy("case_id", "word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).filter("r.n > 0")
+    met = each.join(rarest, ["case_id", "word"], "left").groupBy("case_id", "name").agg(F.count("*").alias("size"), F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "word", "k"))).alias("there"))
+    left_out = F.when(F.size("there") < F.col("size"), F.array(F.lit(-1))).when(F.col("size") == 2, F.array(F.lit(-1))).otherwise(F.transform("there", lambda x: x["k"]))
+    sets = met.filter((F.size("there") >= 2) & (F.size("there") >= F.col("size") - 1)).select("case_id", "name", "there", F.explode(left_out).alias("out"))
+    sets = sets.select("case_id", "name", F.filter("there", lambda x: x["k"] != F.col("out")).alias("there"))
+    sets = sets.select("case_id", "name", F.array_sort(F.array_distinct(F.transform("there", lambda x: x["word"]))).alias("set"), F.array_min(F.transform("there", lambda x: x["r"]))["g"].alias("g"))
+    asked = sets.select("case_id", "set", "g").distinct()
+    held = near(_cut(urls, "url", "case_id", "url", "u"), asked).join(asked, ["case_id", "g"]).filter(F.forall("set", lambda w: F.contains(F.col("url"), w)))
+    return sets.join(held.groupBy("case_id", "set").agg(F.min("u").alias("u")), ["case_id", "set"]).groupBy("case_id", "name").agg(F.min("u").alias("u"))
+
+
 def matched_urls(briefs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``briefs`` (brief_id, source_file, case_id, brief_type) with url and strategy: 1 by case and type, 2 by words of the file's name in the case's URLs, 3 the case's first URL."""
-    first, urls = first_urls(rows)
+    """``briefs`` (brief_id, source_file, case_id, brief_type) with url and strategy: 1 by case and type, 2 by words of the file's name in the case's URLs, 3 the case's first URL.
+
+    A case's first URL, and the first of each kind that names may ask for, are found once a case. All words
+    of a name but one at the most have to be in a URL, so each distinct set of words that leaves one out is
+    looked up once a case: no brief meets all URLs.
+    """
+    clean = rows.select(*[F.trim(c).alias(c) for c in ("case_id", "document_type", "pdf_url")], "at").filter("case_id <> '' and document_type <> '' and pdf_url <> ''")
+    own = clean.select("case_id", "document_type", F.lower(F.coalesce(F.try_url_decode("pdf_url"), "pdf_url")).alias("url"), F.struct("at", "document_type", "pdf_url").alias("u"))
+    kind, url = F.lower("document_type"), F.col("url")
+    typed = F.when(kind.contains("reply"), "Reply").when(kind.contains("respondent"), "Response").when(kind.contains("appellant"), "Opening")
+    first = own.select("case_id", typed.alias("brief_type"), F.struct("u.at", "u.pdf_url").alias("u")).filter("brief_type is not null").groupBy("case_id", "brief_type").agg(F.min("u").alias("__first"))
+    kinds = {
+        "__amended": url.contains("amended") & url.contains("appellant"),
+        "__crossed": url.contains("cross-appellant") | url.contains("cross appellant"),
+        "__answered": url.contains("respondent") & url.contains("cross"),
+    }
+    by_case = own.groupBy("case_id").agg(F.min("u").alias("__any"), *[F.min(F.when(test, F.col("u"))).alias(c) for c, test in kinds.items()])
+
     name = F.lower(F.replace(F.regexp_replace("source_file", r"\.(?:pdf|PDF)$", ""), F.lit("_"), F.lit(" ")))
-    words = F.split(name, r"\s+")
-
-    def fits(u: Column) -> Column:
-        url = F.lower(F.coalesce(F.try_url_decode(u["pdf_url"]), u["pdf_url"]))
-        amended = name.contains("amended") & url.contains("amended") & name.contains("appellant") & url.contains("appellant")
-        crossed = name.contains("cross-appellant") & (url.contains("cross-appellant") | url.contains("cross appellant"))
-        answered = name.contains("respondent") & name.contains("cross") & url.contains("respondent") & url.contains("cross")
-        shared = F.size(F.filter(words, lambda w: (F.length(w) > 3) & F.contains(url, w)))
-        return amended | crossed | answered | ((shared >= F.size(words) - 1) & (shared >= 2))
-
-    met = briefs.join(first, ["case_id", "brief_type"], "left").withColumnRenamed("pdf_url", "__first").join(urls, "case_id", "left")
-    second = F.try_element_at(F.filter("urls", fits), F.lit(1))["pdf_url"]
-    third = F.try_element_at("urls", F.lit(1))["pdf_url"]
-    found = met.withColumns({"url": F.coalesce("__first", second, third), "strategy": F.when(F.col("__first").isNotNull(), 1).when(second.isNotNull(), 2).when(third.isNotNull(), 3)})
+    named = briefs.withColumn("__name", name)
+    names = named.select("case_id", F.col("__name").alias("name")).filter("case_id is not null and name is not null").distinct().withColumn("w", F.split("name", r"\s+"))
+    shared = _first_by_words(names, own.select("case_id", "url", "u")).select("case_id", F.col("name").alias("__name"), F.col("u").alias("__shared"))
+
+    met = named.join(first, ["case_id", "brief_type"], "left").join(by_case, "case_id", "left").join(shared, ["case_id", "__name"], "left")
+    asks = F.col("__name")
+    second = F.array_min(F.array_compact(F.array(
+        F.when(asks.contains("amended") & asks.contains("appellant"), F.col("__amended")),
+        F.when(asks.contains("cross-appellant"), F.col("__crossed")),
+        F.when(asks.contains("respondent") & asks.contains("cross"), F.col("__answered")),
+        F.col("__shared"),
+    )))["pdf_url"]
+    one, third = F.col("__first")["pdf_url"], F.col("__any")["pdf_url"]
+    found = met.withColumns({"url": F.coalesce(one, second, third), "strategy": F.when(one.isNotNull(), 1).when(second.isNotNull(), 2).when(third.isNotNull(), 3)})
     return found.select(*briefs.columns, "url", "strategy")
 
 
