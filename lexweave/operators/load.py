@@ -172,18 +172,21 @@ def resolved_statutes(citations: DataFrame, statutes: DataFrame) -> tuple[DataFr
     3: a statute whose section begins with the citation's; 4: a new one, its id a hash of its parts.
     Of several statutes the least id; citations that aren't statutes have none.
     """
+    # A statute counts only as the least of its kind, so that a citation meets one row of each kind and not all statutes of its title and section.
+    own = statutes.select("statute_id", "title", "section", "subsection")
+    exact = own.filter("subsection is not null").groupBy("title", "section", F.col("subsection").alias("sub")).agg(F.min("statute_id").alias("__sub"))
+    same = own.groupBy("title", "section").agg(F.min("statute_id").alias("__same"), F.min(F.when(F.col("subsection").isNull(), F.col("statute_id"))).alias("__whole"))
+    begins = same.select("title", F.explode(prefixes(F.col("section"))).alias("section"), "__same").groupBy("title", "section").agg(F.min("__same").alias("__begins"))
+    # Each distinct text is looked up once.
     parts = statute_parts(F.col("citation"))
-    wanted = citations.select("id", parts["title"].alias("title"), parts["section"].alias("section"), parts["subsection"].alias("sub")).filter("title is not null and section is not null")
-    same = wanted.join(statutes, ["title", "section"])
-    one = same.filter(F.col("sub").isNotNull() & F.coalesce(F.col("subsection") == F.col("sub"), F.lit(True))).select("id", F.col("statute_id").alias("target"))
-    two = same.select("id", F.col("statute_id").alias("target"))
-    begins = statutes.select("statute_id", "title", F.explode(prefixes(F.col("section"))).alias("section"))
-    three = wanted.join(begins, ["title", "section"]).select("id", F.col("statute_id").alias("target"))
-    found = cascade(wanted, "id", one, two, three)
+    wanted = citations.select("citation").distinct().select("citation", parts["title"].alias("title"), parts["section"].alias("section"), parts["subsection"].alias("sub")).filter("title is not null and section is not null")
+    met = wanted.join(exact, ["title", "section", "sub"], "left").join(same, ["title", "section"], "left").join(begins, ["title", "section"], "left")
+    one = F.when(F.col("sub").isNotNull(), F.least("__sub", "__whole"))  # null only if both are
     made = F.xxhash64("title", "section", F.coalesce("sub", F.lit("")))
-    named = found.withColumn("statute_id", F.coalesce("target", made)).withColumn("strategy", F.coalesce("strategy", F.lit(4)))
+    strategy = F.when(one.isNotNull(), 1).when(F.col("__same").isNotNull(), 2).when(F.col("__begins").isNotNull(), 3).otherwise(4)
+    named = met.select("citation", "title", "section", "sub", F.coalesce(one, "__same", "__begins", made).alias("statute_id"), strategy.alias("strategy"))
     new = named.filter("strategy = 4").select("statute_id", "title", "section", F.col("sub").alias("subsection")).distinct()
-    return citations.join(named.select("id", "statute_id", "strategy"), "id", "left"), statutes.select("statute_id", "title", "section", "subsection").unionByName(new)
+    return citations.join(named.select("citation", "statute_id", "strategy"), "citation", "left").select(*citations.columns, "statute_id", "strategy"), own.unionByName(new)
 
 
 def chained(briefs: DataFrame) -> DataFrame:
