@@ -17,6 +17,7 @@ from lexweave.functions.normalize import any_date
 VALUES = ("summary", "case_type", "county", "trial_judge", "source_docket_number", "appeal_outcome", "winner_legal_role", "winner_personal_role")
 LISTS = (("parties_parsed", "parties"), ("judicial_panel", "judges"), ("legal_representation",), ("citations",), ("statutes",), ("issues",))
 
+_HALF = re.compile("[\ud800-\udfff]")
 _BLANK = re.compile(r"[\s,]*")
 _SCALAR = re.compile(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)(?=[\s,}\]]|$)")
 #: What may stand behind a string: the end of its container, a colon, or a comma and the next key, value or end.
@@ -82,13 +83,21 @@ def scanned(text: str, at: int = 0) -> tuple[dict, bool]:
             value = _string(text, at)
         else:
             plain = _SCALAR.match(text, at)
-            value = (json.loads(plain[1]), plain.end()) if plain else None
+            value = (_scalar(plain[1]), plain.end()) if plain else None
         if value is None:
             return root, False
         _put(inner, key, value[0])
         at = value[1]
 
 
+def _scalar(text: str) -> object:
+    """A number, true, false or null; a number that JSON or Python doesn't take, as with zeros in front or thousands of digits, is its text."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
 def _put(inner: dict | list, key: str | None, value: object) -> None:
     if isinstance(inner, dict):
         inner[key] = value
@@ -118,9 +127,10 @@ def repair(response: str) -> dict:
 def _written(answer: str | None) -> str | None:
     """The repaired object as JSON; one too deep to be written is empty."""
     try:
-        return None if answer is None else json.dumps(repair(answer), sort_keys=True, ensure_ascii=False)
+        out = None if answer is None else json.dumps(repair(answer), sort_keys=True, ensure_ascii=False)
     except RecursionError:
         return "{}"
+    return out and _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", out)  # halves of a pair, which only escapes can hold, stay escaped
 
 
 @F.pandas_udf(T.StringType())
