@@ -53,9 +53,9 @@ def quarantine(results: DataFrame) -> DataFrame:
     return results.filter("error is not null").select("path", "error")
 
 
-def pending(files: DataFrame, processed: DataFrame) -> DataFrame:
-    """Files that no earlier run has seen, failed ones included."""
-    return files.join(processed.select("path").distinct(), "path", "left_anti")
+def pending(files: DataFrame, processed: DataFrame, key: str = "path") -> DataFrame:
+    """Files that no earlier run has seen, failed ones included; files are told apart by ``key``."""
+    return files.join(processed.select(key).distinct(), key, "left_anti")
 
 
 def metadata(spark: SparkSession, path: str, key: str = "case_number") -> DataFrame:
