@@ -44,8 +44,8 @@ def holding_stems(rows: DataFrame, query: str) -> DataFrame:
     return holding(rows, stemmed_query(query), lambda text: lexemes(tokens(text)))
 
 
-def phrase_starts(rows: DataFrame, phrase: list[str], lexemes: Callable[[Column], Column] = tokens) -> DataFrame:
-    """Rows with start, each place (from 0) where the words follow each other among the text's lexemes."""
+def phrase_starts(rows: DataFrame, phrase: list[str], lexemes: Callable[[Column], Column] = tokens, followed: int = 0) -> DataFrame:
+    """Rows with start, each place (from 0) where the words follow each other among the text's lexemes, and ``followed`` more come after them."""
     low = [w.lower() for w in phrase]
     if not low:
         return rows.withColumn("start", F.lit(0)).filter(F.lit(False))
@@ -53,12 +53,12 @@ def phrase_starts(rows: DataFrame, phrase: list[str], lexemes: Callable[[Column]
     if lexemes is tokens:
         for w in low:
             near = near.filter(F.lower("text").contains(w))
-    worded = near.withColumn("__w", F.explode(F.array(lexemes(F.col("text"))))).filter(F.size("__w") >= len(low))
+    worded = near.withColumn("__w", F.explode(F.array(lexemes(F.col("text"))))).filter(F.size("__w") >= len(low) + followed)
 
     def here(i: Column) -> Column:
         return reduce(lambda x, y: x & y, [F.get("__w", i + k) == F.lit(w) for k, w in enumerate(low)])
 
-    places = F.filter(F.sequence(F.lit(0), F.size("__w") - len(low)), here)
+    places = F.filter(F.sequence(F.lit(0), F.size("__w") - len(low) - followed), here)
     return worded.withColumn("start", F.explode(places)).drop("__w")
 
 
