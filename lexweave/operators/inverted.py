@@ -105,15 +105,18 @@ class InvertedIndex:
             return self.lengths().select("id").limit(0)
         return self.postings(own).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(own)).select("id")
 
-    def phrase(self, words: list[str]) -> DataFrame:
-        """Id, start of each place (from 0) where the words follow each other."""
+    def phrase(self, words: list[str], followed: int = 0) -> DataFrame:
+        """Id, start of each place (from 0) where the words follow each other, and ``followed`` more come after them."""
         low = [w.lower() for w in words]
         if not low:
             return self.lengths().select("id", F.lit(0).alias("start")).limit(0)
         name = {w: f"w{k}" for k, w in enumerate(dict.fromkeys(low))}
         rows = self._by_document(low).filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in name.values()]))
         begins = [F.transform(name[w], _less(k)) for k, w in enumerate(low)]
-        return rows.select("id", F.explode(reduce(F.array_intersect, begins)).alias("start"))
+        found = rows.select("id", F.explode(reduce(F.array_intersect, begins)).alias("start"))
+        if not followed:
+            return found
+        return found.join(self.lengths(), "id").filter(F.col("start") + len(low) + followed <= F.col("length")).select("id", "start")
 
     def boolean(self, query: str) -> DataFrame:
         """Id of the documents that a query of words, &, |, ! and parentheses holds of. Documents with none of the words count too."""
