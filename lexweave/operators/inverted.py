@@ -46,12 +46,18 @@ class InvertedIndex:
     def _segment(self, made: Change, docs: DataFrame) -> None:
         number = made.base + 1
         rows = docs.filter("id IS NOT NULL AND text IS NOT NULL").select("id", F.explode(F.array(tokens(F.col("text")))).alias("w"))
-        # Places of a word in a document are gathered before they are shuffled.
-        placed = rows.select("id", F.posexplode("w").alias("place", "word")).groupBy("id", "word").agg(F.array_sort(F.collect_list("place")).alias("places"))
+        # Places of a word in a document are gathered in its row: words are sorted with their places, and cut where the word changes.
+        pairs = F.sort_array(F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
+        placed = rows.select("id", F.explode(F.array(pairs)).alias("p")).filter(F.size("p") > 0)
+        begins = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | (F.get("p", i)["word"] != F.get("p", i - 1)["word"]))
+        runs = placed.select("id", F.col("p.word").alias("ws"), F.col("p.place").alias("at"), F.explode(F.array(begins)).alias("b"))
+        each = F.transform("b", lambda i, k: F.struct(F.get("ws", i).alias("word"), F.slice("at", i + 1, F.coalesce(F.get("b", k + 1), F.size("at")) - i).alias("places")))
         n = max(BUCKETS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         of = (F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int")
-        postings = placed.select("word", "id", "places", F.lit(number).alias("segment"), of.alias("bucket"))
-        made.append("postings", postings.repartitionByRange(n, "bucket", "word", "id").sortWithinPartitions("bucket", "word", "id"), "bucket")
+        postings = runs.select("id", F.inline(each)).select("word", "id", "places")
+        # Buckets and segments are the same for many rows, so they are put to them after the shuffle.
+        sorted_ = postings.repartitionByRange(n, of, "word", "id").select("*", F.lit(number).alias("segment"), of.alias("bucket"))
+        made.append("postings", sorted_.sortWithinPartitions("bucket", "word", "id"), "bucket")
         made.append("lengths", rows.select("id", F.size("w").alias("length"), F.size(F.array_distinct("w")).alias("words"), F.lit(number).alias("segment")))
 
     def add(self, docs: DataFrame) -> None:
@@ -79,8 +85,16 @@ class InvertedIndex:
         if not self.store.has("gone", version):
             return rows
         gone = self.store.read("gone", version).groupBy("id").agg(F.max("before").alias("before")).select(F.col("id").alias("__id"), "before")
+        # Most segments are all there or all gone, which their documents tell: only the others' rows are compared with what is gone.
+        met = self.store.read("lengths", version).join(gone, F.col("id") == F.col("__id"), "left")
+        dead = F.coalesce(F.col("segment") < F.col("before"), F.lit(False))
+        kinds = {r.segment: r.dead and (r.dead == r.n or None) for r in met.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(dead).alias("dead")).collect()}
+        whole, part = [s for s, d in kinds.items() if d == 0], [s for s, d in kinds.items() if d is None]
+        there = rows.filter(F.col("segment").isin(whole))
+        if not part:
+            return there
         gone = F.broadcast(gone) if gone.count() <= SENT else gone
-        return rows.join(gone, (F.col("id") == F.col("__id")) & (F.col("segment") < F.col("before")), "left_anti")
+        return there.unionByName(rows.filter(F.col("segment").isin(part)).join(gone, (F.col("id") == F.col("__id")) & (F.col("segment") < F.col("before")), "left_anti"))
 
     def postings(self, words: list[str], version: int | None = None) -> DataFrame:
         """word, id, places of the words, which are lower-cased tokens."""
