@@ -293,12 +293,14 @@ ISSUE_CATEGORIES = {
 
 def issue_category(value: Column) -> Column:
     """The category of that name, else of the first name that holds the value or that it holds, else the miscellaneous one."""
-    t = F.lower(F.trim(value))
-    names = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in ISSUE_CATEGORIES.items()])
-    exact = F.filter(names, lambda x: x["k"] == t)
-    part = F.filter(names, lambda x: F.contains(t, x["k"]) | F.contains(x["k"], t))
-    found = F.coalesce(F.try_element_at(exact, F.lit(1))["v"], F.try_element_at(part, F.lit(1))["v"])
-    return F.coalesce(F.when(value != "", found), F.lit("Miscellaneous / Unclassified"))
+    exact = F.create_map(*[F.lit(x) for kv in ISSUE_CATEGORIES.items() for x in kv])
+
+    def found(t: Column) -> Column:
+        return F.coalesce(F.try_element_at(exact, t), *[F.when(F.contains(t, F.lit(k)) | F.contains(F.lit(k), t), v) for k, v in ISSUE_CATEGORIES.items()])
+
+    # As an element, so that the value is made lower-case once and not for each name.
+    own = F.get(F.transform(F.array(F.lower(F.trim(value))), found), 0)
+    return F.coalesce(F.when(value != "", own), F.lit("Miscellaneous / Unclassified"))
 
 
 #: Canonical categories of the loader. Fixed values.
