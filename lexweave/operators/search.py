@@ -133,7 +133,7 @@ def rank(lexemes: Column, words: list[str]) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of lower-case words with two blanks before and one after each."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     # Letters as arrays: a substring is searched from the start of its word, so that long words took time in the square of their length.
     letters = F.transform(words, lambda w: F.split(F.concat(F.lit("  "), w, F.lit(" ")), ""))
     return F.array_distinct(F.flatten(F.transform(letters, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2])))))
@@ -141,9 +141,13 @@ def trigrams(text: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over all trigrams."""
-    x, y = trigrams(a), trigrams(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
+
+    def of(p: Column) -> Column:
+        shared = F.size(F.array_intersect(p["x"], p["y"]))
+        union = F.size(p["x"]) + F.size(p["y"]) - shared
+        return F.when(union > 0, shared / union).otherwise(0.0)
+
+    return F.get(F.transform(F.array(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y"))), of), 0)  # as an element, so that trigrams are made once
 
 
 def around(rows: DataFrame, hits: DataFrame, order: str, before: int = 1, after: int = 1) -> DataFrame:
