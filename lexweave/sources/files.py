@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,21 +30,19 @@ def scan(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
 def parsed(files: DataFrame, parser: Callable[[bytes], str], tries: int = 3) -> DataFrame:
     """Path, text, error by a parser of bytes; an error of each try is kept to 500 characters, and a failed file is a row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.path, batch.content, strict=True):
-                text = error = None
-                for _ in range(tries):
-                    try:
-                        text, error = parser(bytes(content)), None
-                        break
-                    except Exception as e:  # a parser may raise anything; the file goes to quarantine
-                        error = str(e)[:500]
-                rows.append((path, text, error))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+    def run(content: bytes | None) -> tuple[str | None, str | None]:
+        text = error = None
+        for _ in range(tries):
+            try:
+                text, error = parser(bytes(content)), None
+                break
+            except Exception as e:  # a parser may raise anything; the file goes to quarantine
+                error = str(e)[:500]
+        return text, error
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+    # Sent to Python by hundreds of files, where batches of Arrow hold ten thousand whole ones.
+    one = F.udf(run, "text string, error string", useArrow=False)
+    return files.select("path", one("content").alias("r")).select("path", "r.text", "r.error")
 
 
 def quarantine(results: DataFrame) -> DataFrame:
@@ -116,9 +113,14 @@ def resolved(rows: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     near = wanted.join(files, (wanted["year"] == files["year"]) & (wanted["file"] == files["file"]) & F.startswith(F.lower("month"), F.left(F.lower("folder"), F.lit(3)))).select(key, "path", F.lit(2).alias("strategy"))
     bare = F.replace("file", F.lit(","), F.lit(""))
     pieces = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length("b")), lambda i: i <= F.length("b") - n + 1), lambda i: F.substring("b", i, F.lit(n)))
-    every = F.explode(F.array_distinct(F.concat(*[pieces(n) for n in range(1, ANCHOR + 1)])))
-    grams = files.select("path", "year", bare.alias("b")).filter("b <> ''").select("path", "year", "b", every.alias("anchor"))
     anchored = wanted.filter("number <> ''").withColumn("anchor", F.left("number", F.lit(ANCHOR)))
+    # Only pieces as long as an anchor that begin with a letter that one begins with; both are few, whatever the rows.
+    kinds = anchored.select(F.length("anchor").alias("n"), F.left("anchor", F.lit(1)).alias("c")).distinct().collect()
+    begun = {n: [r.c for r in kinds if r.n == n] for n in sorted({r.n for r in kinds})}
+    none = F.array().cast("array<string>")
+    begins = lambda cs: lambda x: F.left(x, F.lit(1)).isin(cs)
+    every = F.explode(F.array_distinct(F.concat(none, *[F.filter(pieces(n), begins(cs)) for n, cs in begun.items()])))
+    grams = files.select("path", "year", bare.alias("b")).filter("b <> ''").select("path", "year", "b", every.alias("anchor"))
     held = anchored.join(grams, ["year", "anchor"]).filter(F.contains("b", "number")).select(key, "path", F.lit(3).alias("strategy"))
     best = exact.union(near).union(held).groupBy(key).agg(F.min(F.struct("strategy", "path")).alias("b")).select(key, "b.path", "b.strategy")
     return rows.join(best, key, "left")
