@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.functions.clean import strip
 from lexweave.functions.stem import STOP_WORDS, lexemes, stemmed, stems  # noqa: F401  stems is offered here too
-from lexweave.operators.text import index_counters, tokens, with_sentences
+from lexweave.operators.text import index_counters, ngrams, paragraph_list, sentence_list, tokens, with_sentences
 
 
 def holding(rows: DataFrame, words: list[str], lexemes: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -320,6 +321,29 @@ def navigated(sentences: DataFrame, chunks: DataFrame, docs: DataFrame, query: l
     return hits.join(chunk_matches(sentences, query), keys).join(adjacent, keys).join(counted, keys).join(totals, "id")
 
 
+def document_chunk_statistics(docs: DataFrame, separator: str = r"\n\s*\n", least: int = 2, **children: DataFrame) -> DataFrame:
+    """R14 of documents (id, text, others), one row each, whose chunks are their paragraphs: the others, total_chunks, total_sentences, unique_phrases (two words within a chunk's sentences, ``least`` times or more) and the numbers of their children.
+
+    All but the children is counted in the document's row, so no text and no phrase is shuffled. Documents without an id have no chunks.
+    """
+    others = [c for c in docs.columns if c not in ("id", "text")]
+    # Each array in a row of its own, so that it isn't made again for each of its elements.
+    cut = F.transform(paragraph_list(F.when(F.col("id").isNotNull(), F.col("text")), separator, sections=()), lambda p: p["text"])
+    rows = docs.select("id", *others, F.explode(F.array(F.coalesce(cut, F.array().cast("array<string>")))).alias("ps"))
+    sents = F.transform("ps", lambda p: F.transform(F.when(F.length(strip(p)) >= 10, sentence_list(p)), lambda s: s["text"]))
+    rows = rows.select("id", *others, F.size("ps").cast("bigint").alias("total_chunks"), F.explode(F.array(F.transform(sents, lambda x: F.coalesce(x, F.array().cast("array<string>"))))).alias("ss"))
+    words = F.transform("ss", lambda x: F.flatten(F.transform(x, lambda t: tokens(t))))
+    total = F.aggregate("ss", F.lit(0).cast("bigint"), lambda t, x: t + F.size(x))
+    rows = rows.select("id", *others, "total_chunks", total.alias("total_sentences"), F.explode(F.array(F.flatten(F.transform(words, lambda w: ngrams(w, 2))))).alias("g"))
+    # A phrase counts where the sorted runs hold it for the ``least``-th time.
+    rows = rows.select("id", *others, "total_chunks", "total_sentences", F.explode(F.array(F.sort_array("g"))).alias("g"))
+    ends = F.filter(F.sequence(F.lit(0), F.size("g")), lambda i: (i >= least) & (i <= F.size("g")) & (F.get("g", i - 1) == F.get("g", i - least)) & ((i == least) | (F.get("g", i - 1) != F.get("g", F.greatest(i - least - 1, F.lit(0))))))
+    out = rows.select("id", *others, "total_chunks", "total_sentences", F.size(ends).cast("bigint").alias("unique_phrases"))
+    for name, part in children.items():
+        out = out.join(part.groupBy("id").agg(F.count("*").alias(f"{name}_count")), "id", "left").withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
+    return out
+
+
 def matches_with_neighbours(docs: DataFrame, words: list[str], reach: int = 1) -> DataFrame:
     """Each sentence of documents (id, text, others), one row each, that holds all the words, as target (its number) and sentence, with its words as ``__w``, the document's other columns, and ``near``: the sentences within reach, struct(order, text).
 
