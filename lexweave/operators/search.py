@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lexweave.functions.clean import strip
 from lexweave.functions.stem import STOP_WORDS, lexemes, stemmed, stems  # noqa: F401  stems is offered here too
-from lexweave.operators.text import index_counters, ngrams, paragraph_list, sentence_list, tokens, with_sentences
+from lexweave.operators.text import SECTIONS, index_counters, ngrams, paragraph_list, sentence_list, tokens, with_sections, with_sentences
 
 
 def holding(rows: DataFrame, words: list[str], lexemes: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -344,6 +344,39 @@ def document_chunk_statistics(docs: DataFrame, separator: str = r"\n\s*\n", leas
     return out
 
 
+def document_navigated(docs: DataFrame, query: list[str], separator: str = r"\n\s*\n", sections: tuple = SECTIONS, reach: int = 10) -> DataFrame:
+    """R15 of documents (id, text, others), one row each, whose chunks are their paragraphs, as ``navigated``: chunks, sentences and matches are made in the document's row and neighbours read from it, so no text is shuffled.
+
+    Documents without an id have no chunks; a query without words matches nothing.
+    """
+    own = sorted({w.lower() for w in query if w.strip()})
+    others = [c for c in docs.columns if c not in ("id", "text")]
+    named = docs.filter(F.col("id").isNotNull() & F.lit(bool(own)))
+    low = F.lower("text")
+    for w in own:  # cheaper than cutting the text
+        named = named.filter(low.contains(w))
+    rows = with_sections(named, separator, sections).filter(F.size("ps") > 0)
+    none = F.array().cast("array<struct<sentence_order:int,text:string>>")
+    rows = rows.select("id", *others, "ps", F.explode(F.array(F.transform("ps", lambda p: F.coalesce(F.when(F.length(strip(p["text"])) >= 10, sentence_list(p["text"])), none)))).alias("ss"))
+    holds = lambda s: reduce(lambda x, y: x & y, [F.lower(s["text"]).contains(w) for w in own] + [F.array_contains(tokens(s["text"]), w) for w in own], F.lit(True))
+    rows = rows.select("id", *others, "ps", "ss", F.explode(F.array(F.transform("ss", lambda x: F.filter(x, holds)))).alias("hs"))
+    totals = F.size("ps").cast("bigint").alias("total_chunks"), F.aggregate("ss", F.lit(0).cast("bigint"), lambda t, x: t + F.size(x)).alias("total_sentences")
+    found = F.filter(F.transform("hs", lambda h, k: F.when(F.size(h) > 0, k)), lambda k: k.isNotNull())
+    rows = rows.select("id", *others, "ps", "ss", "hs", *totals, F.explode(found).alias("k"))
+    here = F.get("ps", F.col("k"))
+    # Places only grow, so chunks within reach lie within as many elements.
+    first = F.greatest(F.col("k") - reach, F.lit(0))
+    window = F.transform(F.sequence(first, F.least(F.col("k") + reach, F.size("ps") - 1)), lambda i: F.get("ps", i))
+    rows = rows.select("id", *others, F.col("k"), here.alias("c"), F.get("hs", F.col("k")).alias("matches"), F.size(F.get("ss", F.col("k"))).cast("bigint").alias("chunk_sentences"), "total_chunks", "total_sentences", window.alias("near"))
+    gap = lambda p: p["pos"] - F.col("c.pos")
+    near = F.filter("near", lambda p: F.abs(gap(p)) <= reach)
+    listed = F.transform(near, lambda p: F.struct(p["pos"].alias("order"), F.when(gap(p) < 0, "BEFORE").when(gap(p) > 0, "AFTER").otherwise("TARGET").alias("place"), F.abs(gap(p)).alias("distance"), F.substring(p["text"], 1, 300).alias("preview")))
+    # Aliases inside a row's structs are lost beside an explode, so that matches are exploded by themselves.
+    shown = rows.select("id", F.col("c.pos").alias("chunk_order"), "c.section", F.substring("c.text", 1, 200).alias("chunk_preview"), *others, "matches", listed.alias("adjacent"), F.col("c.text").alias("chunk_text"), "chunk_sentences", "total_chunks", "total_sentences")
+    hits = shown.withColumn("s", F.explode("matches"))
+    return hits.select("id", "chunk_order", "s.sentence_order", F.col("s.text").alias("sentence"), "section", "chunk_preview", *others, "matches", F.get("matches", F.lit(0))["text"].alias("context"), "adjacent", "chunk_text", "chunk_sentences", "total_chunks", "total_sentences")
+
+
 def matches_with_neighbours(docs: DataFrame, words: list[str], reach: int = 1) -> DataFrame:
     """Each sentence of documents (id, text, others), one row each, that holds all the words, as target (its number) and sentence, with its words as ``__w``, the document's other columns, and ``near``: the sentences within reach, struct(order, text).
 
